@@ -48,3 +48,10 @@ def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left
 def one_row(df: DataFrame) -> Column:
     """A one-row aggregate as a struct-valued scalar subquery, for use inside expressions."""
     return df.select(F.struct(*df.columns).alias("v")).scalar()
+
+
+def repeat_rows(df: DataFrame, n: str, number: str, chunk: int = 10_000) -> DataFrame:
+    """Every row ``n`` times, numbered from 1; long repeats are made chunk by chunk."""
+    chunks = df.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / chunk).cast("bigint"))))
+    low = F.col("_c") * chunk + 1
+    return chunks.withColumn(number, F.explode(F.sequence(low, F.least(F.col(n).cast("bigint"), low + chunk - 1)))).drop("_c")
