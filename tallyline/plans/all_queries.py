@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["incident_queries", "interval_queries", "cleaning_queries", "catalog_queries"]
+MODULES = ["incident_queries", "interval_queries", "cleaning_queries", "catalog_queries", "source_queries"]
 
 
 def load() -> None:
