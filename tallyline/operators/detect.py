@@ -19,17 +19,26 @@ CHECKED = ["latitude", "longitude", "date"]     # fields with a value check, in
 SAMPLE_ROWS, CHECKED_VALUES, CLOCK_VALUES = 10, 3, 5
 
 
-def exact_match(names: Column, patterns: list[str]) -> Column:
-    """The column named like the first pattern that is present."""
+def lowered(names: Column) -> Column:
+    return F.transform(names, lambda c: F.lower(c))
+
+
+def exact_match(names: Column, low: Column, patterns: list[str]) -> Column:
+    """The column named like the first pattern that is present; the last such column if it differs in case only.
+
+    ``low`` is ``lowered(names)``, computed once for all fields.
+    """
     def named(p: str) -> Column:
-        return F.try_element_at(F.filter(names, lambda c: F.lower(c) == p), F.lit(-1))
+        back = F.array_position(F.reverse(low), p)
+        return F.when(back > 0, F.try_element_at(names, -back.cast("int")))
 
     return F.coalesce(*[named(p) for p in patterns])
 
 
-def contains_match(names: Column, words: list[str]) -> Column:
+def contains_match(names: Column, low: Column, words: list[str]) -> Column:
     """The first column that contains any of the words."""
-    return F.try_element_at(F.filter(names, lambda c: X.contains_any(c, words)), F.lit(1))
+    first = F.array_position(F.transform(low, lambda c: X.any_of([c.contains(w) for w in words])), True)
+    return F.when(first > 0, F.try_element_at(names, first.cast("int")))
 
 
 @lru_cache(maxsize=100_000)
@@ -113,12 +122,14 @@ def detect_columns(df: DataFrame, key: str = "dataset_id", sample: str | None =
     value steps are skipped.
     """
     names = F.col("columns")
-    found = {f: F.coalesce(exact_match(names, exact), contains_match(names, words))
+    low = F.col("_low")
+    found = {f: F.coalesce(exact_match(names, low, exact), contains_match(names, low, words))
              for f, (exact, words, _) in rules.FIELD_PATTERNS.items()}
-    out = df.withColumns({f"_{f}": c for f, c in found.items()})
+    out = df.withColumn("_low", lowered(names)).withColumns({f"_{f}": c for f, c in found.items()}).drop("_low")
     if fuzzy:
+        # not a filter: pushed below the projection it would repeat every search
         open_fields = X.any_of([F.col(f"_{f}").isNull() for f in found])
-        similar = fuzzy_matches(out.filter(open_fields).select(key, "columns"), key).groupBy(key).agg(
+        similar = fuzzy_matches(out.select(key, F.when(open_fields, names).alias("columns")), key).groupBy(key).agg(
             F.map_from_entries(F.collect_list(F.struct("field", "column"))).alias("_similar"))  # at most one per field
         out = out.join(similar, key, "left").withColumns({
             f"_{f}": F.coalesce(F.col(f"_{f}"), F.try_element_at("_similar", F.lit(f))) for f in found}).drop("_similar")

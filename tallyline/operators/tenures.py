@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.joins import repeat_rows
+from ..session import cut_lineage
 
 UNIT = ["company", "unit_id"]
 PERSON = ["company", "person_id"]
@@ -25,37 +26,40 @@ def gap_tenures(df: DataFrame, gap_days: int = 30, keys: list[str] = KEYS) -> Da
     opens, and the tenure's own end is missing. Titles are joined in order of
     appearance. Rows without a start cannot be placed and are left out.
 
-    Rows of one start day are combined before the window, as all but reversed
-    rows (ending more than ``gap_days`` before they start) continue each other:
-    the window sees one row per calendar day, however many rows a key has.
-    Reversed rows each open a tenure of their own and are combined only with
-    their exact copies.
+    Rows of one start day and title are combined before the shuffle, as all but
+    reversed rows (ending more than ``gap_days`` before they start) continue each
+    other: the windows see one row per calendar day and title, however many rows
+    a key has. Reversed rows each open a tenure of their own and are combined
+    only with their exact copies.
     """
-    eff, end, title = F.col("eff_date"), F.col("end_date"), F.col("job_title_cd")
+    eff, end = F.col("eff_date"), F.col("end_date")
     reversed_ = F.coalesce(F.datediff(eff, end) > gap_days, F.lit(False))
-    seen = F.struct(end.isNull().alias("open"), end.alias("end"), title.alias("title"))
     days = df.filter(eff.isNotNull()).groupBy(
-        *keys, "eff_date", F.when(reversed_, end).alias("rev_end"), F.when(reversed_, title).alias("rev_title"),
+        *keys, "eff_date", F.when(reversed_, end).alias("rev_end"), "job_title_cd",
     ).agg(
-        F.when(F.count_if(end.isNull()) == 0, F.max(end)).alias("end_date"),
-        F.collect_set(seen).alias("seen"),      # at most calendar days x titles
-        F.count(F.lit(1)).alias("copies"))
-    order = [eff, F.col("rev_end").asc_nulls_last(), F.col("rev_title")]
-    key = W.partitionBy(*keys).orderBy(*order)
-    gap = F.datediff(eff, F.lag("end_date").over(key))
-    opens = (F.row_number().over(key) == 1) | F.coalesce(gap > gap_days, F.lit(False))
-    numbered = days.withColumn("opens", opens.cast("int")).withColumn("tenure", F.sum("opens").over(key))
-    entry = F.struct(eff.alias("eff"), F.col("rev_end").isNull().alias("normal"), F.col("rev_end").alias("e"),
-                     F.col("rev_title").alias("t"), F.array_sort("seen").alias("seen"))
-    listed = F.array_sort(F.collect_list(entry))
-    titles = F.array_distinct(F.flatten(F.transform(listed, lambda p: F.transform(p["seen"], lambda s: s["title"]))))
-    # a reversed row is the last of its tenure; its further copies each stand alone
+        F.coalesce(F.min(end), F.lit("9999-12-31").cast("date")).alias("first_end"),
+        F.max(end).alias("last_end"), F.count_if(end.isNull()).alias("open"), F.count(F.lit(1)).alias("copies"))
+    # a reversed row stands alone within its day, all other rows of a day form one step
+    day = W.partitionBy(*keys, "eff_date", "rev_end", F.when(F.col("rev_end").isNotNull(), F.col("job_title_cd")))
+    whole = day.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    place = [eff, F.col("rev_end").asc_nulls_last(), F.col("job_title_cd")]
+    key = W.partitionBy(*keys).orderBy(*place)
+    steps = days.withColumns({
+        "day_end": F.when(F.max("open").over(whole) == 0, F.max("last_end").over(whole)),
+        "leads": F.row_number().over(day.orderBy("job_title_cd")) == 1})
+    gap = F.datediff(eff, F.lag("day_end").over(key))
+    opens = F.col("leads") & ((F.row_number().over(key) == 1) | F.coalesce(gap > gap_days, F.lit(False)))
+    numbered = steps.withColumn("opens", opens.cast("int")).withColumn("tenure", F.sum("opens").over(key))
     rev = F.col("rev_end").isNotNull()
+    seen = F.struct(eff.alias("eff"), (~rev).alias("normal"), F.col("first_end").alias("e"), F.col("job_title_cd").alias("t"))
+    titles = F.array_distinct(F.transform(F.array_sort(F.collect_list(seen)), lambda x: x["t"]))
+    # a reversed row is the last of its tenure; its further copies each stand alone
     tenures = numbered.groupBy(*keys, "tenure").agg(
         F.min("eff_date").alias("first"),
-        F.when(F.count_if(F.col("end_date").isNull()) == 0, F.max("end_date")).alias("last"),
+        F.when(F.max("open") == 0, F.max("last_end")).alias("last"),
         F.array_join(titles, "; ", "NA").alias("titles"),
-        F.max(F.when(rev, eff)).alias("rev_eff"), F.max("rev_end").alias("rev_end"), F.max("rev_title").alias("rev_title"),
+        F.max(F.when(rev, eff)).alias("rev_eff"), F.max("rev_end").alias("rev_end"),
+        F.max(F.when(rev, F.col("job_title_cd"))).alias("rev_title"),
         (1 + F.coalesce(F.max(F.when(rev, F.col("copies") - 1)), F.lit(0))).alias("n"))
     one = F.col("i") == 1
     return repeat_rows(tenures, "n", "i").select(
@@ -97,13 +101,17 @@ def previous_at_unit(tenures: DataFrame) -> DataFrame:
     see at most two rows per unit and calendar day, and one row per start day.
     """
     ended = tenures.filter("end_date is not null")
+    # start day and length in one long, which a hash aggregate can hold: earliest start, then shortest
+    start_day = F.datediff("eff_date", F.lit("1970-01-01").cast("date")).cast("bigint")
     best = ended.groupBy(*UNIT, "end_date", "person_id").agg(
-        F.min(F.struct("eff_date", "tenure_length")).alias("b"))
-    day = W.partitionBy(*UNIT, "end_date").orderBy("b.eff_date", "person_id")
+        F.min(F.shiftleft(start_day, 32) + F.col("tenure_length") + F.lit(1 << 31)).alias("packed"))
+    best = best.select(*UNIT, "end_date", "person_id", F.shiftright("packed", 32).alias("start_day"),
+                       (F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int").alias("tenure_length"))
+    day = W.partitionBy(*UNIT, "end_date").orderBy("start_day", "person_id")
     two = best.withColumn("rk", F.row_number().over(day)).filter("rk <= 2")
     # preferred leaver last within a day, so 'last so far' is the preferred one
     line = W.partitionBy(*UNIT).orderBy("end_date", F.col("rk").desc())
-    who = F.struct("person_id", F.col("b.tenure_length").alias("tenure_length"))
+    who = F.struct("person_id", "tenure_length")
     prior = F.lag("who").over(line)
     ranked = two.withColumn("who", who).withColumn("prior", prior)
     turned = F.when(F.col("prior.person_id") != F.col("person_id"), F.col("prior"))

@@ -236,16 +236,16 @@ def has(c: str) -> str:
 SELECT dataset_id, CASE WHEN {has('latitude')} THEN 'latitude' END AS latitude, CASE WHEN {has('incident_time')} THEN 'incident_time' END AS time,
  CASE WHEN {has('primary_type')} THEN 'primary_type' END AS crime_type FROM v_catalog""", CATALOG)
 def b13a(t):
-    return catalog(t).select("dataset_id", *[
-        detect.exact_match(F.col("columns"), rules.FIELD_PATTERNS[f][0]).alias(f) for f in ("latitude", "time", "crime_type")])
+    return catalog(t).withColumn("low", detect.lowered(F.col("columns"))).select("dataset_id", *[
+        detect.exact_match(F.col("columns"), F.col("low"), rules.FIELD_PATTERNS[f][0]).alias(f) for f in ("latitude", "time", "crime_type")])
 
 
 @query("b13b_contained_words", f"""
 SELECT dataset_id, CASE WHEN {has('Occurred Date')} THEN 'Occurred Date' WHEN {has('incident_time')} THEN 'incident_time' END AS date,
  CASE WHEN {has('description')} THEN 'description' END AS description FROM v_catalog""", CATALOG)
 def b13b(t):
-    return catalog(t).select("dataset_id", *[
-        detect.contains_match(F.col("columns"), rules.FIELD_PATTERNS[f][1]).alias(f) for f in ("date", "description")])
+    return catalog(t).withColumn("low", detect.lowered(F.col("columns"))).select("dataset_id", *[
+        detect.contains_match(F.col("columns"), F.col("low"), rules.FIELD_PATTERNS[f][1]).alias(f) for f in ("date", "description")])
 
 
 @query("b13c_similar_names", f"""
