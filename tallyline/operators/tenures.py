@@ -39,6 +39,7 @@ def gap_tenures(df: DataFrame, gap_days: int = 30, keys: list[str] = KEYS) -> Da
     ).agg(
         F.coalesce(F.min(end), F.lit("9999-12-31").cast("date")).alias("first_end"),
         F.max(end).alias("last_end"), F.count_if(end.isNull()).alias("open"), F.count(F.lit(1)).alias("copies"))
+    days = days.repartition(*keys)      # one exchange that serves all windows and the last aggregate
     # a reversed row stands alone within its day, all other rows of a day form one step
     day = W.partitionBy(*keys, "eff_date", "rev_end", F.when(F.col("rev_end").isNotNull(), F.col("job_title_cd")))
     whole = day.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -157,8 +158,10 @@ def management_changes(tenures: DataFrame) -> DataFrame:
     """One row per tenure with the previous manager of the unit and the previous unit of the manager.
 
     Both lookups are windows over one row per day, joined back by equality: no
-    range join, and no group larger than the calendar.
+    range join, and no group larger than the calendar. The tenures feed both
+    lookups and the result, so they are written once to the checkpoint folder.
     """
+    tenures = cut_lineage(tenures)
     return with_previous_unit(with_previous_manager(tenures)).select(
         "company", F.col("person_id").alias("new_manager_id"), F.col("unit_id").alias("current_store"),
         F.col("eff_date").alias("start_date"), "previous_manager_id", "previous_manager_tenure",
