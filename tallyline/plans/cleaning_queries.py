@@ -380,3 +380,22 @@ def c31(t):
 def c32(t):
     df = t.v_incidents.select("incident_id", "latitude", "longitude")
     return impute.impute(impute.impute(df, "no such method"), "mean", columns=["latitude", "longitude"])
+
+
+KNN = """p AS (SELECT incident_id, latitude AS a, longitude AS b, CAST(substr(combined_time, 1, 2) AS DOUBLE) AS h FROM v_incidents),
+ rec AS (SELECT * FROM p WHERE a IS NULL OR b IS NULL OR h IS NULL),
+ d AS (SELECT r.incident_id, q.incident_id AS qid, q.a, q.b, q.h, CASE WHEN r.a IS NULL THEN 'ab' ELSE 'h' END AS part,
+   (coalesce((r.a - q.a) * (r.a - q.a), 0) + coalesce((r.b - q.b) * (r.b - q.b), 0) + coalesce((r.h - q.h) * (r.h - q.h), 0))
+   * (3.0::DOUBLE / (CAST(r.a + q.a IS NOT NULL AS INT) + CAST(r.b + q.b IS NOT NULL AS INT) + CAST(r.h + q.h IS NOT NULL AS INT))) AS dist
+  FROM rec r JOIN p q ON ((r.a IS NULL AND r.h IS NOT NULL AND q.a IS NOT NULL AND q.h IS NOT NULL) OR (r.h IS NULL AND r.a IS NOT NULL AND q.h IS NOT NULL AND q.a IS NOT NULL))),
+ near AS (SELECT incident_id, part, avg(a) AS a, avg(b) AS b, avg(h) AS h FROM (SELECT * FROM d
+   QUALIFY row_number() OVER (PARTITION BY incident_id, part ORDER BY dist, qid) <= 5) GROUP BY 1, 2)"""
+
+
+@query("c29_nearest_rows", f"""
+WITH {KNN} SELECT p.incident_id, round(coalesce(p.a, n.a, (SELECT avg(a) FROM p)), 6) AS latitude,
+ round(coalesce(p.b, n.b, (SELECT avg(b) FROM p)), 6) AS longitude, round(coalesce(p.h, n.h, (SELECT avg(h) FROM p)), 6) AS hour
+FROM p LEFT JOIN near n ON n.incident_id = p.incident_id""", INC)
+def c29(t):
+    df = I.add_date_parts(t.v_incidents).select("incident_id", "latitude", "longitude", F.col("hour").cast("double").alias("hour"))
+    return impute.impute(df, "knn", columns=["latitude", "longitude", "hour"])
