@@ -11,15 +11,15 @@ from .distribution import percent
 def z_outliers(daily: DataFrame, threshold: float = 3.0, date: str = "combined_date") -> DataFrame:
     """Days more than ``threshold`` population standard deviations from the mean."""
     s = one_row(daily.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd")))
-    z = F.try_divide(F.col("n") - s["mean"], s["sd"])
-    return daily.select(date, "n", z.alias("z")).filter(F.abs(F.col("z")) > threshold)
+    z = F.try_divide(F.col("n") - F.col("s.mean"), F.col("s.sd"))
+    return daily.withColumn("s", s).select(date, "n", z.alias("z")).filter(F.abs(F.col("z")) > threshold)
 
 
 def iqr_outliers(daily: DataFrame, factor: float = 1.5, date: str = "combined_date") -> DataFrame:
     """Days strictly outside the quartiles by ``factor`` interquartile ranges."""
     s = one_row(daily.agg(F.percentile("n", F.array(F.lit(0.25), F.lit(0.75))).alias("q")))
-    q1, q3 = s["q"][0], s["q"][1]
-    return daily.select(date, "n", (q1 - factor * (q3 - q1)).alias("lower"), (q3 + factor * (q3 - q1)).alias("upper")) \
+    q1, q3 = F.col("s.q")[0], F.col("s.q")[1]
+    return daily.withColumn("s", s).select(date, "n", (q1 - factor * (q3 - q1)).alias("lower"), (q3 + factor * (q3 - q1)).alias("upper")) \
         .filter((F.col("n") < F.col("lower")) | (F.col("n") > F.col("upper")))
 
 

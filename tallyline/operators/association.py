@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.joins import one_row
+from ..session import cut_lineage
 from .distribution import ratio
 from .incidents import tally
 
@@ -59,30 +60,28 @@ def chi_square(df: DataFrame, row: str, col: str, weight: str | None = None, alp
     one degree of freedom each deviation is reduced by at most 0.5. A single row
     or column gives statistic 0, p 1 and no V.
     """
-    cells = contingency(df, row, col, weight)
+    # every figure below derives from the cells, so the rows are read once
+    cells = cut_lineage(contingency(df, row, col, weight))
     rows = tally(cells, [row], "n", "r")
     cols = tally(cells, [col], "n", "c")
-    shape = one_row(rows.agg(F.count(F.lit(1)).alias("k"), F.sum("r").alias("total")))
-    width = one_row(cols.agg(F.count(F.lit(1)).alias("k")))["k"]
-    total = shape["total"].cast("double")
+
+    def margin(counts: DataFrame, n: str) -> Column:
+        c = F.col(n).cast("double")
+        return one_row(counts.agg(F.count(F.lit(1)).alias("k"), F.sum(c).alias("total"), F.sum(1 / c).alias("inverse")))
+
     n, r, c = (F.col(x).cast("double") for x in ("n", "r", "c"))
-    # sums of n/(r c) and n^2/(r c); the first serves only the 2x2 table, where zero cells matter:
-    # there every |O - E| is the same number
-    expected = r * c / total
-    agg = cells.join(rows, row).join(cols, col).agg(
+    sums = cells.withColumn("total", one_row(cells.agg(F.sum("n").cast("double").alias("t")))["t"]).join(rows, row).join(cols, col).agg(
         F.sum(n * n / (r * c)).alias("q"),
-        F.max(F.abs(n - expected)).alias("dev"))
-    dof = (shape["k"] - 1) * (width - 1)
-    marginals = rows.agg(F.sum(1 / F.col("r").cast("double")).alias("ir"))
-    inv = one_row(marginals)["ir"]
-    inv_c = one_row(cols.agg(F.sum(1 / F.col("c").cast("double")).alias("ic")))["ic"]
+        F.max(F.abs(n - r * c / F.col("total"))).alias("dev"))      # the same in all four cells of a 2 x 2 table
+    both = sums.withColumns({"a": margin(rows, "r"), "b": margin(cols, "c")}).select(
+        "q", "dev", F.col("a.total"), F.col("a.k").alias("ka"), F.col("b.k").alias("kb"),
+        (F.col("a.inverse") * F.col("b.inverse")).alias("inverse"))
+    dof = (F.col("ka") - 1) * (F.col("kb") - 1)
     shrunk = F.greatest(F.col("dev") - 0.5, F.lit(0.0))
-    # sum over the four cells of 1/E = N * sum(1/r) * sum(1/c)
-    yates = shrunk * shrunk * total * inv * inv_c
-    stat = F.when(dof == 0, F.lit(0.0)).when(dof == 1, yates).otherwise(total * (F.col("q") - 1))
-    out = agg.select(
-        F.greatest(stat, F.lit(0.0)).alias("chi_square"), dof.alias("dof"),
-        F.least(shape["k"], width).alias("_k"), total.alias("_n"))
+    # the sum over all cells of 1 / E is N * sum(1/r) * sum(1/c)
+    yates = shrunk * shrunk * F.col("total") * F.col("inverse")
+    stat = F.when(dof == 0, 0.0).when(dof == 1, yates).otherwise(F.greatest(F.col("total") * (F.col("q") - 1), F.lit(0.0)))
+    out = both.select(stat.alias("chi_square"), dof.alias("dof"), F.least("ka", "kb").alias("_k"), F.col("total").alias("_n"))
     return out.select(
         "chi_square", "dof", _tail(F.col("chi_square"), F.col("dof").cast("double")).alias("p_value"),
         F.sqrt(F.try_divide(F.col("chi_square"), F.col("_n") * (F.col("_k") - 1))).alias("cramers_v"),
@@ -99,24 +98,22 @@ def hour_type_correlation(df: DataFrame, dim: str = "crime_type", weight: str |
     with a constant indicator have no correlation and are left out. Null when
     there are not more than ``more_than`` timed rows.
     """
-    cells = tally(df.filter(F.col("hour").isNotNull() & F.col(dim).isNotNull()), ["hour", dim], weight)
-    hours = tally(cells, ["hour"], "n", "h")
-    types = tally(cells, [dim], "n", "t")
-    total = one_row(hours.agg(F.sum("h").alias("N")))["N"].cast("double")
+    cells = cut_lineage(tally(df.filter(F.col("hour").isNotNull() & F.col(dim).isNotNull()), ["hour", dim], weight))
+    total = one_row(cells.agg(F.sum("n").cast("double").alias("total")))["total"]
 
     def strength(x: str) -> Column:
         v = F.col(x).cast("double")
-        return F.when(v < total, F.sqrt(F.try_divide(v, total - v)))
+        return F.when(v < F.col("total"), F.sqrt(F.try_divide(v, F.col("total") - v)))
 
-    hours = hours.select("hour", "h", strength("h").alias("ah"))
-    types = types.select(dim, "t", strength("t").alias("at"))
+    hours = tally(cells, ["hour"], "n", "h").withColumn("total", total).select("hour", "h", strength("h").alias("ah"))
+    types = tally(cells, [dim], "n", "t").withColumn("total", total).select(dim, "t", "total", strength("t").alias("at"))
     hour_list = hours.filter("ah is not null").agg(
         F.collect_list(F.struct("ah", "hour")).alias("l")).scalar()   # at most 24 entries
-    phi = (total * F.col("n") - F.col("h") * F.col("t").cast("double")) / F.sqrt(
-        F.col("h") * (total - F.col("h")) * F.col("t") * (total - F.col("t")))
+    h, t, N = F.col("h").cast("double"), F.col("t").cast("double"), F.col("total")
+    phi = (N * F.col("n") - h * t) / F.sqrt(h * (N - h) * t * (N - t))
     present = cells.join(hours, "hour").join(types, dim).filter("ah is not null and at is not null")
     per_type = present.groupBy(dim).agg(
-        F.max(F.abs(phi)).alias("max_seen"), F.sum(F.abs(phi)).alias("sum_seen"),
+        F.max(F.abs(phi)).alias("max_seen"), F.sum(F.abs(phi)).alias("sum_seen"), F.max("total").alias("total"),
         F.sum("ah").alias("ah_seen"), F.max("at").alias("at"), F.collect_set("hour").alias("seen"))
     per_type = per_type.withColumn("hours", hour_list)
     absent = F.filter("hours", lambda x: ~F.array_contains(F.col("seen"), x["hour"]))
@@ -126,7 +123,7 @@ def hour_type_correlation(df: DataFrame, dim: str = "crime_type", weight: str |
     out = per_type.agg(
         F.max(F.greatest(F.col("max_seen"), top_absent)).alias("mx"),
         F.sum(F.col("sum_seen") + zero_sum).alias("sm"),
-        F.sum(F.size("hours")).alias("cells"))
-    enough = total > more_than
+        F.sum(F.size("hours")).alias("cells"), F.max("total").alias("total"))
+    enough = F.col("total") > more_than
     return out.select(F.when(enough, F.col("mx")).alias("max_correlation"),
                       F.when(enough, ratio(F.col("sm"), F.col("cells"))).alias("mean_correlation"))

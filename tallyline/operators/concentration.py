@@ -14,6 +14,8 @@ from ..functions.joins import one_row
 from .distribution import percent, ratio
 from .incidents import tally
 
+ALL = (W.unboundedPreceding, W.unboundedFollowing)
+
 
 def category_histogram(counts: DataFrame, n: str = "n") -> DataFrame:
     return counts.groupBy(F.col(n).alias("n")).agg(F.count(F.lit(1)).alias("m"))
@@ -34,10 +36,10 @@ def gini(counts: DataFrame, n: str = "n") -> DataFrame:
     """(k + 1 - 2 * sum of running sums / total) / k over ascending counts."""
     h = category_histogram(counts, n)
     below = F.coalesce(F.sum("m").over(W.orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    k = one_row(h.agg(F.sum("m").alias("k")))["k"]
+    blocks = h.select("n", "m", below.alias("below"), F.sum("m").over(W.orderBy("n").rowsBetween(*ALL)).alias("k"))
     # a block of m equal counts after `below` smaller ones: sum over its ranks of (k - rank + 1)
-    ranks = F.col("m") * (k - F.col("below") + 1) - F.col("m") * (F.col("m") + 1) / 2
-    return h.withColumn("below", below).agg(
+    ranks = F.col("m") * (F.col("k") - F.col("below") + 1) - F.col("m") * (F.col("m") + 1) / 2
+    return blocks.agg(
         F.sum(F.col("n").cast("double") * ranks).alias("area"),
         F.sum(F.col("n") * F.col("m")).alias("total"), F.sum("m").alias("k"),
     ).select(ratio(F.col("k") + 1 - 2 * ratio(F.col("area"), F.col("total")), F.col("k")).alias("gini_coefficient"))
@@ -46,15 +48,15 @@ def gini(counts: DataFrame, n: str = "n") -> DataFrame:
 def top_shares(counts: DataFrame, shares: tuple[float, ...] = (0.1, 0.2), n: str = "n") -> DataFrame:
     """Percentage of rows in the top share of categories, at least one category."""
     h = category_histogram(counts, n)
-    down = W.orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, -1)
+    down = W.orderBy(F.col("n").desc())
+    above = down.rowsBetween(W.unboundedPreceding, -1)
     run = h.select(
-        "n", "m",
-        F.coalesce(F.sum("m").over(down), F.lit(0)).alias("above"),
-        F.coalesce(F.sum(F.col("n") * F.col("m")).over(down), F.lit(0)).alias("sum_above"))
-    k = one_row(h.agg(F.sum("m").alias("k")))["k"]
+        "n", "m", F.sum("m").over(down.rowsBetween(*ALL)).alias("k"),
+        F.coalesce(F.sum("m").over(above), F.lit(0)).alias("above"),
+        F.coalesce(F.sum(F.col("n") * F.col("m")).over(above), F.lit(0)).alias("sum_above"))
 
     def share(s: float) -> Column:
-        rank = F.greatest(F.floor(F.lit(s) * k), F.lit(1))
+        rank = F.greatest(F.floor(F.lit(s) * F.col("k")), F.lit(1))
         here = (rank > F.col("above")) & (rank <= F.col("above") + F.col("m"))
         upto = F.col("sum_above") + (rank - F.col("above")) * F.col("n")
         return percent(F.sum(F.when(here, upto)), F.sum(F.col("n") * F.col("m"))).alias(f"top_{round(s * 100)}_pct_share")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dates as D
 from ..functions.rules import WEEKDAYS
+from ..session import cut_lineage
 from .incidents import tally, total_of
 
 HOURS = 24
@@ -89,11 +90,14 @@ def top_series(df: DataFrame, dim: str = "crime_type", k: int = 10, weight: str
 
 def dataset_summary(df: DataFrame, k: int = 10, weight: str | None = None) -> DataFrame:
     """Records and date range, all city counts, top types and top locations as one tagged table."""
-    head = df.agg(total_of(weight).alias("n"), F.min("combined_date").alias("lo"), F.max("combined_date").alias("hi"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    base = cut_lineage(df.groupBy("city", "crime_type", "location_type").agg(
+        n.alias("n"), F.min("combined_date").alias("lo"), F.max("combined_date").alias("hi")))      # one pass over the rows
+    head = base.agg(total_of("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     span = F.concat_ws(" to ", F.date_format("lo", "yyyy-MM-dd"), F.date_format("hi", "yyyy-MM-dd"))
 
     def part(dim: str, limit: int | None) -> DataFrame:
-        counts = tally(df, [dim], weight)
+        counts = tally(base, [dim], "n")
         if limit is not None:
             counts = counts.orderBy(F.col("n").desc(), F.col(dim).asc_nulls_last()).limit(limit)
         return counts.select(F.lit(dim).alias("section"), F.col(dim).alias("value"), "n")
