@@ -138,7 +138,7 @@ def export_table(matches: DataFrame, ordered: bool = True) -> DataFrame:
     Sorted by score, then population, both descending and numeric.
     """
     if ordered:
-        matches = matches.orderBy(F.col("match_score").desc(), F.col("population").desc())
+        matches = matches.orderBy(F.col("match_score").desc(), F.col("population").desc(), "dataset_id")
     kinds = dict(matches.dtypes)
     out: list[Column] = []
     for source, name in EXPORT_NAMES.items():
@@ -277,7 +277,7 @@ def mapping_quality(df: DataFrame, mapping: str = "column_mapping", fixed: str |
 
 
 def quality_export(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.col("quality_score").desc(), F.col("population").desc())
+    return df.orderBy(F.col("quality_score").desc(), F.col("population").desc(), "dataset_id")
 
 
 def quality_by_city(df: DataFrame) -> DataFrame:

@@ -32,7 +32,22 @@ def first_per_id(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(at)).filter("_rn = 1").drop("_rn")
 
 
+# up to this k the ranking filter prunes each task's rows before the shuffle
+PRUNED_K = 1000
+SALTS = 32
+
+
 def first_k_per(df: DataFrame, key: str, k: int, order_by: list[str]) -> DataFrame:
-    """At most ``k`` rows per key, in order."""
-    at = W.partitionBy(key).orderBy(*order_by)
-    return df.withColumn("_rn", F.row_number().over(at)).filter(F.col("_rn") <= k).drop("_rn")
+    """At most ``k`` rows per key, in order.
+
+    For large ``k`` the rows of a key are first ranked within salts: the first k
+    of a key are among the first k of each salt, so no task sorts a whole key.
+    """
+    def ranked(rows: DataFrame, *by: str) -> DataFrame:
+        at = W.partitionBy(*by).orderBy(*order_by)
+        return rows.withColumn("_rn", F.row_number().over(at)).filter(F.col("_rn") <= k).drop("_rn")
+
+    if k > PRUNED_K:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(SALTS)))
+        df = ranked(salted, key, "_salt").drop("_salt")
+    return ranked(df, key)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from . import clean, dedupe, impute
-from .distribution import percent
+from .distribution import percent, ratio
 
 
 def unify(sources: list[tuple[DataFrame, str]], enhance: bool = True, formats: dict[str, list[str]] | None = None,
@@ -25,7 +25,10 @@ def unify(sources: list[tuple[DataFrame, str]], enhance: bool = True, formats: d
         table = clean.validate_ranges(table, repair_swapped)
         table = impute.smart(table)
         table = dedupe.drop_near(table, ["source_name", "incident_id"])
-    return table.orderBy(F.col("datetime").asc_nulls_last()) if ordered else table
+    if not ordered:
+        return table
+    # the further columns let the range sort split rows of one datetime, or without any
+    return table.orderBy(F.col("datetime").asc_nulls_last(), "source_name", "incident_id")
 
 
 COMPLETENESS = ["latitude", "longitude", "address", "arrest_made"]
@@ -33,12 +36,17 @@ COMPLETENESS = ["latitude", "longitude", "address", "arrest_made"]
 
 def unified_summary(df: DataFrame) -> DataFrame:
     """Total, date range, distinct cities and sources, mean quality and completeness in percent."""
-    rows = F.count(F.lit(1))
-    return df.agg(
-        rows.alias("total"), F.min("datetime").alias("first"), F.max("datetime").alias("last"),
+    # combined per city and source first: two distinct counts on all rows would copy every row
+    base = df.groupBy("city", "source_name").agg(
+        F.count(F.lit(1)).alias("n"), F.min("datetime").alias("first"), F.max("datetime").alias("last"),
+        F.sum("data_quality_score").alias("score"), F.count("data_quality_score").alias("scored"),
+        *[F.count(c).alias(c) for c in COMPLETENESS])
+    n = F.sum("n")
+    return base.agg(
+        n.alias("total"), F.min("first").alias("first"), F.max("last").alias("last"),
         F.count_distinct("city").alias("cities"), F.count_distinct("source_name").alias("sources"),
-        F.avg("data_quality_score").alias("mean_quality"),
-        *[percent(F.count(c), rows).alias(f"{c}_complete") for c in COMPLETENESS])
+        ratio(F.sum("score"), F.sum("scored")).alias("mean_quality"),
+        *[percent(F.sum(c), n).alias(f"{c}_complete") for c in COMPLETENESS])
 
 
 def category_distribution(df: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ WITH {PREP} SELECT count(*) AS total_records, date_diff('day', min(combined_date
  count(DISTINCT city) AS unique_cities, count(DISTINCT crime_type) AS unique_crime_types,
  count(DISTINCT location_type) AS unique_location_types FROM prep""", INC)
 def d06_overview(t):
-    return S1.overview(prep(t))
+    return S1.overview(I.cube(prep(t)), "n")
 
 
 @query("d07_most_common", f"""
@@ -153,8 +153,8 @@ WITH {PREP}, a AS (SELECT 'crime_type' AS dim, crime_type AS value, count(*) AS
 SELECT dim, value, n AS count, round(100.0 * n / (SELECT count(*) FROM prep), 6) AS percentage
 FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""", INC)
 def d07(t):
-    p = prep(t)
-    parts = [S1.most_common(p, d).select(F.lit(d).alias("dim"), "*") for d in ("crime_type", "location_type")]
+    p = I.cube(prep(t))
+    parts = [S1.most_common(p, d, "n").select(F.lit(d).alias("dim"), "*") for d in ("crime_type", "location_type")]
     return parts[0].union(parts[1])
 
 
