@@ -127,9 +127,8 @@ def detect_columns(df: DataFrame, key: str = "dataset_id", sample: str | None =
              for f, (exact, words, _) in rules.FIELD_PATTERNS.items()}
     out = df.withColumn("_low", lowered(names)).withColumns({f"_{f}": c for f, c in found.items()}).drop("_low")
     if fuzzy:
-        # not a filter: pushed below the projection it would repeat every search
-        open_fields = X.any_of([F.col(f"_{f}").isNull() for f in found])
-        similar = fuzzy_matches(out.select(key, F.when(open_fields, names).alias("columns")), key).groupBy(key).agg(
+        # over all datasets: hardly any has every field, and finding those would repeat the search above
+        similar = fuzzy_matches(df.select(key, "columns"), key).groupBy(key).agg(
             F.map_from_entries(F.collect_list(F.struct("field", "column"))).alias("_similar"))  # at most one per field
         out = out.join(similar, key, "left").withColumns({
             f"_{f}": F.coalesce(F.col(f"_{f}"), F.try_element_at("_similar", F.lit(f))) for f in found}).drop("_similar")
