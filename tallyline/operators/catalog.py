@@ -165,8 +165,7 @@ def real_datasets(matches: DataFrame) -> DataFrame:
 def compatibility_summary(matches: DataFrame, include_placeholders: bool = False) -> DataFrame:
     """Cities, datasets, perfect matches, mean score and the three score bands.
 
-    The reference counts its placeholder rows as datasets of score 0, which
-    ``include_placeholders`` reproduces.
+    ``include_placeholders`` counts placeholder rows as datasets of score 0.
     """
     s = F.col("match_score")
     real = F.lit(True) if include_placeholders else ~F.col("dataset_id").cast("string").isin(NO_DATASETS, ERROR)

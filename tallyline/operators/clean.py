@@ -158,8 +158,8 @@ def validate_ranges(df: DataFrame, repair_swapped: bool = True, lat: str = "lati
     """Coordinates out of range become NULL.
 
     ``repair_swapped`` first exchanges pairs whose latitude is out of range while
-    the longitude would be a latitude; the reference tries this after the
-    out-of-range latitude is gone, which ``False`` reproduces.
+    the longitude would be a latitude. With ``False`` such pairs just lose the
+    out-of-range value.
     """
     y, x = F.col(lat), F.col(lon)
     if repair_swapped:

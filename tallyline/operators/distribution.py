@@ -66,8 +66,8 @@ def date_quality(df: DataFrame, as_of: str, date: str = "combined_date", earlies
 def hour_profile(df: DataFrame, weight: str | None = None) -> DataFrame:
     """Clock coverage, first and busiest hour and the midnight share.
 
-    ``first_hour`` is the smallest hour present (the value the reference
-    reports as its peak); ``peak_hour`` is the busiest one.
+    ``first_hour`` is the smallest hour present (often
+    reported as the peak by mistake); ``peak_hour`` is the busiest one.
     """
     hours = tally(df, ["hour"], weight)
     timed, n, h = F.col("hour").isNotNull(), F.col("n"), F.col("hour")
