@@ -11,14 +11,16 @@ from .distribution import percent, ratio
 
 
 def unify(sources: list[tuple[DataFrame, str]], enhance: bool = True, formats: dict[str, list[str]] | None = None,
-          order_by: dict[str, list[str]] | None = None, ordered: bool = True,
+          order_by: dict[str, list[str]] | None = None, stable: tuple[str, ...] = (), ordered: bool = True,
           repair_swapped: bool = True) -> DataFrame:
     """Standardise, union, validate, impute, deduplicate and sort by datetime (missing last).
 
     The quality score is that of the standardised row, before validation.
-    ``formats`` and ``order_by`` give date patterns and the row order per source.
+    ``formats`` and ``order_by`` give date patterns and the row order per source;
+    ``stable`` names sources that are plain file scans. Both matter only for
+    sources without ids, whose rows are numbered.
     """
-    parts = [clean.standardize(df, name, (formats or {}).get(name), (order_by or {}).get(name), stable=name not in (order_by or {}))
+    parts = [clean.standardize(df, name, (formats or {}).get(name), (order_by or {}).get(name), stable=name in stable)
              for df, name in sources]
     table = reduce(DataFrame.unionByName, parts)
     if enhance:
