@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import phrases, suffixes
+from ..session import scratch_path
+from . import contamination, language, packing, phrases, quality, sharding, simhash, suffixes, tokenfiles, urls
+from .common import ROW, with_row_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +46,71 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     left = F.when(F.length("kept") == 0, 0).otherwise(F.length("kept") - F.length(F.translate("kept", " ", "")) + 1)
     return done.select("doc_id", (left + removed()).cast("long").alias("n_words"), removed().alias("n_removed"),
                        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op1_sharding")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.assign(read(spark, folder, "documents"), 8)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
+
+
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query("op3_url_filters")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Examples are the pages whose id has a label (bad: toxic or of low quality) and the pages an explicit rule decides."""
+    pages, labels = read(spark, folder, "pages").select("page_id", "url"), read(spark, folder, "labels")
+    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("labelled"))
+    _, said = urls.matched_rule(*urls.split_url(F.col("url")), RULES)
+    examples = pages.join(bad, "page_id", "left").select("url", F.coalesce(said == "block", "labelled").alias("bad"))
+    judged = urls.judge(pages, examples, RULES)
+    ids = with_row_key(pages.select("page_id", "url")).select(ROW, "page_id")
+    return judged.join(ids, ROW).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op4_quality_rules")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return judged.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "score")
+
+
+@query("op6_benchmark_decontamination", """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+t AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+n AS (SELECT item_id, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT doc_id, item_id, count(*) AS common FROM d JOIN t USING (s) GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS n_shingles, common AS n_common, common / n AS containment FROM c JOIN n USING (item_id) WHERE 5 * common >= 4 * n""")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = contamination.contained(docs, read(spark, folder, "benchmark"))
+    ids = with_row_key(docs).select(ROW, "doc_id")
+    return found.join(ids, ROW).select("doc_id", "item_id", F.col("n").alias("n_shingles"), F.col("common").alias("n_common"), "containment")
+
+
+@query("op7_token_id_output")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    target = scratch_path(spark, "token-files")
+    tokenfiles.write_tokens(read(spark, folder, "documents").select("doc_id", "text"), target, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfiles.read_tokens(spark, target).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query("op8_simhash_near_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.fit(docs.where("not held_out"))
+    return language.identify(docs, model, keep=["doc_id", "held_out"])
