@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import (BYTE_CODES, ROW, U64, map_arrow, mixed, pieces, powers, prefix_hash, raw_bytes, stored, with_row_key,
+from .common import (BYTE_CODES, ROW, U64, map_arrow, mixed, packed, pieces, powers, prefix_hash, raw_bytes, stored, with_row_key,
                      word_bounds, word_hashes)
 
 PIECE = 1 << 20
@@ -243,25 +243,24 @@ def without_spans(docs: DataFrame, text: str, spans: DataFrame, cut: Callable[[b
 
     ``cut(text, spans)`` gives the bytes left of one document.
     """
-    keyed = with_row_key(docs)
-    joined = keyed.join(spans.withColumnRenamed("row", ROW), ROW, "left")
-    others = [c for c in docs.columns if c not in ("kept", "spans")]
+    others = [f for f in docs.schema.fields if f.name.lower() not in ("kept", "spans")]
+    source = packed(docs).join(spans, "row", "left").select("doc", F.col("doc").getField(text).alias("text"), "parts")
+    kind = pa.string() if kept_type == "string" else pa.binary()
+    kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    names = [f.name for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.string() if kept_type == "string" else pa.binary()
         for batch in batches:
-            table = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            doc = batch.column(0)
             kept, spans_of = [], []
-            for value, parts in zip(table["_text"], table["parts"], strict=True):
+            for value, parts in zip(batch.column(1), batch.column(2), strict=True):
                 raw = value.as_py()
                 raw = b"" if raw is None else raw.encode() if isinstance(raw, str) else raw
                 found = union_spans(parts.as_py() or [])
                 left = cut(raw, found)
                 kept.append(left.decode() if kept_type == "string" else left)
                 spans_of.append([{"start": a, "end": b} for a, b in found])
-            kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([table[c] for c in others] + [pa.array(kept, kind), pa.array(spans_of, kinds)], [*others, "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([*[doc.field(c) for c in names], pa.array(kept, kind), pa.array(spans_of, kinds)], [*names, "kept", "spans"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in others)
-    source = joined.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("_text"), "parts")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
     return map_arrow(source, run, ", ".join(x for x in (fields, f"kept {kept_type}", "spans array<struct<start:long,end:long>>") if x))

@@ -31,12 +31,9 @@ def with_row_key(df: DataFrame, name: str = ROW) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores put before it until no column of ``df`` has it (case-insensitively)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+def packed(df: DataFrame) -> DataFrame:
+    """(row, doc): the row key (see ``with_row_key``) and all columns in one struct, so that no name can clash."""
+    return df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -58,10 +55,6 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def column_or_null(df: DataFrame, name: str, kind: str):
-    return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
-
-
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the offsets of its rows; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

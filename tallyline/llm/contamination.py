@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ROW, WORD_GAP, stored, with_row_key
+from .common import ROW, WORD_GAP, packed, stored, with_row_key
 
 #: Sketch entries (16 bytes each) and item text bytes up to which they are broadcast.
 MOST_ENTRIES = 1_000_000
@@ -83,5 +83,5 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", item_column
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that hold no item; see ``contained``."""
-    found = stored(contained(docs, items, **how).select(ROW).distinct(), "leaks")
-    return with_row_key(docs).join(found, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = stored(contained(docs, items, **how).select(F.col(ROW).alias("row")).distinct(), "leaks")
+    return packed(docs).join(found, "row", "left_anti").select("doc.*")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ROW, map_arrow, stored, with_row_key
+from .common import ROW, map_arrow, packed, stored, with_row_key
 from .tokens import crc, encoder
 
 PIECE = "row long, piece int, start long, length int, ids_crc32 long"
@@ -130,8 +130,8 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 0, c
     shorter; others stay whole. A null text is empty and still has its end id. Offsets are gapless from 0 in each sequence.
     Equal rows are packed each for itself. Columns of ``docs`` named like the new ones are replaced. An empty table gives no rows.
     """
-    keyed = with_row_key(docs)
-    pieces = stored(token_pieces(keyed, text, tokenizer, end_id, capacity), "pieces")
+    keyed = with_row_key(docs.select(F.col(f"`{text}`").alias("text")))
+    pieces = stored(token_pieces(keyed, "text", tokenizer, end_id, capacity), "pieces")
     bins = stored(packed_bins(pieces, capacity, spare, most_items), "sequences")
 
     def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +148,8 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 0, c
                                              [ROW, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     placed = map_arrow(bins, offsets, f"{ROW} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    new = set(placed.columns)
+    new = [c for c in placed.columns if c != ROW]
     others = [c for c in docs.columns if c != text and c.lower() not in new]
-    return placed.join(keyed.select(ROW, *[F.col(f"`{c}`") for c in others]), ROW).select(*[F.col(f"`{c}`") for c in others], *[c for c in placed.columns if c != ROW])
+    if not others:
+        return placed.select(*new)
+    return placed.join(packed(docs.select(*[F.col(f"`{c}`") for c in others])).withColumnRenamed("row", ROW), ROW).select("doc.*", *new)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ROW, map_arrow, stored, with_row_key
+from .common import ROW, map_arrow, packed, stored, with_row_key
 from .tokenfiles import current_partition
 
 
@@ -82,6 +82,7 @@ def assign(docs: DataFrame, shards: int, id_column: str = "doc_id", text: str =
 
 def write_shards(docs: DataFrame, shards: int, path: str, id_column: str = "doc_id", text: str = "text", files: int = 1) -> None:
     """Write the rows of ``docs`` into ``path/shard=k``, ``files`` files a shard by ranges of slots, in slot order."""
-    places = assign(docs, shards, id_column, text).select(ROW, "shard", "slot")
-    full = with_row_key(docs.select(*[c for c in docs.columns if c.lower() not in ("shard", "slot")])).join(places, ROW).drop(ROW)
+    places = assign(docs, shards, id_column, text).select(F.col(ROW).alias("row"), "shard", "slot")
+    others = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    full = packed(docs.select(*[F.col(f"`{c}`") for c in others])).join(places, "row").select("doc.*", "shard", "slot")
     full.repartitionByRange(shards * files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

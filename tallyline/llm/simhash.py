@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ROW, U64, map_arrow, raw_bytes, stored, with_row_key
+from .common import ROW, U64, map_arrow, packed, raw_bytes, stored, with_row_key
 from .components import components
 
 #: Low bit and width of the segments; the last one is matched exactly.
@@ -203,4 +203,4 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", *
     """One row of each component: the one of least id (nulls last), then of least place in the table."""
     found = near_duplicates(docs, id_column, text, **how)
     first = found.groupBy("root").agg(F.min_by(ROW, F.struct(F.col("id").isNull(), "id", ROW)).alias(ROW)).select(ROW)
-    return with_row_key(docs).join(stored(first, "first"), ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return packed(docs).join(stored(first.withColumnRenamed(ROW, "row"), "first"), "row", "left_semi").select("doc.*")
