@@ -1,142 +1,245 @@
 """Filling numeric columns from the k nearest rows, exactly and without comparing all pairs.
 
-The distance is Euclidean over the columns two rows both have, scaled up for
-those they do not share: sqrt(columns / shared * sum of squares). Rows are
-grouped by which columns they have. For a receiver pattern R and a donor pattern
-M the shared columns are fixed, and the two of widest spread span a grid of
-square cells on several levels.
-
-1. Receivers with equal values have equal neighbours and are looked up once; of
-   donors with equal shared values only the first k by key can ever be chosen.
-   So copies, however many, weigh no more than k rows.
-2. The finest cell around a receiver that holds k donors gives an upper bound of
-   its k-th distance from k comparisons.
-3. All donors within that bound lie in the 3 x 3 cells of the level whose cells
-   are at least as wide. They are joined by cell, ranked and cut to k.
+The distance is Euclidean over the columns two rows both have, scaled up for those they do not share:
+sqrt(columns / shared * sum of squares). Rows are grouped by which columns they have; a receiver pattern R and a donor
+pattern M that occur share the columns S. For each such (M, S):
+
+1. of donors with equal values in S only the first k by key can ever be chosen, so copies weigh no more than k rows;
+   receivers with equal values are looked up once;
+2. donors are dealt to the cells of a k-d tree over all columns of S, built from a bounded sample, so cells
+   hold about equally many donors however they are spread;
+3. the boxes of the cells bound a receiver's k-th distance from above (boxes in order of their farthest corner until they hold
+   k donors); it is sent to the cells whose nearest corner lies within;
+4. inside a cell the same tree, boxes and bounds are used again before distances are computed. Cells with many
+   receivers are split over tasks.
+
+The sample decides how even the cells are, never what is found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Iterator
 
-from ..functions.joins import lookup_join
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from ..session import cut_lineage, ship_package
 from .impute import numeric_columns
 
-MAX_COLUMNS = 8         # at most 2^8 patterns and 4^8 pattern pairs
-LEVELS = list(range(0, 25, 2))
+CELL_ROWS = 2_000           # donors a cell should hold
+MOST_CELLS = 2_048          # cells of one tree
+SAMPLE_ROWS = 200_000       # donors that shape all trees together
+TASK_RECEIVERS = 20_000
+
+
+class Tree:
+    """A k-d tree: inner nodes split the widest column of their points in the middle of the sorted values."""
+
+    def __init__(self, points: np.ndarray, leaves: int):
+        self.dim, self.cut, self.child = [-1], [0.0], [0]
+        todo = [(0, np.arange(len(points)), max(1, leaves))]
+        while todo:
+            node, rows, share = todo.pop()
+            own = points[rows]
+            width = own.max(axis=0) - own.min(axis=0) if len(rows) else np.zeros(1)
+            j = int(np.argmax(width))
+            if share < 2 or len(rows) < 2 or not width[j] > 0:
+                continue
+            values = np.sort(own[:, j])
+            cut = values[len(values) // 2]
+            if cut == values[0]:
+                cut = values[np.searchsorted(values, cut, "right")]
+            left = own[:, j] < cut
+            self.dim[node], self.cut[node], self.child[node] = j, float(cut), len(self.dim)
+            for part, n in ((rows[left], share // 2), (rows[~left], share - share // 2)):
+                todo.append((len(self.dim), part, n))
+                self.dim.append(-1)
+                self.cut.append(0.0)
+                self.child.append(0)
+        self.dim, self.cut, self.child = np.array(self.dim), np.array(self.cut), np.array(self.child)
+
+    def cell(self, points: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(points), np.int64)
+        while True:
+            open_ = np.flatnonzero(self.dim[node] >= 0)
+            if not len(open_):
+                return node
+            at = node[open_]
+            node[open_] = self.child[at] + (points[open_, self.dim[at]] >= self.cut[at])
+
+
+def visits(points: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(point, box) pairs in which a point's k nearest rows can lie; boxes have corners ``low`` and ``high``."""
+    step = max(1, 2_000_000 // max(1, low.size))
+    who, where = [], []
+    for a in range(0, len(points), step):
+        p = points[a:a + step, None, :]
+        below, above = low[None] - p, p - high[None]
+        near = (np.maximum(np.maximum(below, above), 0) ** 2).sum(axis=2)
+        far = (np.maximum(-below, -above) ** 2).sum(axis=2)
+        order = np.argsort(far, axis=1)
+        enough = (np.cumsum(count[order], axis=1) >= k).argmax(axis=1)
+        all_ = count.sum() < k
+        bound = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], 1), 1) * (1 + 1e-9)
+        i, j = np.nonzero((near <= bound) | all_)
+        who.append(i + a)
+        where.append(j)
+    return (np.concatenate(who), np.concatenate(where)) if who else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of squared differences of all pairs, added in column order."""
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        d = a[:, j, None] - b[None, :, j]
+        out += d * d
+    return out
 
 
-def _distance(a: Column, b: Column, columns: int, shared: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: F.coalesce((x - y) * (x - y), F.lit(0.0)))
-    return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) * (F.lit(float(columns)) / shared)
+def nearest_in(points: np.ndarray, donors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, donor, sum of squares) of each point's k nearest donors, ties by donor position (donors come in key order)."""
+    out = []
 
+    def search(p_rows: np.ndarray, d_rows: np.ndarray) -> None:
+        step = max(1, 2_000_000 // len(d_rows))
+        for a in range(0, len(p_rows), step):
+            rows = p_rows[a:a + step]
+            d = squares(points[rows], donors[d_rows])
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            out.append((np.repeat(rows, best.shape[1]), d_rows[best].ravel(), np.take_along_axis(d, best, 1).ravel()))
 
-def _pairs(patterns: list[int], spread: list[float], full: int) -> list[tuple[int, int, int, int, int]]:
-    """(receiver, donor, shared count, widest shared column, second or -1) of patterns that can serve each other."""
-    out = []
-    for r in patterns:
-        for m in patterns:
-            shared = [i for i in range(len(spread)) if (r & m) >> i & 1]
-            if r != full and shared and m & ~r:
-                wide = sorted(shared, key=lambda i: (-spread[i], i))
-                out.append((r, m, len(shared), wide[0], wide[1] if len(wide) > 1 else -1))
-    return out
+    if len(donors) <= 512:
+        search(np.arange(len(points)), np.arange(len(donors)))
+    else:
+        cell = Tree(donors, len(donors) // 64).cell(donors)
+        order = np.argsort(cell, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(cell[order]) > 0]))
+        parts = np.split(order, heads[1:])
+        low, high = (f.reduceat(donors[order], heads, axis=0) for f in (np.minimum, np.maximum))
+        for a in range(0, len(points), 4096):
+            who, where = visits(points[a:a + 4096], low, high, np.array([len(p) for p in parts]), k)
+            by = np.argsort(where, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(where[by]) > 0])) if len(by) else []
+            for own in np.split(by, cuts[1:]) if len(by) else []:
+                search(who[own] + a, parts[where[own[0]]])
+    p, d, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((d, s, p))
+    p, d, s = p[order], d[order], s[order]
+    head = np.flatnonzero(np.concatenate([[True], np.diff(p) > 0])) if len(p) else np.zeros(0, np.int64)
+    rank = np.arange(len(p)) - np.repeat(head, np.diff(np.append(head, len(p))))
+    return p[rank < k], d[rank < k], s[rank < k]
 
 
 def impute_knn(df: DataFrame, columns: list[str] | None = None, key: list[str] = ["incident_id"], k: int = 5) -> DataFrame:
     """Mean of the k nearest rows that have the value; the column mean when no row shares a column.
 
-    Ties go to the smaller key. A column without any value stays missing.
+    Any number of columns; NaN counts as missing. Ties go to the smaller key. A column without any value stays missing.
+    Work grows with the rows and with the pairs of patterns (sets of present columns) that occur.
     """
     columns = [c for c in numeric_columns(df) if c not in key] if columns is None else columns
-    n = len(columns)
-    if n > MAX_COLUMNS:
-        raise ValueError(f"at most {MAX_COLUMNS} columns")
     if not columns:
         return df
-    spark, full = df.sparkSession, (1 << n) - 1
-    values = F.array(*[F.col(c).cast("double") for c in columns])
-    pattern = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(columns)), F.lit(0))
-    rows = df.select(F.struct(*key).alias("k"), values.alias("v"), pattern.alias("m"))
-
-    stats = df.agg(*[f(F.col(c).cast("double")) for c in columns for f in (F.min, F.max, F.stddev_pop, F.avg)]).first()
-    low, high, spread, mean = ([stats[4 * i + j] for i in range(n)] for j in range(4))
-    patterns = [r["m"] for r in rows.select("m").distinct().collect()]      # at most 2^n
-    pairs = _pairs(patterns, [s or 0.0 for s in spread], full)
-    found = None
-    if pairs:
-        found = _nearest(rows, spark.createDataFrame(pairs, "r int, dm int, shared int, i int, j int"),
-                         [x or 0.0 for x in low], [x or 0.0 for x in high], n, k)
-    keyed = df.withColumn("m", pattern).withColumn("v", F.when(F.col("m") != full, values))
-    if found is not None:
-        keyed = lookup_join(keyed, found, ["m", "v"])
+    n = len(columns)
+    given = [F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in columns]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in key]).alias("k"), F.array(*given).alias("v"),
+                     F.concat(*[F.when(x.isNotNull(), "1").otherwise("0") for x in given]).alias("m"))
+    means = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(given)]).first()
+    patterns = [r["m"] for r in rows.select("m").distinct().collect()]      # the patterns that occur
+    needs = [(r, m, s) for r in patterns for m in patterns
+             if (s := tuple(i for i in range(n) if r[i] == m[i] == "1")) and any(a < b for a, b in zip(r, m, strict=True))]
+    keyed = df.withColumns({"_m": F.concat(*[F.when(x.isNotNull(), "1").otherwise("0") for x in given]), "_v": F.array(*given)})
+    keyed = keyed.withColumn("_v", F.when(F.col("_m").contains("0"), F.col("_v")))
+    if needs:
+        near = _nearest(rows, needs, n, k).select(F.col("m").alias("_m"), F.col("v").alias("_v"), "near")
+        # complete rows have no vector and need no lookup: they go round the join, so they meet in no task
+        holes = keyed.filter("_v is not null").join(near, ["_m", "_v"], "left")
+        keyed = holes.unionByName(keyed.filter("_v is null").withColumn("near", F.lit(None).cast(near.schema["near"].dataType)))
     else:
         keyed = keyed.withColumn("near", F.create_map().cast("map<int,double>"))
-    return keyed.withColumns({
-        c: F.coalesce(F.col(c).cast("double"), F.try_element_at("near", F.lit(i)), F.lit(mean[i]).cast("double"))
-        for i, c in enumerate(columns)}).select(*df.columns)
+    return keyed.withColumns({c: F.coalesce(x, F.try_element_at("near", F.lit(i)), F.lit(means[i]).cast("double"))
+                              for i, (c, x) in enumerate(zip(columns, given, strict=True))}).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def _nearest(rows: DataFrame, pairs: DataFrame, low: list[float], high: list[float], n: int, k: int) -> DataFrame:
+def _nearest(rows: DataFrame, needs: list[tuple[str, str, tuple[int, ...]]], n: int, k: int) -> DataFrame:
     """(m, v, near): per incomplete vector the mean of the nearest values per missing column."""
-    lows, highs = F.array(*map(F.lit, low)), F.array(*map(F.lit, high))
-    pair = ["r", "dm"]
-
-    def axis(at: str, from_: Column) -> Column:
-        return F.when(F.col(at) < 0, 0.0).otherwise(F.try_element_at(from_, F.col(at) + 1))
-
-    def located(df: DataFrame) -> DataFrame:
-        """Grid coordinates from the low corner, and the grid's side."""
-        side = F.greatest(axis("i", highs) - axis("i", lows), axis("j", highs) - axis("j", lows))
-        return df.withColumns({"x": axis("i", F.col("v")) - axis("i", lows), "y": axis("j", F.col("v")) - axis("j", lows),
-                               "side": F.when(side > 0, side).otherwise(1.0)})
-
-    def cell(at: str) -> Column:
-        return F.floor(F.col(at) / F.col("side") * F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
-
-    def inside(at: str) -> Column:
-        """The cell, moved to the border for points outside the grid."""
-        last = F.pow(F.lit(2.0), F.col("level")).cast("bigint") - 1
-        return F.greatest(F.lit(0), F.least(cell(at), last))
-
-    levels = F.explode(F.array(*map(F.lit, LEVELS))).alias("level")
-    # the pattern pairs are at most 4^MAX_COLUMNS rows
-    donors = located(rows.join(F.broadcast(pairs), rows["m"] == pairs["dm"]))
-    common = F.transform("v", lambda x, i: F.when(F.expr("r & dm").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0, x))
-    same = W.partitionBy(*pair, "common").orderBy("k")
-    donors = donors.withColumn("common", common).withColumn("rn", F.row_number().over(same)).filter(F.col("rn") <= k)
-    donors = donors.select(*pair, "k", "v", "x", "y", "side", levels).select(
-        *pair, "k", "v", "level", inside("x").alias("cx"), inside("y").alias("cy"))
-    receivers = located(rows.select("m", "v").distinct().join(F.broadcast(pairs), rows["m"] == pairs["r"]))
-
-    # an upper bound: the farthest of k donors in the finest own cell that has k
-    box = [*pair, "level", "cx", "cy"]
-    first = donors.withColumn("rn", F.row_number().over(W.partitionBy(*box).orderBy("k"))).filter(F.col("rn") <= k)
-    filled = first.groupBy(*box).agg(F.collect_list("v").alias("some")).filter(F.size("some") == k)
-    probes = receivers.select("*", levels).select(
-        *pair, "m", "v", "shared", "level", inside("x").alias("cx"), inside("y").alias("cy"))
-    bound = probes.join(filled, box).groupBy(*pair, "m", "v").agg(
-        F.max_by(F.struct("some", "shared"), "level").alias("b")).select(
-        *pair, "m", "v", F.array_max(F.transform("b.some", lambda d: _distance(F.col("v"), d, n, F.col("b.shared")))).alias("bound"))
-
-    # the level whose cells are as wide as the bound, and its 3 x 3 cells
-    reach = F.sqrt(F.col("bound") * F.col("shared") / n) * (1 + 1e-9)
-    fitting = F.filter(F.array(*map(F.lit, LEVELS)), lambda l: F.col("side") / F.pow(F.lit(2.0), l) >= F.col("reach"))
-    search = receivers.join(bound, [*pair, "m", "v"], "left").withColumn("reach", reach).withColumn(
-        "level", F.coalesce(F.array_max(fitting), F.lit(0)))
-    step = F.explode(F.when(F.col("level") == 0, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, (-1, 0, 1)))))
-    search = search.withColumn("dx", step).withColumn("dy", step).select(
-        *pair, "m", F.col("v").alias("rv"), "shared", "bound", "level",
-        (F.when(F.col("level") == 0, 0).otherwise(cell("x")) + F.col("dx")).alias("cx"),
-        (F.when(F.col("level") == 0, 0).otherwise(cell("y")) + F.col("dy")).alias("cy"))
-    near = search.join(donors, box).withColumn("d", _distance(F.col("rv"), F.col("v"), n, F.col("shared"))).filter(
-        F.col("bound").isNull() | (F.col("d") <= F.col("bound")))
-    ranked = near.withColumn("rn", F.row_number().over(W.partitionBy(*pair, "rv").orderBy("d", "k"))).filter(F.col("rn") <= k)
-
-    # over all donor patterns, per missing column
-    parts = ranked.select("m", "rv", "d", "k", F.posexplode("v").alias("c", "value"), F.col("rv").alias("_rv")).filter(
-        F.col("value").isNotNull() & F.expr("_rv[c]").isNull())
+    spark = rows.sparkSession
+    ship_package(spark)
+    shared: dict[tuple[str, tuple[int, ...]], int] = {}
+    for _, m, s in needs:
+        shared.setdefault((m, s), len(shared))
+    as_donor = spark.createDataFrame([(m, u, list(s)) for (m, s), u in shared.items()], "m string, unit int, s array<int>")
+    as_receiver = spark.createDataFrame([(r, shared[m, s], list(s)) for r, m, s in needs], "m string, unit int, s array<int>")
+
+    def project(df: DataFrame) -> DataFrame:
+        return df.withColumn("p", F.transform("s", lambda i: F.col("v")[i])).drop("s")
+
+    same = W.partitionBy("unit", "p").orderBy("k")
+    donors = project(rows.join(as_donor, "m")).select("unit", "p", "k", "v").withColumn("_rn", F.row_number().over(same)).filter(F.col("_rn") <= k).drop("_rn")
+    donors = cut_lineage(donors)
+    sizes = {r["unit"]: r["count"] for r in donors.groupBy("unit").count().collect()}      # one row per unit
+    each = max(200, SAMPLE_ROWS // max(1, len(shared)))
+    pick = W.partitionBy("unit").orderBy(F.xxhash64("k"), "k")
+    sample = donors.withColumn("_rn", F.row_number().over(pick)).filter(F.col("_rn") <= each).select("unit", "p").collect()
+    points: dict[int, list] = {}
+    for r in sample:
+        points.setdefault(r["unit"], []).append(r["p"])
+    trees = {u: Tree(np.array(p, float), min(MOST_CELLS, -(-sizes[u] // CELL_ROWS))) for u, p in points.items()}
+
+    def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = batch.column(0).to_numpy(zero_copy_only=False)
+            cell = np.zeros(len(unit), np.int64)
+            flat, size = batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            at = np.cumsum(size) - size
+            for u in np.unique(unit):
+                own = np.flatnonzero(unit == u)
+                cell[own] = trees[int(u)].cell(flat[at[own][:, None] + np.arange(size[own[0]])])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in donors.schema.fields)
+    placed = cut_lineage(donors.mapInArrow(in_cells, f"{kinds}, cell long"))
+    corners = placed.select("unit", "cell", F.posexplode("p").alias("i", "x")).groupBy("unit", "cell", "i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n"))
+    boxes: dict[int, tuple] = {}
+    lists: dict[int, dict[int, list]] = {}
+    for r in corners.orderBy("unit", "cell", "i").collect():      # at most MOST_CELLS cells per unit
+        lists.setdefault(r["unit"], {}).setdefault(r["cell"], []).append((r["lo"], r["hi"], r["n"]))
+    for u, cells in lists.items():
+        full = np.array(list(cells.values()), float)
+        boxes[u] = (np.array(list(cells)), full[:, :, 0], full[:, :, 1], full[:, 0, 2])
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = batch.column(0).to_numpy(zero_copy_only=False)
+            flat, size = batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            at = np.cumsum(size) - size
+            for u in np.unique(unit):
+                cells, low, high, count = boxes[int(u)]
+                for own in np.array_split(np.flatnonzero(unit == u), 1 + len(unit) // 2000):
+                    if len(own):
+                        who, where = visits(flat[at[own][:, None] + np.arange(low.shape[1])], low, high, count, k)
+                        yield pa.RecordBatch.from_arrays([*[c.take(pa.array(own[who])) for c in batch.columns], pa.array(cells[where])], [*batch.schema.names, "cell"])
+
+    receivers = project(rows.filter(F.col("m").contains("0")).select("m", "v").distinct().join(as_receiver, "m")).select("unit", "p", "m", "v")
+    sent = cut_lineage(receivers.mapInArrow(routed, "unit int, p array<double>, m string, v array<double>, cell long"))
+    tasks = sent.groupBy("unit", "cell").agg(F.ceil(F.count("*") / TASK_RECEIVERS).cast("int").alias("tasks"))
+    asked = sent.join(tasks, ["unit", "cell"]).withColumn("task", F.pmod(F.xxhash64("v"), F.col("tasks")).cast("int")).drop("tasks")
+    dealt = placed.join(tasks, ["unit", "cell"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    cell = ["unit", "cell", "task"]
+    donor_kind = rows.schema["k"].dataType.simpleString()
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, donor = (np.array(t.column("p").to_pylist(), float).reshape(t.num_rows, -1) for t in (left, right))
+        order = sorted(range(right.num_rows), key=lambda i: tuple((x is not None, x) for x in right.column("k")[i].as_py().values()))
+        donor = donor[order]
+        p, d, s = nearest_in(own, donor, k) if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 3
+        take = np.array(order, np.int64)[d] if len(d) else np.zeros(0, np.int64)
+        ratio = float(n) / own.shape[1] if own.shape[1] else 1.0
+        return pa.table([left.column("m").take(pa.array(p)), left.column("v").take(pa.array(p)), pa.array(s * ratio, pa.float64()), right.column("k").take(pa.array(take)),
+                         right.column("v").take(pa.array(take))], ["m", "rv", "d", "k", "v"])
+
+    near = asked.groupBy(*cell).cogroup(dealt.groupBy(*cell)).applyInArrow(search, f"m string, rv array<double>, d double, k {donor_kind}, v array<double>")
+    parts = near.select("m", "rv", "d", "k", F.posexplode("v").alias("c", "value"), F.col("rv").alias("_rv")).filter(F.col("value").isNotNull() & F.expr("_rv[c]").isNull())
     best = parts.withColumn("rn", F.row_number().over(W.partitionBy("m", "rv", "c").orderBy("d", "k"))).filter(F.col("rn") <= k)
     means = best.groupBy("m", "rv", "c").agg(F.avg("value").alias("mean"))
-    return means.groupBy("m", F.col("rv").alias("v")).agg(
-        F.map_from_entries(F.collect_list(F.struct("c", "mean"))).alias("near"))      # at most n entries
+    return means.groupBy("m", F.col("rv").alias("v")).agg(F.map_from_entries(F.collect_list(F.struct("c", "mean"))).alias("near"))      # at most n entries

@@ -399,3 +399,32 @@ FROM p LEFT JOIN near n ON n.incident_id = p.incident_id""", INC)
 def c29(t):
     df = I.add_date_parts(t.v_incidents).select("incident_id", "latitude", "longitude", F.col("hour").cast("double").alias("hour"))
     return impute.impute(df, "knn", columns=["latitude", "longitude", "hour"])
+
+
+WIDE = """p AS (SELECT event_id AS incident_id, CASE WHEN event_id % 3 = 0 THEN 41.88e0 WHEN event_id % 211 = 0 THEN 9000e0 ELSE 41.55e0 + ((event_id * 37) % 601) / 1000e0 END AS a,
+  CASE WHEN event_id % 3 = 0 THEN -87.63e0 WHEN event_id % 17 = 0 THEN NULL ELSE -88.05e0 + ((event_id * 53) % 701) / 1000e0 END AS b,
+  CASE WHEN event_id % 19 <> 0 THEN CAST((event_id * 29) % 12 AS DOUBLE) END AS m, CASE WHEN event_id % 5 <> 0 THEN CAST((event_id * 7) % 24 AS DOUBLE) END AS h,
+  CASE WHEN event_id % 23 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS w FROM events)"""
+WIDE_COLUMNS = ["a", "b", "m", "h", "w"]
+WIDE_DISTANCE = " + ".join(f"coalesce((r.{c} - q.{c}) * (r.{c} - q.{c}), 0)" for c in WIDE_COLUMNS)
+WIDE_SHARED = " + ".join(f"CAST(r.{c} + q.{c} IS NOT NULL AS INT)" for c in WIDE_COLUMNS)
+
+
+@query("c29_nearest_rows_wide", f"""
+WITH {WIDE}, z AS (SELECT incident_id, a, b, m, h, CASE WHEN NOT isnan(w) THEN w END AS w FROM p),
+ u AS (SELECT DISTINCT a, b, m, h, w FROM z WHERE b IS NULL OR m IS NULL OR h IS NULL OR w IS NULL),
+ d AS (SELECT r.a AS ra, r.b AS rb, r.m AS rm, r.h AS rh, r.w AS rw, q.*, ({WIDE_DISTANCE}) * (5.0::DOUBLE / ({WIDE_SHARED})) AS dist FROM u r JOIN z q
+   ON ({WIDE_SHARED}) > 0 AND ((r.b IS NULL AND q.b IS NOT NULL) OR (r.m IS NULL AND q.m IS NOT NULL) OR (r.h IS NULL AND q.h IS NOT NULL) OR (r.w IS NULL AND q.w IS NOT NULL))),
+ {", ".join(f"n{c} AS (SELECT ra, rb, rm, rh, rw, avg({c}) AS {c} FROM (SELECT * FROM d WHERE r{c} IS NULL AND {c} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ra, rb, rm, rh, rw ORDER BY dist, incident_id) <= 5) GROUP BY ALL)" for c in WIDE_COLUMNS[1:])}
+SELECT z.incident_id, round(z.a, 6) AS a, {", ".join(f"round(coalesce(z.{c}, n{c}.{c}, (SELECT avg({c}) FROM z)), 6) AS {c}" for c in WIDE_COLUMNS[1:])} FROM z
+ {" ".join(f"LEFT JOIN n{c} ON " + " AND ".join(f"z.{x} IS NOT DISTINCT FROM n{c}.r{x}" for x in WIDE_COLUMNS) for c in WIDE_COLUMNS[1:])}""")
+def c29_wide(t):
+    """Five columns: a hot point with a third of the rows, far outliers, NaN, missing values in four of them."""
+    e = F.col("event_id")
+    df = t.events.select(
+        e.alias("incident_id"),
+        F.when(e % 3 == 0, 41.88).when(e % 211 == 0, 9000.0).otherwise(F.lit(41.55) + ((e * 37) % 601) / 1000.0).alias("a"),
+        F.when(e % 3 == 0, -87.63).when(e % 17 == 0, None).otherwise(F.lit(-88.05) + ((e * 53) % 701) / 1000.0).alias("b"),
+        F.when(e % 19 != 0, ((e * 29) % 12).cast("double")).alias("m"), F.when(e % 5 != 0, ((e * 7) % 24).cast("double")).alias("h"),
+        F.when(e % 23 == 0, float("nan")).otherwise(F.col("value")).alias("w"))
+    return impute.impute(df, "knn", columns=WIDE_COLUMNS)
