@@ -10,8 +10,8 @@ EARTH_KM = 6371.0088
 
 
 def usable(lat: Column, lon: Column) -> Column:
-    """Both present and both different from zero."""
-    return lat.isNotNull() & lon.isNotNull() & (lat != 0) & (lon != 0)
+    """Both present, numbers and different from zero."""
+    return lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon) & (lat != 0) & (lon != 0)
 
 
 def in_box(lat: Column, lon: Column, box: tuple[float, float, float, float]) -> Column:

@@ -1,48 +1,32 @@
-"""Lookup joins against tables that are usually, but not provably, small."""
+"""Joins against looked-up tables, and other small pieces of plans."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# a looked-up table travels to every executor only below both bounds
-MAX_BROADCAST_ROWS = 200_000
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 1024
 
 
-def small_copy(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-               max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame | None:
-    """A local copy of ``df`` if it is proven small, else None.
-
-    The check reads at most ``max_rows + 1`` rows, so it is bounded whatever
-    the table holds.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows or rows.nbytes > max_bytes:
-        return None
-    return df.sparkSession.createDataFrame(rows, schema=df.schema)
-
-
-def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left",
-                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join ``table`` (unique on ``on``) to ``df``.
 
-    A table proven small is broadcast and ``df`` is not moved. A larger one is
-    joined by shuffle, where adaptive execution splits hot keys; rows whose key
-    is null are spread over salts instead of meeting in one task.
+    Spark chooses the join: it broadcasts the table where its measured size is below
+    ``spark.sql.autoBroadcastJoinThreshold`` and else shuffles, splitting hot keys. Rows whose key is null match
+    nothing; in a left join they are spread over salts instead of meeting in one task. Other columns may have any type.
     """
-    copy = small_copy(table, max_rows)
-    if copy is not None:
-        return df.join(F.broadcast(copy), on, how)
     if how != "left":
         return df.join(table, on, how)
     null_key = F.col(on[0]).isNull()
     for name in on[1:]:
         null_key = null_key | F.col(name).isNull()
-    salt = F.when(null_key, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)) + 1).otherwise(F.lit(0))
+    salt = F.when(null_key, F.floor(F.rand(0) * SALTS) + 1).otherwise(F.lit(0))
     left = df.withColumn("_salt", salt.cast("int"))
-    right = table.withColumn("_salt", F.lit(0))
-    return left.join(right, on + ["_salt"], "left").drop("_salt")
+    return left.join(table.withColumn("_salt", F.lit(0)), [*on, "_salt"], "left").drop("_salt")
+
+
+def few_rows_join(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Left join of a table that has at most one row per partition of ``df``, which bounds what is broadcast."""
+    return df.join(F.broadcast(table), on, "left")
 
 
 def one_row(df: DataFrame) -> Column:

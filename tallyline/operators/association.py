@@ -89,14 +89,14 @@ def chi_square(df: DataFrame, row: str, col: str, weight: str | None = None, alp
 
 
 def hour_type_correlation(df: DataFrame, dim: str = "crime_type", weight: str | None = None,
-                          more_than: int = 100) -> DataFrame:
+                          more_than: int | None = None) -> DataFrame:
     """Largest and mean absolute correlation between hour and type indicators.
 
     phi = (N n11 - h t) / sqrt(h (N - h) t (N - t)). A pair that never occurs has
     |phi| = a_h a_t with a = sqrt(x / (N - x)), so the zero cells are summed in
     closed form and no indicator column or full grid of pairs is built. Pairs
-    with a constant indicator have no correlation and are left out. Null when
-    there are not more than ``more_than`` timed rows.
+    with a constant indicator have no correlation and are left out. With ``more_than`` the result is null
+    unless there are more timed rows than that.
     """
     cells = cut_lineage(tally(df.filter(F.col("hour").isNotNull() & F.col(dim).isNotNull()), ["hour", dim], weight))
     total = one_row(cells.agg(F.sum("n").cast("double").alias("total")))["total"]
@@ -124,6 +124,6 @@ def hour_type_correlation(df: DataFrame, dim: str = "crime_type", weight: str |
         F.max(F.greatest(F.col("max_seen"), top_absent)).alias("mx"),
         F.sum(F.col("sum_seen") + zero_sum).alias("sm"),
         F.sum(F.size("hours")).alias("cells"), F.max("total").alias("total"))
-    enough = F.col("total") > more_than
+    enough = F.lit(True) if more_than is None else F.col("total") > more_than
     return out.select(F.when(enough, F.col("mx")).alias("max_correlation"),
                       F.when(enough, ratio(F.col("sm"), F.col("cells"))).alias("mean_correlation"))

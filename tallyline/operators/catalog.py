@@ -98,17 +98,23 @@ def with_placeholders(cities: DataFrame, matches: DataFrame, errors: DataFrame |
                       categories: dict = rules.COLUMN_CATEGORIES) -> DataFrame:
     """All matches, plus one zero row per city without any and per failed city.
 
-    ``cities`` and ``matches`` share their city columns; ``errors`` holds
-    (city, message).
+    ``cities`` and ``matches`` share their city columns; a city is its name and, where both have it, its state.
+    ``errors`` holds (city, message) and may hold the state; of several messages of a city the first counts.
     """
     fill = {"total_columns": F.lit(0), "columns_list": F.lit(""), "dataset_url": F.lit(""), "match_score": F.lit(0.0),
             "all_columns_match": F.lit(False), **{f"has_{c}": F.lit(False) for c in categories}}
-    rest = cities.join(matches.select("city").distinct(), "city", "left_anti")
+    place = [c for c in cities.columns if c in matches.columns and c in ("city", "state")]
+    # null-safe, and on all that names a city: a match in one Aurora says nothing of another
+    have = matches.select(*[F.col(c).alias(f"_{c}") for c in place]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place])
+    rest = cities.join(have, same, "left_anti")
     kind = matches.schema["dataset_id"].dataType
     if errors is not None:
-        failed = rest.join(errors, "city").withColumns(
+        on = [c for c in place if c in errors.columns]
+        errors = errors.groupBy(*on).agg(F.min("message").alias("message"))
+        failed = rest.join(errors, on).withColumns(
             {"dataset_id": F.lit(ERROR).cast(kind), "dataset_name": F.concat(F.lit("Error: "), "message"), **fill})
-        rest = rest.join(errors, "city", "left_anti")
+        rest = rest.join(errors, on, "left_anti")
     none = rest.withColumns({"dataset_id": F.lit(NO_DATASETS).cast(kind),
                              "dataset_name": F.lit("No crime datasets found"), **fill})
     parts = [matches, none] + ([failed.drop("message")] if errors is not None else [])

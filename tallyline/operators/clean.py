@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import columns as C, dates as D, rules, text as X
-from ..functions.joins import lookup_join
+from ..functions.joins import few_rows_join, lookup_join
 from ..session import cut_lineage
 
 INCIDENT_SCHEMA = T.StructType([
@@ -37,7 +37,7 @@ def extract_text(columns: list[str], candidates: list[str]) -> Column:
 
 def extract_number(columns: list[str], candidates: list[str]) -> Column:
     hit = C.find_first(columns, candidates)
-    return F.lit(None).cast("double") if hit is None else C.column(hit).try_cast("double")
+    return F.lit(None).cast("double") if hit is None else F.nullif(C.column(hit).try_cast("double"), F.lit(float("nan")))
 
 
 def extract_flag(columns: list[str], candidates: list[str]) -> Column:
@@ -75,7 +75,7 @@ def add_position(df: DataFrame, name: str = "position", order_by: list[str] | No
     before = F.coalesce(F.sum("_rows").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_pid", before.alias("_start"))
     row = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return lookup_join(tagged, starts, ["_pid"]).withColumn(name, F.col("_start") + row) \
+    return few_rows_join(tagged, starts, ["_pid"]).withColumn(name, F.col("_start") + row) \
         .drop("_mid", "_pid", "_start")
 
 
@@ -141,12 +141,13 @@ def fill_from_gazetteer(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Coordinates of rows that lack one but have an address, from a table (place, latitude, longitude).
 
     The place is 'address, city, state', or the address alone when city or state
-    is missing. Both coordinates are replaced together.
+    is missing. Both coordinates are replaced together, by the least pair of the place that
+    has both.
     """
     full = F.when(F.col("city").isNotNull() & F.col("state").isNotNull(),
                   F.concat_ws(", ", "address", "city", "state")).otherwise(F.col("address"))
     need = (F.col("latitude").isNull() | F.col("longitude").isNull()) & F.col("address").isNotNull()
-    places = gazetteer.groupBy("place").agg(F.min(F.struct("latitude", "longitude")).alias("_at"))
+    places = gazetteer.filter("latitude is not null and longitude is not null").groupBy("place").agg(F.min(F.struct("latitude", "longitude")).alias("_at"))
     keyed = df.withColumn("place", F.when(need, full))
     found = lookup_join(keyed, places, ["place"])
     return found.withColumns({c: F.when(F.col("_at").isNotNull(), F.col(f"_at.{c}")).otherwise(F.col(c))

@@ -7,16 +7,13 @@ maps the time to a date column that carries a clock time.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as D, rules, text as X
-from ..functions.joins import lookup_join
 
 CHECKED = ["latitude", "longitude", "date"]     # fields with a value check, in field order
-SAMPLE_ROWS, CHECKED_VALUES, CLOCK_VALUES = 10, 3, 5
+# --- fixed values: how much of a dataset a quick look reads ---
+QUICK_LOOK = {"rows": 10, "values": 3, "clock_values": 5}
 
 
 def lowered(names: Column) -> Column:
@@ -41,50 +38,53 @@ def contains_match(names: Column, low: Column, words: list[str]) -> Column:
     return F.when(first > 0, F.try_element_at(names, first.cast("int")))
 
 
-@lru_cache(maxsize=100_000)
-def similarity(a: str, b: str) -> int:
-    """100 * 2 * (longest common subsequence) / (length sum), rounded."""
-    if not a and not b:
-        return 0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            row[j] = before + 1 if x == y else max(above, row[j - 1])
-            before = above
-    return round(200 * row[-1] / (len(a) + len(b)))
+def similarity(name: Column, pattern: str) -> Column:
+    """100 * 2 * (longest common subsequence) / (length sum), rounded half to even, for a text column and a short pattern.
+
+    The subsequence is found bit by bit: one long holds a row of the length table, one step per character of the name
+    updates all its columns at once. Patterns have at most 62 characters.
+    """
+    if len(pattern) > 62:
+        raise ValueError("patterns have at most 62 characters")
+    if not pattern:
+        return F.lit(0)
+    places: dict[str, int] = {}
+    for i, x in enumerate(pattern):
+        places[x] = places.get(x, 0) | 1 << i
+    table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.lit(x).cast("bigint") for pair in places.items() for x in pair])
 
+    def step(v: Column, x: Column) -> Column:
+        u = v.bitwiseAND(F.coalesce(F.try_element_at(table, x), F.lit(0).cast("bigint")))
+        return (v + u).bitwiseOR(v - u)
 
-SCORES = T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("score", T.IntegerType())]))
+    last = F.aggregate(F.split(name, ""), F.lit(-1).cast("bigint"), step)
+    common = len(pattern) - F.bit_count(last.bitwiseAND(F.lit((1 << len(pattern)) - 1)))
+    return F.when(F.length(name) > 0, F.rint(200 * common / (F.length(name) + len(pattern))).cast("int")).otherwise(0)
 
 
-@F.pandas_udf(SCORES)
-def _scores(names: pd.Series) -> pd.Series:
-    out = []
-    for name in names:
-        best = [(f, max(similarity(p, name) for p in exact), threshold)
-                for f, (exact, _, threshold) in rules.FIELD_PATTERNS.items()]
-        out.append([{"field": f, "score": s} for f, s, threshold in best if s > threshold])
-    return pd.Series(out)
+def fuzzy_match(names: Column, low: Column, field: str) -> Column:
+    """The most similar column for a field above its threshold, the first on ties, as (column, score); null if there is none."""
+    patterns, _, threshold = rules.FIELD_PATTERNS[field]
+    scored = F.transform(low, lambda c, i: F.struct(
+        F.greatest(*[similarity(c, p) for p in patterns], F.lit(0)).alias("score"), (-i).alias("place")))
+    best = F.array_max(scored)
+    return F.when(best["score"] > threshold, F.struct(F.try_element_at(names, 1 - best["place"]).alias("column"), best["score"].alias("score")))
 
 
 def fuzzy_matches(df: DataFrame, key: str = "dataset_id") -> DataFrame:
-    """(key, field, column, score): the most similar column per field above its threshold, the first on ties.
+    """(key, field, column, score) of every row: the most similar column per field above its threshold.
 
-    Names are scored once per distinct name, in Arrow batches, and joined back.
+    Evaluated inside the row, so repeated and null keys stay rows of their own.
     """
-    cols = df.select(key, F.posexplode("columns").alias("pos", "column")).withColumn("name", F.lower("column"))
-    names = cols.select("name").distinct().withColumn("scores", _scores("name")).filter(F.size("scores") > 0)
-    hits = lookup_join(cols, names, ["name"], "inner").select(key, "pos", "column", F.explode("scores").alias("s"))
-    best = F.struct((-F.col("s.score")).alias("a"), F.col("pos").alias("b"))
-    return hits.groupBy(key, F.col("s.field").alias("field")).agg(
-        F.min_by("column", best).alias("column"), F.max("s.score").alias("score"))
+    low = df.select(key, "columns", lowered(F.col("columns")).alias("_low"))
+    found = F.array(*[F.struct(F.lit(f).alias("field"), fuzzy_match(F.col("columns"), F.col("_low"), f).alias("hit")) for f in rules.FIELD_PATTERNS])
+    hits = low.select(key, F.explode(found).alias("m")).filter("m.hit is not null")
+    return hits.select(key, "m.field", "m.hit.column", "m.hit.score")
 
 
-def _samples(sample: Column, name: Column) -> Column:
-    """The non-empty values of a column in the first sample rows."""
-    values = F.transform(F.slice(sample, 1, SAMPLE_ROWS), lambda r: F.try_element_at(r, name))
+def _samples(sample: Column, name: Column, rows: int | None) -> Column:
+    """The non-empty values of a column in the sample rows, all or the first ``rows``."""
+    values = F.transform(sample if rows is None else F.slice(sample, 1, rows), lambda r: F.try_element_at(r, name))
     return F.filter(values, lambda v: v.isNotNull() & (v != ""))
 
 
@@ -95,46 +95,52 @@ def _plausible(field: str, v: Column) -> Column:
     return F.coalesce(F.abs(v.try_cast("double")) <= limit, F.lit(False))
 
 
-def value_match(names: Column, sample: Column, field: str) -> Column:
-    """The first column whose first sample values all look like the field."""
+def value_match(names: Column, sample: Column, field: str, rows: int | None = None, values: int | None = None) -> Column:
+    """The first column whose landed values all look like the field.
+
+    ``rows`` and ``values`` restrict the check to the first rows and the first values found in them; by default all count.
+    """
     def fits(c: Column) -> Column:
-        values = _samples(sample, c)
-        return (F.size(values) > 0) & F.forall(F.slice(values, 1, CHECKED_VALUES), lambda v: _plausible(field, v))
+        seen = _samples(sample, c, rows)
+        checked = seen if values is None else F.slice(seen, 1, values)
+        return (F.size(seen) > 0) & F.forall(checked, lambda v: _plausible(field, v))
 
     return F.try_element_at(F.filter(names, fits), F.lit(1))
 
 
-def embedded_time(date_column: Column, sample: Column) -> Column:
-    """The date column itself when one of its first sample values carries a clock time."""
+def embedded_time(date_column: Column, sample: Column, rows: int | None = None, values: int | None = None) -> Column:
+    """The date column itself when one of its landed values (or of the first, see ``value_match``) carries a clock time."""
     def timed(v: Column) -> Column:
         stamp = D.parse_timestamp(v)
         clock = stamp != stamp.cast("date").cast(D.NTZ)
         return stamp.isNotNull() & (clock | v.contains(" ") | v.contains("T") | (F.length(v) > 10))
 
-    seen = F.slice(_samples(sample, date_column), 1, CLOCK_VALUES)
+    seen = _samples(sample, date_column, rows)
+    seen = seen if values is None else F.slice(seen, 1, values)
     return F.when(F.exists(seen, timed), date_column)
 
 
-def detect_columns(df: DataFrame, key: str = "dataset_id", sample: str | None = None, fuzzy: bool = True) -> DataFrame:
-    """Add ``column_mapping``: MAP of standard field to column name.
+def detect_columns(df: DataFrame, sample: str | None = None, fuzzy: bool = True, rows: int | None = None,
+                   values: int | None = None, clock_values: int | None = None) -> DataFrame:
+    """Add ``column_mapping``: MAP of standard field to column name, evaluated inside the row.
 
     ``sample`` names an ARRAY<MAP<STRING, STRING>> of landed rows; without it the
-    value steps are skipped.
+    value steps are skipped. ``rows``, ``values`` and ``clock_values`` restrict them to the first ones
+    (``QUICK_LOOK`` gives usual numbers); by default every landed value counts.
     """
-    names = F.col("columns")
-    low = F.col("_low")
-    found = {f: F.coalesce(exact_match(names, low, exact), contains_match(names, low, words))
-             for f, (exact, words, _) in rules.FIELD_PATTERNS.items()}
-    out = df.withColumn("_low", lowered(names)).withColumns({f"_{f}": c for f, c in found.items()}).drop("_low")
-    if fuzzy:
-        # over all datasets: hardly any has every field, and finding those would repeat the search above
-        similar = fuzzy_matches(df.select(key, "columns"), key).groupBy(key).agg(
-            F.map_from_entries(F.collect_list(F.struct("field", "column"))).alias("_similar"))  # at most one per field
-        out = out.join(similar, key, "left").withColumns({
-            f"_{f}": F.coalesce(F.col(f"_{f}"), F.try_element_at("_similar", F.lit(f))) for f in found}).drop("_similar")
+    names, low = F.col("columns"), F.col("_low")
+    out = df.withColumn("_low", lowered(names))
+
+    def found(f: str) -> Column:
+        exact, words, _ = rules.FIELD_PATTERNS[f]
+        ways = [exact_match(names, low, exact), contains_match(names, low, words)]
+        return F.coalesce(*ways, *([fuzzy_match(names, low, f)["column"]] if fuzzy else []))
+
+    fields = list(rules.FIELD_PATTERNS)
+    out = out.withColumns({f"_{f}": found(f) for f in fields})
     if sample is not None:
-        out = out.withColumns({f"_{f}": F.coalesce(F.col(f"_{f}"), value_match(names, F.col(sample), f)) for f in CHECKED})
-        out = out.withColumn("_time", F.coalesce("_time", embedded_time(F.col("_date"), F.col(sample))))
-    entries = F.array(*[F.struct(F.lit(f).alias("k"), F.col(f"_{f}").alias("v")) for f in found])
+        out = out.withColumns({f"_{f}": F.coalesce(F.col(f"_{f}"), value_match(names, F.col(sample), f, rows, values)) for f in CHECKED})
+        out = out.withColumn("_time", F.coalesce("_time", embedded_time(F.col("_date"), F.col(sample), rows, clock_values)))
+    entries = F.array(*[F.struct(F.lit(f).alias("k"), F.col(f"_{f}").alias("v")) for f in fields])
     mapping = F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
-    return out.withColumn("column_mapping", mapping).drop(*[f"_{f}" for f in found])
+    return out.withColumn("column_mapping", mapping).drop("_low", *[f"_{f}" for f in fields])

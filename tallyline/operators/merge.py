@@ -12,22 +12,34 @@ from ..functions import columns as C, dates as D, geo as G, rules
 def combine_dates(df: DataFrame, formats: list[str] | None = None, numeric_as_epoch: bool = False) -> DataFrame:
     """The earliest of all date columns as ``combined_date`` and ``combined_time``; the originals are dropped.
 
-    A column is a date column when its name holds date or time. Exactly midnight
-    gives no time. Numbers take part only with ``numeric_as_epoch``, read as
-    nanoseconds since 1970. Without any date column the table is unchanged.
+    A column is a date column when its name holds date or time and at least one of its values can be read. Other
+    columns stay as they are, and without any date column the table is unchanged. Exactly midnight gives no time.
+    Numbers take part only with ``numeric_as_epoch``, read as nanoseconds since 1970. Which text columns can be
+    read is found by one pass over them, which ends at the first readable row if there is but one.
     """
     named = [f for f in df.schema.fields
              if any(w in f.name.lower() for w in rules.DATE_WORDS) and f.name not in ("combined_date", "combined_time")]
-    stamps = [D.parse_timestamp(C.column(f.name), formats) for f in named if D.is_datelike(f.dataType)]
+    stamps = {f.name: D.parse_timestamp(C.column(f.name), formats) for f in named if D.is_datelike(f.dataType)}
     if numeric_as_epoch:
-        stamps += [F.timestamp_micros(F.floor(C.column(f.name).cast("double") / 1000).cast("bigint")).cast(D.NTZ)
-                   for f in named if isinstance(f.dataType, T.NumericType)]
-    if not stamps:
+        stamps |= {f.name: F.timestamp_micros(F.floor(C.column(f.name).cast("double") / 1000).cast("bigint")).cast(D.NTZ)
+                   for f in named if isinstance(f.dataType, T.NumericType)}
+    readable = readable_columns(df, stamps)
+    if not readable:
         return df
-    first = D.earliest(stamps)
+    first = D.earliest([stamps[c] for c in readable])
     midnight = first == first.cast("date").cast(D.NTZ)
     return df.withColumns({"combined_date": first.cast("date"),
-                           "combined_time": F.when(~midnight, D.clock_text(first))}).drop(*[f.name for f in named])
+                           "combined_time": F.when(~midnight, D.clock_text(first))}).drop(*readable)
+
+
+def readable_columns(df: DataFrame, stamps: dict[str, Column]) -> list[str]:
+    """The columns with at least one value that reads as a time."""
+    if not stamps:
+        return []
+    if len(stamps) == 1:
+        return [c for c, stamp in stamps.items() if not df.filter(stamp.isNotNull()).isEmpty()]
+    seen = df.agg(*[F.coalesce(F.bool_or(stamp.isNotNull()), F.lit(False)) for stamp in stamps.values()]).first()
+    return [c for c, yes in zip(stamps, seen, strict=True) if yes]
 
 
 def _from_object(df: DataFrame, name: str, keys: list[str]) -> Column:
@@ -106,6 +118,6 @@ def combined_summary(df: DataFrame) -> DataFrame:
         "columns", F.lit(", ".join(df.columns)))
 
 
-def sample_rows(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
+def sample_rows(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
     """The first ``n`` rows by a key: a preview, not an input to anything."""
     return df.orderBy(*order_by).limit(n)

@@ -232,32 +232,66 @@ def has(c: str) -> str:
     return f"list_contains(string_split(columns_text, '|'), '{c}')"
 
 
+def odd_catalog(t) -> DataFrame:
+    """The catalog with misspelt names, repeated ids (every 10th row twice, with other columns) and null ids."""
+    c = catalog(t).select("dataset_id", "columns")
+    third = c.withColumn("third", F.col("dataset_id") % 3 == 0)
+    odd = F.transform("columns", lambda x: F.when(F.col("third"), F.translate(x, "ei", "3")).otherwise(F.concat(x, F.lit("s"))))
+    rows = third.withColumn("columns", odd).select(F.when(F.col("dataset_id") % 7 != 0, F.col("dataset_id")).alias("dataset_id"), "columns")
+    return rows.unionByName(c.filter("dataset_id % 10 = 0"))
+
+
+ODD = """oc AS (SELECT CASE WHEN c.dataset_id % 7 <> 0 THEN c.dataset_id END AS dataset_id,
+  list_transform(string_split(columns_text, '|'), lambda x: CASE WHEN c.dataset_id % 3 = 0 THEN translate(x, 'ei', '3') ELSE x || 's' END) AS cols, c.dataset_id * 2 AS row FROM v_catalog c
+ UNION ALL SELECT dataset_id, string_split(columns_text, '|'), dataset_id * 2 + 1 FROM v_catalog WHERE dataset_id % 10 = 0)"""
+PATTERNS = {f: p for f, (p, _, _) in rules.FIELD_PATTERNS.items()}
+
+
+def exact_sql(field: str) -> str:
+    """The column named like the first present pattern, in any case; the last such column."""
+    return "coalesce(" + ", ".join(f"list_filter(cols, lambda x: lower(x) = '{p}')[-1]" for p in PATTERNS[field]) + ")"
+
+
+def contains_sql(field: str) -> str:
+    words = " OR ".join(f"contains(lower(x), '{w}')" for w in rules.FIELD_PATTERNS[field][1])
+    return f"list_filter(cols, lambda x: {words})[1]"
+
+
 @query("b13a_exact_names", f"""
-SELECT dataset_id, CASE WHEN {has('latitude')} THEN 'latitude' END AS latitude, CASE WHEN {has('incident_time')} THEN 'incident_time' END AS time,
- CASE WHEN {has('primary_type')} THEN 'primary_type' END AS crime_type FROM v_catalog""", CATALOG)
+WITH {ODD}, e AS (SELECT dataset_id, {', '.join(f"{exact_sql(f)} AS {f}" for f in PATTERNS)} FROM oc) SELECT * FROM e""", CATALOG)
 def b13a(t):
-    return catalog(t).withColumn("low", detect.lowered(F.col("columns"))).select("dataset_id", *[
-        detect.exact_match(F.col("columns"), F.col("low"), rules.FIELD_PATTERNS[f][0]).alias(f) for f in ("latitude", "time", "crime_type")])
+    return odd_catalog(t).withColumn("low", detect.lowered(F.col("columns"))).select("dataset_id", *[
+        detect.exact_match(F.col("columns"), F.col("low"), rules.FIELD_PATTERNS[f][0]).alias(f) for f in PATTERNS])
 
 
 @query("b13b_contained_words", f"""
-SELECT dataset_id, CASE WHEN {has('Occurred Date')} THEN 'Occurred Date' WHEN {has('incident_time')} THEN 'incident_time' END AS date,
- CASE WHEN {has('description')} THEN 'description' END AS description FROM v_catalog""", CATALOG)
+WITH {ODD} SELECT dataset_id, {', '.join(f"{contains_sql(f)} AS {f}" for f in PATTERNS)} FROM oc""", CATALOG)
 def b13b(t):
-    return catalog(t).withColumn("low", detect.lowered(F.col("columns"))).select("dataset_id", *[
-        detect.contains_match(F.col("columns"), F.col("low"), rules.FIELD_PATTERNS[f][1]).alias(f) for f in ("date", "description")])
+    return odd_catalog(t).withColumn("low", detect.lowered(F.col("columns"))).select("dataset_id", *[
+        detect.contains_match(F.col("columns"), F.col("low"), rules.FIELD_PATTERNS[f][1]).alias(f) for f in PATTERNS])
+
+
+# the longest common subsequence by its table, one character of the name a step
+LCS = f"""pat(field, p, threshold) AS (VALUES {', '.join(f"('{f}', '{p}', {rules.FIELD_PATTERNS[f][2]})" for f in PATTERNS for p in PATTERNS[f])}),
+ nm AS (SELECT DISTINCT lower(unnest(cols)) AS name FROM oc),
+ tbl AS (SELECT name, field, p, threshold, 0 AS i, list_transform(range(0, length(p) + 1), lambda z: 0) AS line FROM nm, pat
+  UNION ALL SELECT name, field, p, threshold, i + 1, list_reduce(range(1, length(p) + 1), lambda acc, j: list_append(acc, CASE WHEN substr(name, i + 1, 1) = substr(p, CAST(j AS INT), 1)
+    THEN line[j] + 1 ELSE greatest(line[j + 1], acc[-1]) END), [CAST(0 AS BIGINT)]) FROM tbl WHERE i < length(name)),
+ scored AS (SELECT name, field, threshold, max(CAST(round_even(200.0 * line[-1] / (length(name) + length(p)), 0) AS BIGINT)) AS score FROM tbl WHERE i = length(name) GROUP BY ALL),
+ places AS (SELECT dataset_id, row, unnest(cols) AS "column", generate_subscripts(cols, 1) AS pos FROM oc),
+ fuzzy AS (SELECT dataset_id, row, field, "column", score FROM places JOIN scored ON name = lower("column") WHERE score > threshold
+  QUALIFY row_number() OVER (PARTITION BY row, field ORDER BY score DESC, pos) = 1)"""
 
 
 @query("b13c_similar_names", f"""
-SELECT dataset_id, 'location' AS field, 'description' AS "column", CAST(71 AS BIGINT) AS score FROM v_catalog WHERE {has('description')}""", CATALOG)
+WITH RECURSIVE {ODD}, {LCS} SELECT dataset_id, field, "column", score FROM fuzzy""", CATALOG)
 def b13c(t):
-    return detect.fuzzy_matches(catalog(t)).filter("field = 'location'")
+    return detect.fuzzy_matches(odd_catalog(t))
 
 
 def sampled(t) -> DataFrame:
-    """Orders as datasets: the first ten line items as sample rows."""
-    first = dedupe.first_k_per(t.lineitem, "l_orderkey", 10, ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])
-    rows = first.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.create_map(
+    """Orders as datasets with all their line items as landed rows."""
+    rows = t.lineitem.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.create_map(
         F.lit("price"), F.floor(F.col("l_extendedprice") / 500).cast("string"),
         F.lit("qty"), F.when(F.col("l_linenumber") == 1, "").otherwise(F.floor("l_quantity").cast("string")),
         F.lit("shipped"), F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.when(F.col("l_tax") > 0.06, " 00:00").otherwise("")),
@@ -271,13 +305,13 @@ def sampled(t) -> DataFrame:
 
 SAMPLED = """li AS (SELECT l_orderkey AS dataset_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS rn,
   CAST(floor(l_extendedprice / 500) AS BIGINT) AS price, CASE WHEN l_linenumber <> 1 THEN floor(l_quantity) END AS qty, l_tax > 0.06 AS timed FROM lineitem),
- q AS (SELECT *, count(qty) OVER (PARTITION BY dataset_id ORDER BY rn) AS qn FROM li WHERE rn <= 10),
- a AS (SELECT dataset_id, max(price) FILTER (rn <= 3) AS p3, count(qty) AS nq, bool_or(timed) FILTER (rn <= 5) AS timed FROM q GROUP BY 1)"""
+ a AS (SELECT dataset_id, max(price) AS p, count(qty) AS nq, bool_or(timed) AS timed FROM li GROUP BY 1),
+ f AS (SELECT dataset_id, max(price) FILTER (rn <= 3) AS p, count(qty) FILTER (rn <= 10) AS nq, bool_or(timed) FILTER (rn <= 5) AS timed FROM li GROUP BY 1)"""
 
 
 @query("b13d_plausible_values", f"""
-WITH {SAMPLED} SELECT dataset_id, CASE WHEN p3 <= 90 THEN 'price' WHEN nq > 0 THEN 'qty' END AS latitude,
- CASE WHEN p3 <= 180 THEN 'price' WHEN nq > 0 THEN 'qty' END AS longitude, 'shipped' AS date FROM a""")
+WITH {SAMPLED} SELECT dataset_id, CASE WHEN p <= 90 THEN 'price' WHEN nq > 0 THEN 'qty' END AS latitude,
+ CASE WHEN p <= 180 THEN 'price' WHEN nq > 0 THEN 'qty' END AS longitude, 'shipped' AS date FROM a""")
 def b13d(t):
     return sampled(t).select("dataset_id", *[
         detect.value_match(F.col("columns"), F.col("sample"), f).alias(f) for f in ("latitude", "longitude", "date")])
@@ -315,13 +349,22 @@ def b13(t):
 
 
 @query("b13_detect_with_samples", f"""
-WITH {SAMPLED} SELECT dataset_id, concat_ws(',', CASE WHEN p3 <= 90 THEN 'latitude=price' WHEN nq > 0 THEN 'latitude=qty' END,
- CASE WHEN p3 <= 180 THEN 'longitude=price' WHEN nq > 0 THEN 'longitude=qty' END, 'date=shipped', CASE WHEN timed THEN 'time=shipped' END) AS mapping FROM a""")
+WITH {SAMPLED} SELECT dataset_id, concat_ws(',', CASE WHEN p <= 90 THEN 'latitude=price' WHEN nq > 0 THEN 'latitude=qty' END,
+ CASE WHEN p <= 180 THEN 'longitude=price' WHEN nq > 0 THEN 'longitude=qty' END, 'date=shipped', CASE WHEN timed THEN 'time=shipped' END) AS mapping FROM a""")
 def b13_samples(t):
     pairs = F.transform(F.map_entries("column_mapping"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return detect.detect_columns(sampled(t), sample="sample").select("dataset_id", F.array_join(pairs, ",").alias("mapping"))
 
 
+@query("b13_detect_with_quick_look", f"""
+WITH {SAMPLED} SELECT dataset_id, concat_ws(',', CASE WHEN p <= 90 THEN 'latitude=price' WHEN nq > 0 THEN 'latitude=qty' END,
+ CASE WHEN p <= 180 THEN 'longitude=price' WHEN nq > 0 THEN 'longitude=qty' END, 'date=shipped', CASE WHEN timed THEN 'time=shipped' END) AS mapping FROM f""")
+def b13_quick(t):
+    """The first ten rows, three values and five clock values only."""
+    pairs = F.transform(F.map_entries("column_mapping"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return detect.detect_columns(sampled(t), sample="sample", **detect.QUICK_LOOK).select("dataset_id", F.array_join(pairs, ",").alias("mapping"))
+
+
 @query("b14_mapping_quality", f"""
 WITH {MAPPED} SELECT dataset_id, round(quality_score, 6) AS quality_score, round(quality_score, 6) AS completeness_score, has_coordinates,
  has_temporal, has_crime_info FROM ql""", CATALOG)

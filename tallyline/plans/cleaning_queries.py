@@ -204,17 +204,17 @@ DATES = """d AS (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE ts
 def dated(t):
     moved = F.date_add(F.col("ts").cast("date"), (F.col("event_id") % 3).cast("int") - 1)
     return t.events.select(
-        "event_id", F.when(F.col("event_id") % 13 != 0, F.col("ts")).alias("event_timestamp"),
+        "event_id", F.concat(F.lit("mood "), F.col("event_id") % 5).alias("sentiment"), F.when(F.col("event_id") % 13 != 0, F.col("ts")).alias("event_timestamp"),
         F.when(F.col("event_id") % 7 == 0, "not known").otherwise(moved.cast("string")).alias("Report Date"),
         F.col("user_id").alias("update_count"))
 
 
 @query("c14_earliest_date", f"""
-WITH {DATES} SELECT event_id, CAST(CAST(m AS DATE) AS VARCHAR) AS combined_date,
- CASE WHEN m <> date_trunc('day', m) THEN strftime(m, '%H:%M:%S') END AS combined_time FROM e""")
+WITH {DATES} SELECT e.event_id, CAST(CAST(m AS DATE) AS VARCHAR) AS combined_date, CASE WHEN m <> date_trunc('day', m) THEN strftime(m, '%H:%M:%S') END AS combined_time,
+ 'mood ' || e.event_id % 5 AS sentiment, 'mood ' || e.event_id % 5 AS runtime, user_id AS update_count FROM e JOIN events ON events.event_id = e.event_id""")
 def c14(t):
-    # update_count matches by name, but numbers are no dates; like every original it is dropped
-    return merge.combine_dates(dated(t))
+    # update_count and runtime match by name, but numbers are no dates and no runtime can be read: both stay
+    return merge.combine_dates(dated(t).withColumn("runtime", F.col("sentiment")))
 
 
 @query("c15_separate_coordinates", """

@@ -227,7 +227,7 @@ def a09(t):
 @query("a10_balanced_cap", f"""
 WITH {CAT} SELECT domain, dataset_id FROM cat QUALIFY row_number() OVER (PARTITION BY domain ORDER BY dataset_id) <= 10""", CATALOG)
 def a10(t):
-    return P.balanced(catalog(t)).select("domain", "dataset_id")
+    return P.balanced(catalog(t), 10).select("domain", "dataset_id")
 
 
 @query("a10_records_per_dataset", """

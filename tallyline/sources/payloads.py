@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,16 +20,17 @@ def normalise_catalog(df: DataFrame, payload: str = "payload", domain: str = "do
     """Catalog rows (dataset_id, name, description, url) from listing payloads of any known shape.
 
     A payload is ``{results: [...]}``, ``{dataset: [...]}``, one item, or a bare
-    list; an item is flat or nested under ``resource``.
+    list; an item is flat or nested under ``resource``. Items with neither id nor name
+    (error objects, unreadable text) are no datasets.
     """
     text = F.col(payload)
     item = f"struct<{', '.join(p.replace(' ', ':', 1) for p in ITEM.split(', '))}>"
-    listing = F.from_json(text, f"results array<{item}>, dataset array<{item}>")
-    bare = F.from_json(text, f"array<{item}>")
-    single = F.array(F.from_json(text, ITEM))
-    is_list = F.ltrim(text).startswith("[")
-    items = F.when(is_list, bare).otherwise(F.coalesce(listing["results"], listing["dataset"], single))
-    rows = df.select(*[c for c in df.columns if c != payload], F.explode(items).alias("i"))
+    # a list is wrapped as results, so that every payload is parsed once, by one schema
+    whole = F.when(F.ltrim(text).startswith("["), F.concat(F.lit('{"results":'), text, F.lit("}"))).otherwise(text)
+    parsed = df.select(*[c for c in df.columns if c != payload], F.from_json(whole, f"results array<{item}>, dataset array<{item}>, {ITEM}").alias("_p"))
+    single = F.array(F.struct(*[F.col(f"_p.{x.split(' ', 1)[0]}") for x in re.split(r", (?=\w+ )", ITEM)]))
+    items = F.coalesce("_p.results", "_p.dataset", single)
+    rows = parsed.select(*[c for c in parsed.columns if c != "_p"], F.explode(items).alias("i"))
     nested = F.col("i.resource").isNotNull()
 
     def pick(inside: str, first: str, second: str) -> Column:
@@ -36,8 +38,9 @@ def normalise_catalog(df: DataFrame, payload: str = "payload", domain: str = "do
 
     ident = pick("id", "identifier", "id")
     site = F.concat(F.lit("https://"), domain)
-    return rows.select(
-        *[c for c in rows.columns if c != "i"], ident.alias("dataset_id"), pick("name", "title", "name").alias("name"),
+    named = pick("name", "title", "name")
+    return rows.filter((ident != "") | (named != "")).select(
+        *[c for c in rows.columns if c != "i"], ident.alias("dataset_id"), named.alias("name"),
         pick("description", "description", "description").alias("description"),
         F.when(ident == "", site).otherwise(F.concat(site, F.lit("/d/"), ident)).alias("url"))
 
@@ -94,12 +97,12 @@ def add_provenance(df: DataFrame, domain: Column, link: Column, name: Column) ->
     return df.withColumns({"source_city": F.try_element_at(F.split(domain, r"\."), F.lit(2)), "source_url": link, "dataset_name": name})
 
 
-def balanced(df: DataFrame, max_per: int = 10, order_by: list[str] = ["dataset_id"], domain: str = "domain") -> DataFrame:
+def balanced(df: DataFrame, max_per: int, order_by: list[str] = ["dataset_id"], domain: str = "domain") -> DataFrame:
     """At most ``max_per`` datasets per domain, in catalog order."""
     return first_k_per(df, domain, max_per, order_by)
 
 
-def cap_records(df: DataFrame, per_dataset: int = 50_000, order_by: list[str] = ["position"], dataset: str = "dataset_id") -> DataFrame:
+def cap_records(df: DataFrame, per_dataset: int, order_by: list[str] = ["position"], dataset: str = "dataset_id") -> DataFrame:
     """At most ``per_dataset`` rows of each dataset."""
     return first_k_per(df, dataset, per_dataset, order_by)
 
@@ -118,5 +121,15 @@ def city_subset(cities: DataFrame, names: list[str] | None = None, first: int |
 
 
 def attach_city(df: DataFrame, cities: DataFrame) -> DataFrame:
-    """State and population of the city."""
-    return lookup_join(df, cities.select("city", "state", "population"), ["city"])
+    """State and population of the city.
+
+    Cities of one name are told apart by the state where ``df`` has one; else the most populous (then the first by state) counts,
+    so that no row is multiplied.
+    """
+    on = ["city", "state"] if "state" in df.columns else ["city"]
+    known = cities.select("city", "state", "population")
+    best = known.groupBy(*on).agg(F.max_by(F.struct("state", "population"), F.struct(F.coalesce("population", F.lit(-1)), F.col("state").isNull())).alias("_at")) \
+        if len(on) == 2 else known.groupBy("city").agg(F.min(F.struct((-F.coalesce(F.col("population").cast("double"), F.lit(-1.0))).alias("p"), "state", "population")).alias("_at"))
+    joined = lookup_join(df, best, on)
+    found = {"population": F.col("_at.population")} | ({} if len(on) == 2 else {"state": F.col("_at.state")})
+    return joined.withColumns(found).drop("_at")

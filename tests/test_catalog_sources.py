@@ -15,8 +15,36 @@ def names(spark, *lists):
 
 
 @pytest.mark.parametrize("a, b, want", [("date", "date", 100), ("description", "location_description", 71), ("occurred_time", "occurred date", 77), ("ab", "", 0)])
-def test_similarity(a, b, want):
-    assert detect.similarity(a, b) == want
+def test_similarity(spark, a, b, want):
+    got = spark.createDataFrame([(a, b)], "a string, b string").select(detect.similarity(F.col("a"), b), detect.similarity(F.col("b"), a)).first()
+    assert got[:] == (want, want)
+
+
+def test_similarity_is_the_longest_common_subsequence(spark):
+    import random
+    rng = random.Random(1)
+
+    def slow(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                above = row[j]
+                row[j] = before + 1 if x == y else max(above, row[j - 1])
+                before = above
+        return round(200 * row[-1] / (len(a) + len(b))) if a or b else 0
+
+    names_ = ["".join(rng.choice("abcd_é") for _ in range(rng.randint(0, 70))) for _ in range(80)]
+    patterns = ["a", "abca_d", "d" * 62, "".join(rng.choice("abcd_é") for _ in range(62))]
+    rows = spark.createDataFrame([(x,) for x in names_], "x string").select("x", *[detect.similarity(F.col("x"), p) for p in patterns]).collect()
+    assert [list(r[1:]) for r in rows] == [[slow(r[0], p) for p in patterns] for r in rows]
+
+
+def test_repeated_and_null_ids_keep_their_own_columns(spark):
+    df = spark.createDataFrame([(1, ["locaton1", "zz"]), (1, ["detials", "arest"]), (None, ["descripton"])], "dataset_id long, columns array<string>")
+    got = {tuple(r.columns): r.column_mapping for r in detect.detect_columns(df).collect()}
+    assert all(set(m.values()) <= set(c) for c, m in got.items())
+    assert got["descripton",]["description"] == "descripton" and got["detials", "arest"]["description"] == "detials"
 
 
 def mapping(df, **kw):

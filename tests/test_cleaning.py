@@ -88,7 +88,7 @@ def test_earliest_date(spark):
     df = spark.createDataFrame([("2024-01-02 00:00:00", "2024-01-03", 5), ("bad", "2024-01-01 08:09:10", 6), (None, None, 7)],
                                "Reported_Date string, `event time` string, update_no long")
     got = merge.combine_dates(df)
-    assert got.columns == ["combined_date", "combined_time"]
+    assert got.columns == ["update_no", "combined_date", "combined_time"]
     assert one(got, "*") == [(dt.date(2024, 1, 2), None), (dt.date(2024, 1, 1), "08:09:10"), (None, None)]
     same = spark.createDataFrame([(1,)], "a int")
     assert merge.combine_dates(same).columns == ["a"]
@@ -147,12 +147,21 @@ def test_large_caps_are_exact(spark):
     assert got.groupBy("k").agg(F.count("*"), F.max("id")).orderBy("k").collect()[1][1:] == (1500, 1499 * 7)
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_lookup_join_small_and_large(spark, limit):
-    df = spark.createDataFrame([(i, i % 3 if i % 4 else None) for i in range(40)], "id int, k int")
-    table = spark.createDataFrame([(0, "a"), (1, "b")], "k int, v string")
-    got = sorted(one(joins.lookup_join(df, table, ["k"], max_rows=limit), "id", "v"))
-    assert got == [(i, None if i % 4 == 0 else {0: "a", 1: "b"}.get(i % 3)) for i in range(40)]
+@pytest.mark.parametrize("broadcast_bytes", ["-1", "10485760"])
+def test_lookup_join_small_and_large(spark, broadcast_bytes):
+    """Null keys, one hot key, long text keys; MAP, ARRAY and VARIANT columns travel through both kinds of join."""
+    keys = ["a" * 5000, "b", "c"]
+    df = spark.createDataFrame([(i, "hot" if i % 2 else keys[i % 3] if i % 4 else None) for i in range(400)], "id int, k string").select(
+        "*", F.create_map(F.lit("m"), "id").alias("m"), F.array("id").alias("a"), F.try_parse_json(F.col("id").cast("string")).alias("j"))
+    table = spark.createDataFrame([("a" * 5000, "x"), ("b", "y"), ("hot", "z")], "k string, v string").groupBy("k").agg(F.max("v").alias("v"))
+    known = {"a" * 5000: "x", "b": "y", "hot": "z"}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast_bytes)
+    try:
+        rows = joins.lookup_join(df, table, ["k"]).select("id", "k", "v", F.col("m")["m"].alias("m"), F.col("a")[0].alias("a"), F.col("j").cast("int").alias("j")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r.id for r in rows) == list(range(400))
+    assert all(r.v == known.get(r.k) and r.m == r.a == r.j == r.id for r in rows)
 
 
 @pytest.mark.parametrize("groups", [[], ["g"]])
