@@ -11,9 +11,9 @@ from .distribution import percent, ratio
 
 
 def unify(sources: list[tuple[DataFrame, str]], enhance: bool = True, formats: dict[str, list[str]] | None = None,
-          order_by: dict[str, list[str]] | None = None, stable: tuple[str, ...] = (), ordered: bool = True,
+          order_by: dict[str, list[str]] | None = None, stable: tuple[str, ...] = (), ordered: bool = False,
           repair_swapped: bool = True) -> DataFrame:
-    """Standardise, union, validate, impute, deduplicate and sort by datetime (missing last).
+    """Standardise, union, validate, impute and deduplicate; ``ordered`` also sorts all rows by datetime (missing last).
 
     The quality score is that of the standardised row, before validation.
     ``formats`` and ``order_by`` give date patterns and the row order per source;

@@ -157,6 +157,16 @@ def b07(t):
     return with_gaps(t)
 
 
+@query("b07_cities_of_one_name", f"""
+WITH {SCORED}, hit AS (SELECT * FROM sc WHERE city <> 'src7' OR state <> 'en') SELECT city, state, CAST(dataset_id AS VARCHAR) AS dataset_id FROM hit
+UNION ALL SELECT DISTINCT city, state, 'NO_DATASETS_FOUND' FROM cat WHERE city = 'src7' AND state = 'en'""", CATALOG)
+def b07_names(t):
+    """A city with matches in one state says nothing of its namesake in another."""
+    df = scored(t).withColumn("dataset_id", F.col("dataset_id").cast("string"))
+    hits = df.filter("city <> 'src7' or state <> 'en'").select(*MATCH_COLUMNS)
+    return K.with_placeholders(df.select("city", "state", "population", "domain").distinct(), hits).select("city", "state", "dataset_id")
+
+
 YES = {n: f"CASE WHEN {c} THEN 'Yes' ELSE 'No' END AS {n}" for c, n in K.EXPORT_NAMES.items() if c.startswith("has_") or c == "all_columns_match"}
 
 

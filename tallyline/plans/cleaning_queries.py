@@ -144,6 +144,9 @@ def c10(t):
     places = df.filter("latitude > 40 and longitude < -80").groupBy(
         F.concat_ws(", ", "address", "city", "state").alias("place")).agg(
         F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"))
+    # every place once more with one coordinate or none: such entries fill nothing
+    holes = places.select("place", F.lit(None).cast("double").alias("latitude"), F.lit(-200.0).alias("longitude"))
+    places = places.unionByName(holes).unionByName(holes.withColumn("longitude", F.lit(None).cast("double")))
     return clean.fill_from_gazetteer(df, places).select("incident_id", "latitude", "longitude")
 
 
@@ -219,9 +222,11 @@ def c14(t):
 
 @query("c15_separate_coordinates", """
 SELECT incident_id AS case_number, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM v_incidents
-WHERE latitude <> 0 AND longitude <> 0""", INC)
+WHERE latitude <> 0 AND longitude <> 0 AND incident_id % 29 <> 0""", INC)
 def c15(t):
-    return merge.extract_coordinates(located(t).select("case_number", "lat", "lon")).select("case_number", "latitude", "longitude")
+    # some coordinates are text that says NaN
+    df = located(t).select("case_number", F.when(F.col("case_number") % 29 == 0, "NaN").otherwise(F.col("lat").cast("string")).alias("lat"), "lon")
+    return merge.extract_coordinates(df).select("case_number", "latitude", "longitude")
 
 
 JSON_XY = """xy AS (SELECT id, CAST(json_extract_string(location, '$.latitude') AS DOUBLE) AS latitude,
@@ -230,9 +235,10 @@ JSON_XY = """xy AS (SELECT id, CAST(json_extract_string(location, '$.latitude')
 
 
 @query("c16_object_coordinates", f"""
-WITH {JSON_XY} SELECT id, latitude, longitude FROM xy WHERE latitude <> 0 AND longitude <> 0""", AB[1:])
+WITH {JSON_XY} SELECT id, latitude, longitude FROM xy WHERE latitude <> 0 AND longitude <> 0 AND id % 29 <> 0""", AB[1:])
 def c16(t):
-    return merge.extract_coordinates(t.v_source_b).select("id", "latitude", "longitude")
+    df = t.v_source_b.withColumn("location", F.when(F.col("id") % 29 == 0, '{"latitude": "NaN", "longitude": "1"}').otherwise(F.col("location")))
+    return merge.extract_coordinates(df).select("id", "latitude", "longitude")
 
 
 @query("c18_report_order", """
@@ -428,3 +434,58 @@ def c29_wide(t):
         F.when(e % 19 != 0, ((e * 29) % 12).cast("double")).alias("m"), F.when(e % 5 != 0, ((e * 7) % 24).cast("double")).alias("h"),
         F.when(e % 23 == 0, float("nan")).otherwise(F.col("value")).alias("w"))
     return impute.impute(df, "knn", columns=WIDE_COLUMNS)
+
+
+COPIES = """ab AS (SELECT *, 'A' AS source_name FROM v_incidents UNION ALL SELECT *, 'B' FROM v_incidents_dup WHERE incident_id >= 1000000 OR incident_id % 40 = 3),
+ st AS (SELECT CAST(incident_id AS VARCHAR) AS incident_id, CAST(CAST(combined_date AS VARCHAR) || ' ' || combined_time AS TIMESTAMP) AS dt, primary_type AS crime_type, source_city AS city,
+  source_name, CASE WHEN abs(latitude) > 90 AND abs(longitude) <= 90 THEN longitude ELSE latitude END AS y, CASE WHEN abs(latitude) > 90 AND abs(longitude) <= 90 THEN latitude ELSE longitude END AS x,
+  CAST(""" + SCORE_LOC + """ + CASE WHEN location_description IS NULL THEN 0 ELSE 10 END AS DOUBLE) AS score FROM ab),
+ ok AS (SELECT incident_id, dt, crime_type, city, source_name, CASE WHEN abs(y) <= 90 THEN y END AS y, CASE WHEN abs(x) <= 180 THEN x END AS x, score, hour(dt) AS h, dayname(dt) AS d FROM st),
+ hm AS (SELECT crime_type AS k, h AS mh FROM (SELECT crime_type, h, count(*) AS n FROM ok WHERE h IS NOT NULL AND crime_type IS NOT NULL GROUP BY 1, 2)
+   QUALIFY row_number() OVER (PARTITION BY crime_type ORDER BY n DESC, h) = 1),
+ dm AS (SELECT crime_type AS k, d AS md FROM (SELECT crime_type, d, count(*) AS n FROM ok WHERE d IS NOT NULL AND crime_type IS NOT NULL GROUP BY 1, 2)
+   QUALIFY row_number() OVER (PARTITION BY crime_type ORDER BY n DESC, d) = 1),
+ full_t AS (SELECT incident_id, source_name, dt, coalesce(h, mh) AS hour, coalesce(d, md) AS day_of_week, y, x, city, crime_type, score FROM ok LEFT JOIN hm ON hm.k = crime_type LEFT JOIN dm ON dm.k = crime_type
+   QUALIFY row_number() OVER (PARTITION BY dt, crime_type, round_even(y * 10000, 0), round_even(x * 10000, 0) ORDER BY source_name, incident_id) = 1)"""
+
+
+def copies(t):
+    """Two sources with coordinates, swapped and out-of-range ones among them, missing times, exact and near copies."""
+    b = t.v_incidents_dup.filter("incident_id >= 1000000 or (incident_id % 40 = 3)").dropDuplicates()
+    named = [F.col("incident_id").alias("case_number"), F.col("combined_date").alias("incident_date"), F.col("combined_time").alias("incident_time"), F.col("primary_type"),
+             F.col("location_description"), F.col("source_city").alias("city"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")]
+    return U.unify([(located(t), "A"), (b.select(*named), "B")])
+
+
+@query("c12_unify_located", f"""
+WITH {COPIES.replace("FROM v_incidents_dup WHERE", "FROM (SELECT DISTINCT * FROM v_incidents_dup) WHERE")} SELECT incident_id, source_name, {DT.format('dt')} AS datetime, hour, day_of_week, round(y, 6) AS latitude, round(x, 6) AS longitude, city, crime_type,
+ score AS data_quality_score FROM full_t""", ("v_incidents", "v_incidents_dup"))
+def c12_located(t):
+    return copies(t).select("incident_id", "source_name", "datetime", "hour", "day_of_week", "latitude", "longitude", "city", "crime_type", "data_quality_score")
+
+
+@query("c13_summary_located", f"""
+WITH {COPIES.replace("FROM v_incidents_dup WHERE", "FROM (SELECT DISTINCT * FROM v_incidents_dup) WHERE")} SELECT count(*) AS total, {DT.format('min(dt)')} AS first, {DT.format('max(dt)')} AS last, count(DISTINCT city) AS cities,
+ count(DISTINCT source_name) AS sources, round(avg(score), 6) AS mean_quality, round(100.0 * count(y) / count(*), 6) AS latitude_complete, round(100.0 * count(x) / count(*), 6) AS longitude_complete,
+ CAST(100 AS DOUBLE) AS address_complete, CAST(100 AS DOUBLE) AS arrest_made_complete FROM full_t""", ("v_incidents", "v_incidents_dup"))
+def c13_located(t):
+    return U.unified_summary(copies(t))
+
+
+@query("c19b_sample_rows", f"""
+WITH {COMBINED} SELECT source_city, case_number, id, combined_date FROM cmb ORDER BY source_city, case_number, id LIMIT 5""", ("v_incidents", "v_source_b"))
+def c19b_sample(t):
+    return merge.sample_rows(merge.combine_datasets(landed(t)), ["source_city", "case_number", "id"], 5).select("source_city", "case_number", "id", "combined_date")
+
+
+@query("c32_dispatch_smart", f"""
+WITH {MODE} SELECT incident_id, crime_type, coalesce(hour, mode_h) AS hour, coalesce(day_of_week, mode_d) AS day_of_week
+FROM p LEFT JOIN mh ON mh.k = crime_type LEFT JOIN md ON md.k = crime_type""", INC)
+def c32_smart(t):
+    return impute.impute(sparse(t))
+
+
+@query("c32_dispatch_forward_fill", f"""
+SELECT incident_id, {FF.format(c='primary_type', p='1')} AS primary_type, {FF.format(c='combined_time', p='1')} AS combined_time FROM v_incidents""", INC)
+def c32_forward(t):
+    return impute.impute(t.v_incidents.select("incident_id", "primary_type", "combined_time"), "forward_fill", order_by=["incident_id"])

@@ -356,6 +356,12 @@ def d28(t):
     return R.select_series(R.pair_series(R.monthly_cube(t.v_daily)), "crime_type", "1-URGENT")
 
 
+@query("d28_series_by_city", f"""
+WITH {MCUBE} SELECT crime_type, city, CAST(month_year AS VARCHAR) AS month_year, CAST(sum(n) AS BIGINT) AS n FROM mc WHERE city = 'city 3' GROUP BY ALL""", DLY)
+def d28_city(t):
+    return R.select_series(R.pair_series(R.monthly_cube(t.v_daily)), "city", "city 3")
+
+
 CELLS = """, grid AS (SELECT d, h FROM (SELECT unnest(range(0, 7)) AS d), (SELECT unnest(range(0, 24)) AS h)),
  pc AS (SELECT *, (dayofweek(combined_date) + 6) % 7 AS wd FROM prep)"""
 DAYNAME = "list_extract(['Mon','Tue','Wed','Thu','Fri','Sat','Sun'], CAST(d + 1 AS BIGINT))"
@@ -387,6 +393,20 @@ def d31(t):
     return R.top_series(t.orders.withColumn("combined_date", F.col("o_orderdate").cast("date")), "o_custkey")
 
 
+TOP = """WITH c AS (SELECT {dim} AS k, count(*) AS n FROM v_daily GROUP BY 1 ORDER BY n DESC, k LIMIT 2)
+SELECT {dim} AS value, CAST(CAST(date_trunc('month', combined_date) AS DATE) AS VARCHAR) AS month_year, count(*) AS n FROM v_daily WHERE {dim} IN (SELECT k FROM c) GROUP BY 1, 2"""
+
+
+@query("d31_top_series_by_city", TOP.format(dim="city"), DLY)
+def d31_city(t):
+    return R.top_series(t.v_daily, "city", 2)
+
+
+@query("d31_top_series_by_location", TOP.format(dim="location_type"), DLY)
+def d31_location(t):
+    return R.top_series(t.v_daily, "location_type", 2)
+
+
 @query("d32_dataset_summary", """
 WITH r AS (SELECT 'records' AS section, CAST(min(combined_date) AS VARCHAR) || ' to ' || CAST(max(combined_date) AS VARCHAR) AS value,
   count(*) AS n FROM v_daily),
@@ -429,9 +449,10 @@ def d35(t):
 
 @query("c17_valid_coordinates", """
 SELECT incident_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM v_incidents
-WHERE latitude <> 0 AND longitude <> 0""", INC)
+WHERE latitude <> 0 AND longitude <> 0 AND incident_id % 29 <> 0""", INC)
 def c17(t):
-    return M.valid_coordinates(t.v_incidents).select("incident_id", "latitude", "longitude")
+    df = t.v_incidents.withColumn("latitude", F.when(F.col("incident_id") % 29 == 0, "NaN").otherwise(F.col("latitude").cast("string")))
+    return M.valid_coordinates(df).select("incident_id", "latitude", "longitude")
 
 
 @query("c21_bounding_box", """

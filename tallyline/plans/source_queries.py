@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
@@ -50,7 +52,7 @@ def a02(t):
 
 
 def listings(t) -> DataFrame:
-    """Catalog rows as portal payloads of four shapes; every 19th has no id."""
+    """Catalog rows as portal payloads of four shapes, every 19th without id, and payloads that hold no dataset."""
     c = catalog(t)
     ident = F.when(F.col("dataset_id") % 19 == 0, "").otherwise(F.col("dataset_id").cast("string"))
     flat = F.struct(ident.alias("identifier"), F.col("name").alias("title"), "description")
@@ -60,7 +62,9 @@ def listings(t) -> DataFrame:
     payload = (F.when(k == 0, F.to_json(F.struct(F.array(nested).alias("results"))))
                .when(k == 1, F.to_json(F.struct(F.array(flat).alias("dataset"))))
                .when(k == 2, F.to_json(plain)).otherwise(F.to_json(F.array(flat))))
-    return c.select("domain", payload.alias("payload"))
+    good = c.select("domain", payload.alias("payload"))
+    broken = [good.select("domain", F.lit(x).alias("payload")).distinct() for x in ("<html>", '{"error": "no such page", "code": 7}', '[{"error": 1}, {}]', "", None)]
+    return reduce(DataFrame.unionByName, [good, *[b.select("domain", F.col("payload").cast("string").alias("payload")) for b in broken]])
 
 
 @query("a03_normalise_catalog", f"""
@@ -236,6 +240,14 @@ def a10_records(t):
     return P.cap_records(t.orders.select(F.col("o_custkey").alias("dataset_id"), F.col("o_orderkey").alias("position")), 5)
 
 
+@query("a10_large_cap", """
+SELECT l_linestatus AS dataset_id, l_orderkey, l_linenumber, l_partkey FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) <= 2500""")
+def a10_large(t):
+    df = t.lineitem.select(F.col("l_linestatus").alias("dataset_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return P.cap_records(df, 2500, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("dataset_id", "l_orderkey", "l_linenumber", "l_partkey")
+
+
 @query("a11_not_landed", "SELECT doc_id AS dataset_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def a11(t):
     return P.not_landed(catalog(t), t.labels.withColumnRenamed("doc_id", "dataset_id")).select("dataset_id")
@@ -262,7 +274,18 @@ def a12(t):
 @query("a12b_attach_city", f"""
 WITH {CITIES} SELECT c_custkey, city, state, population FROM customer LEFT JOIN cities ON c_nationkey = position""")
 def a12b(t):
-    return P.attach_city(t.customer.select("c_custkey", F.concat(F.lit("NATION_"), "c_nationkey").alias("city")), cities(t))
+    # every city has a smaller namesake elsewhere
+    namesakes = cities(t).withColumns({"state": F.lit("S9"), "population": F.col("population") - 1})
+    return P.attach_city(t.customer.select("c_custkey", F.concat(F.lit("NATION_"), "c_nationkey").alias("city")), cities(t).unionByName(namesakes))
+
+
+@query("a12b_attach_city_of_state", f"""
+WITH {CITIES} SELECT c_custkey, city, CASE WHEN c_custkey % 2 = 0 THEN state ELSE 'S9' END AS state, population - c_custkey % 2 AS population FROM customer LEFT JOIN cities ON c_nationkey = position""")
+def a12b_state(t):
+    namesakes = cities(t).withColumns({"state": F.lit("S9"), "population": F.col("population") - 1})
+    own = t.customer.join(cities(t), F.col("c_nationkey") == F.col("position")).select(
+        "c_custkey", "city", F.when(F.col("c_custkey") % 2 == 0, F.col("state")).otherwise("S9").alias("state"))
+    return P.attach_city(own, cities(t).unionByName(namesakes))
 
 
 @query("a13_safe_name", """
