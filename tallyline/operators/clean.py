@@ -80,11 +80,17 @@ def add_position(df: DataFrame, name: str = "position", order_by: list[str] | No
 
 
 def with_incident_id(df: DataFrame, order_by: list[str] | None = None, stable: bool = False,
-                     name: str = "incident_id_out") -> DataFrame:
-    """The id of the first usable id column, else ``GEN_`` and the 8-digit row position."""
+                     name: str = "incident_id_out", hashed: list[str] | None = None) -> DataFrame:
+    """The id of the first usable id column, else ``GEN_`` and the 8-digit row position.
+
+    Positions of a source that is not ``stable`` need it written once. ``hashed`` names columns that tell rows apart: the id is
+    then ``GEN_`` and their 64-bit hash in hex, made in the row.
+    """
     hit = id_column(df.columns)
     if hit is not None:
         return df.withColumn(name, C.column(hit).cast("string"))
+    if hashed:
+        return df.withColumn(name, F.concat(F.lit("GEN_"), F.lpad(F.lower(F.hex(F.xxhash64(*[C.column(c) for c in hashed]))), 16, "0")))
     return add_position(df, "_position", order_by, stable).withColumn(
         name, F.format_string("GEN_%08d", "_position")).drop("_position")
 

@@ -32,22 +32,28 @@ def first_per_id(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(at)).filter("_rn = 1").drop("_rn")
 
 
-# up to this k the ranking filter prunes each task's rows before the shuffle
-PRUNED_K = 1000
-SALTS = 32
+# salts that meet in one group of the next level
+FAN_IN = 64
 
 
 def first_k_per(df: DataFrame, key: str, k: int, order_by: list[str]) -> DataFrame:
     """At most ``k`` rows per key, in order.
 
-    For large ``k`` the rows of a key are first ranked within salts: the first k
-    of a key are among the first k of each salt, so no task sorts a whole key.
+    Up to ``spark.sql.optimizer.windowGroupLimitThreshold`` Spark's ranking filter prunes each task's rows before the shuffle. For larger
+    ``k`` the rows of a key are first ranked within salts, four for each core of the application, and the salts
+    then meet by ``FAN_IN``: the first k of a key are among the first k of each part, so no task
+    sorts more than its share of a key or FAN_IN * k rows.
     """
     def ranked(rows: DataFrame, *by: str) -> DataFrame:
         at = W.partitionBy(*by).orderBy(*order_by)
         return rows.withColumn("_rn", F.row_number().over(at)).filter(F.col("_rn") <= k).drop("_rn")
 
-    if k > PRUNED_K:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(SALTS)))
-        df = ranked(salted, key, "_salt").drop("_salt")
+    spark = df.sparkSession
+    if k > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        salts = 4 * spark.sparkContext.defaultParallelism
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(salts)))
+        while salts > 1:
+            df = ranked(df, key, "_salt").withColumn("_salt", F.floor(F.col("_salt") / FAN_IN))
+            salts = -(-salts // FAN_IN)
+        df = df.drop("_salt")
     return ranked(df, key)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import pathlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -10,8 +12,14 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tallyline") -> SparkSession:
-    """A local session for tests and benchmarks; a cluster supplies its own."""
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tallyline", folder: str | None = None) -> SparkSession:
+    """A local session for tests and benchmarks; a cluster supplies its own.
+
+    Checkpoints and scratch tables go below ``folder``; without one a temporary folder is made and removed at exit.
+    """
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="tallyline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -21,6 +29,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", folder)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -42,9 +52,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what was written to scratch paths so far; call it once the results that read them are stored elsewhere."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

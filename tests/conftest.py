@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, shuffle_partitions=4, app="tests")
+def spark(tmp_path_factory):
+    session = local_session(8, shuffle_partitions=4, app="tests", folder=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
