@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import (BYTE_CODES, ROW, U64, map_arrow, mixed, packed, pieces, powers, prefix_hash, raw_bytes, stored, with_row_key,
+from .common import (BYTE_CODES, ROW, U64, discard, map_arrow, mixed, packed, pieces, powers, prefix_hash, raw_bytes, stored, with_row_key,
                      word_bounds, word_hashes)
 
 PIECE = 1 << 20
@@ -210,6 +210,7 @@ def repeated_spans(docs: DataFrame, text: str, w: Windows, finder: Callable) ->
     hits = seen.join(again, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("hits"))
     cut = map_arrow(base.join(hits, "row").select("row", "text", "hits"), cut_segments(w), "anchor long, row long, first long, n int, segment binary")
     segments = stored(cut.withColumn("mark", F.xxhash64("segment")), "segments")
+    discard(seen, again)
     different = segments.groupBy("anchor", "mark", "n", "segment").agg(F.count("*").alias("copies")).select("anchor", "mark", "n", "copies", "segment")
     different = stored(different, "different")
     crowded = different.groupBy("anchor").count().where(F.col("count") > w.most_segments).select("anchor")
@@ -222,6 +223,7 @@ def repeated_spans(docs: DataFrame, text: str, w: Windows, finder: Callable) ->
     grouped = small.select(*different.columns).repartition("anchor").sortWithinPartitions("anchor")
     found = map_arrow(grouped, group_rows(finder), "anchor long, mark long, lo long, hi long")
     covered = stored(found if covered is None else found.unionByName(covered), "covered")
+    discard(different, crowded)
     places = segments.select("anchor", "mark", "row", "first").join(covered, ["anchor", "mark"])
     return places.groupBy("row").agg(F.sort_array(F.collect_list(F.struct((F.col("first") + F.col("lo")).alias("start"), (F.col("first") + F.col("hi")).alias("end")))).alias("parts"))
 

@@ -46,7 +46,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete the files of stored steps once all that reads them is stored itself."""
+    for step in steps:
+        system, path = file_system(step.sparkSession, step._stored_at)
+        system.delete(path, True)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
