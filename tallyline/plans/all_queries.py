@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["incident_queries", "interval_queries", "cleaning_queries", "catalog_queries", "source_queries"]
+MODULES = ["incident_queries", "interval_queries", "cleaning_queries", "catalog_queries", "source_queries", "report_queries"]
 
 
 def load() -> None:
