@@ -63,7 +63,8 @@ def test_value_checks(spark):
     df = names(spark, ["a", "b", "c"]).withColumn("sample", F.from_json(F.lit(json.dumps(
         [{"a": "", "b": "120.5", "c": "2024-01-01T00:00:00"}, {"a": "x", "b": "99", "c": "2024-01-02"}, {"a": None, "b": "98"}, {"b": "97"}, {"b": "bad"}])),
         "array<map<string,string>>"))
-    assert mapping(df, sample="sample")[0] == {"longitude": "b", "date": "c", "time": "c"}
+    assert mapping(df, sample="sample", **detect.QUICK_LOOK)[0] == {"longitude": "b", "date": "c", "time": "c"}
+    assert mapping(df, sample="sample")[0] == {"date": "c", "time": "c"}      # one later value of b is no number
     dates = names(spark, ["when"]).withColumn("sample", F.from_json(F.lit('[{"when": "2024-01-01"}]'), "array<map<string,string>>"))
     assert mapping(dates, sample="sample")[0] == {"date": "when"}
 

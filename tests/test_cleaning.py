@@ -89,7 +89,9 @@ def test_earliest_date(spark):
                                "Reported_Date string, `event time` string, update_no long")
     got = merge.combine_dates(df)
     assert got.columns == ["update_no", "combined_date", "combined_time"]
-    assert one(got, "*") == [(dt.date(2024, 1, 2), None), (dt.date(2024, 1, 1), "08:09:10"), (None, None)]
+    assert one(got, "combined_date", "combined_time") == [(dt.date(2024, 1, 2), None), (dt.date(2024, 1, 1), "08:09:10"), (None, None)]
+    unread = spark.createDataFrame([(1, "good", 3), (2, None, 4)], "id int, sentiment string, update_count int")
+    assert sorted(merge.combine_dates(unread).collect()) == sorted(unread.collect())
     same = spark.createDataFrame([(1,)], "a int")
     assert merge.combine_dates(same).columns == ["a"]
     epoch = spark.createDataFrame([(1_700_000_000_000_000_000,)], "time_ns long")
