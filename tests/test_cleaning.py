@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -183,6 +184,35 @@ def test_forward_fill_across_partitions(spark, groups):
         assert got[t] == tuple(last), t
 
 
+def test_forward_fill_moves_rows_once(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 7 == 0, F.col("id")).alias("a"))
+    plan = impute.forward_fill(df, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan      # the one exchange lies before the checkpoint
+
+
+def test_nearest_rows_with_many_columns(spark):
+    """Twelve columns, a pattern of holes for each row, a hot point and an outlier, against all pairs."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(300, 12)), 2)
+    x[::3] = x[0]
+    x[7] = 1e6
+    x[rng.random((300, 12)) < 0.02] = np.nan
+    names = [f"c{i}" for i in range(12)]
+    df = spark.createDataFrame([(int(i), *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "incident_id long, " + ", ".join(f"{c} double" for c in names))
+    got = {r.incident_id: r for r in impute.impute(df, "knn").collect()}
+    for i, r in enumerate(x):
+        for j in np.flatnonzero(np.isnan(r)):
+            d = []
+            for q, o in enumerate(x):
+                both = ~np.isnan(r) & ~np.isnan(o)
+                if not np.isnan(o[j]) and both.any():
+                    total = 0.0
+                    for c in np.flatnonzero(both):
+                        total += (r[c] - o[c]) * (r[c] - o[c])
+                    d.append((total * (12.0 / both.sum()), q))
+            assert abs(got[i][names[j]] - np.mean([x[q][j] for _, q in sorted(d)[:5]])) < 1e-9, (i, j)
+
+
 def test_mean_of_integers_is_a_double(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "n int")
     assert one(impute.impute_mean(df), "n") == [(1.0,), (2.0,), (1.5,)]
