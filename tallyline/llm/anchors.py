@@ -38,7 +38,7 @@ class Windows:
     unit: str
     window: int
     gram: int
-    most_segments: int = 50_000
+    most_segments: int = 5_000
 
 
 def least_grams(codes: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

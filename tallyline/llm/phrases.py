@@ -62,14 +62,14 @@ def find_phrases(window: int):
     return finder
 
 
-def repeated_phrases(docs: DataFrame, text: str = "text", window: int = 35, most_segments: int = 50_000) -> DataFrame:
+def repeated_phrases(docs: DataFrame, text: str = "text", window: int = 35, most_segments: int = 5_000) -> DataFrame:
     """(row, parts): word ranges of each document covered by ``window``-word sequences that also start elsewhere."""
     if window < GRAM + 1:
         raise ValueError(f"windows have more than {GRAM} words")
     return repeated_spans(docs, text, Windows("words", window, GRAM, most_segments), find_phrases(window))
 
 
-def remove_phrases(docs: DataFrame, text: str = "text", window: int = 35, most_segments: int = 50_000) -> DataFrame:
+def remove_phrases(docs: DataFrame, text: str = "text", window: int = 35, most_segments: int = 5_000) -> DataFrame:
     """``docs`` with ``kept`` (the words left, joined by one space) and ``spans`` (word ranges removed).
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Every word covered by ``window`` consecutive words of the document

@@ -169,14 +169,14 @@ def anchor_places(data: np.ndarray, base: np.ndarray, n: np.ndarray, anchors: li
     return out
 
 
-def repeated_substrings(docs: DataFrame, text: str = "text", window: int = 400, most_segments: int = 50_000) -> DataFrame:
+def repeated_substrings(docs: DataFrame, text: str = "text", window: int = 400, most_segments: int = 5_000) -> DataFrame:
     """(row, parts): byte ranges of each document covered by ``window``-byte strings that also start elsewhere."""
     if window < GRAM + 1:
         raise ValueError(f"windows have more than {GRAM} bytes")
     return repeated_spans(docs, text, Windows("bytes", window, GRAM, most_segments), find_repeats(window))
 
 
-def remove_substrings(docs: DataFrame, text: str = "text", window: int = 400, most_segments: int = 50_000) -> DataFrame:
+def remove_substrings(docs: DataFrame, text: str = "text", window: int = 400, most_segments: int = 5_000) -> DataFrame:
     """``docs`` with ``kept`` (binary: the text's UTF-8 bytes without repeated substrings) and ``spans`` (byte ranges removed).
 
     Every byte covered by a ``window``-byte string that also starts anywhere else, in this document or another,

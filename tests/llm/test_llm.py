@@ -76,7 +76,7 @@ def brute_spans(parts, window):
     return out
 
 
-@pytest.mark.parametrize("most_segments", [50_000, 1])
+@pytest.mark.parametrize("most_segments", [5_000, 1])
 def test_suffix_dedup(docs, most_segments):
     done = suffixes.remove_substrings(docs, window=400, most_segments=most_segments)
     rows = corpus()
@@ -89,7 +89,7 @@ def test_suffix_dedup(docs, most_segments):
     assert collections.Counter((r.doc_id, r.text, bytes(r.kept), tuple(map(tuple, r.spans))) for r in done.collect()) == want
 
 
-@pytest.mark.parametrize("most_segments", [50_000, 1])
+@pytest.mark.parametrize("most_segments", [5_000, 1])
 def test_phrase_dedup(docs, most_segments):
     done = phrases.remove_phrases(docs, window=35, most_segments=most_segments)
     rows = corpus()
@@ -167,7 +167,7 @@ def test_written_shards(spark, docs):
 
 # --- tokens, packing, files -----------------------------------------------------------------------------------
 
-ALPHABET = st.text(alphabet=st.one_of(st.characters(), st.sampled_from(" \n\t aAéß's1.<|>\u00a0\u3000\x1ć")), max_size=60)
+ALPHABET = st.text(alphabet=st.one_of(st.characters(), st.sampled_from(" \n\t aAéß's1.<|>,-Àÿ×÷\u00a0\u3000\x1c\u0301")), max_size=60)
 
 
 @settings(max_examples=400, deadline=None)
