@@ -58,6 +58,11 @@ def discard(*steps: DataFrame) -> None:
         system.delete(path, True)
 
 
+def hash_below(column, share: float):
+    """Whether the 64-bit hash of a column lies in the lowest ``share`` of all hashes: a sample that depends on the values only."""
+    return F.lit(True) if share >= 1 else F.shiftrightunsigned(F.xxhash64(column), 1) < F.lit(int(share * 2.0**63))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` after sending the package to the executors."""
     ship_package(df.sparkSession)

@@ -13,9 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ROW, U64, map_arrow, stored, with_row_key
+from .common import U64, hash_below, map_arrow
 
 UNKNOWN = "und"
 PIECE = 1 << 18
@@ -166,16 +166,18 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
         l1: float = 0.02, l2: float = 0.001, scale: float = 40.0, seed: int = 7) -> Model:
     """Learn from ``docs`` (null texts and languages are left out).
 
-    Document frequencies come from all of them. Weights are trained on at most ``per_language`` documents of each language, those of
+    Document frequencies come from all of them. Weights are trained on at most ``per_language`` different texts of each language, those of
     least text hash, so the sample is bounded by the number of languages; every fifth of them is set aside for the temperature.
     """
     known = docs.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     frequency, total = document_frequency(known, "text", terms)
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    from pyspark.sql import Window
-
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
+    picked = F.lit(False)
+    for name, n in sizes.items():  # few more than wanted leave the tasks, however many tasks there are
+        picked = picked | ((F.col("lang") == name) & hash_below("text", 1.5 * per_language / n))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    sample = known.withColumn("k", rank).where(F.col("k") <= per_language)
+    sample = known.where(picked).distinct().withColumn("k", rank).where(F.col("k") <= per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

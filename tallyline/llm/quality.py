@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ROW, map_arrow, pieces, raw_bytes, with_row_key, word_bounds, word_hashes, mixed, U64
+from .common import ROW, hash_below, map_arrow, pieces, raw_bytes, with_row_key, word_bounds, word_hashes, mixed, U64
 
 #: Fixed base rules: least words, and most repeated words in percent.
 LEAST_WORDS = 50
@@ -196,7 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     Only the sample's statistics (a dozen numbers a row) come to the driver. Of several labels of an id the least counts.
     """
     known = labels.where(F.col(f"`{label}`").isin(0, 1) & F.col(f"`{id_column}`").isNotNull()).groupBy(F.col(f"`{id_column}`").alias("id")).agg(F.min(f"`{label}`").alias("y"))
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    share = 1.2 * sample_rows / max(1, known.count())  # few more than wanted leave the tasks, however many tasks there are
+    sample = known.where(hash_below("id", share)).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     chosen = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), "id")
     rows = document_counts(chosen, "text", ["id", "y"]).orderBy("id").limit(sample_rows).toArrow()
     counts = np.column_stack([rows.column(c).to_numpy().astype(np.int64) for c in (*COUNTS, *EXTRA)]) if rows.num_rows else np.zeros((0, len(COUNTS) + len(EXTRA)), np.int64)
