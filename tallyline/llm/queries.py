@@ -33,14 +33,31 @@ def removed():
     return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
 
 
-@query("op5_suffix_array_dedup")
+@query("op5_suffix_array_dedup", r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, i, md5(b[i:i + 399]) AS k FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM b)),
+r AS (SELECT doc_id, i FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(*) > 1)),
+e AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS opens FROM r),
+g AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM e),
+p AS (SELECT doc_id, run, min(i) AS first, max(i) + 399 AS last FROM g GROUP BY 1, 2),
+q AS (SELECT doc_id, run, first, last, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM p),
+k AS (SELECT doc_id, sum(last - first + 1) AS n_removed, count(*) AS n_spans, max(last) AS tail, string_agg(hex(b[before + 1:first - 1]), '' ORDER BY run) AS head FROM q JOIN b USING (doc_id) GROUP BY 1)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(CASE WHEN tail IS NULL THEN b ELSE unhex(head || hex(b[tail + 1:octet_length(b)])) END) AS kept_sha256 FROM b LEFT JOIN k USING (doc_id)""")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     done = suffixes.remove_substrings(read(spark, folder, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed().alias("n_removed"),
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM r),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+k AS (SELECT x.doc_id, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY x.p) FILTER (c.p IS NULL) AS kept FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.p = x.p GROUP BY 1)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     done = phrases.remove_phrases(read(spark, folder, "documents").select("doc_id", "text"))
     left = F.when(F.length("kept") == 0, 0).otherwise(F.length("kept") - F.length(F.translate("kept", " ", "")) + 1)
