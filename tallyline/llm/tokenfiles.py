@@ -28,7 +28,7 @@ import zstandard
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import file_system, map_arrow, stored
+from .common import file_system, hash_below, map_arrow
 from .tokens import encoder
 
 MAGIC = b"TLTK0001"
@@ -135,13 +135,14 @@ class Reader:
 
 
 def train_dictionary(docs: DataFrame, text: str, tokenizer: str, end_id: int, width: int, size: int, sample_rows: int, sample_chars: int) -> bytes:
-    """A zstandard dictionary from at most ``sample_rows`` texts of at most ``sample_chars`` characters, least text hash first.
+    """A zstandard dictionary from at most ``sample_rows`` different texts of at most ``sample_chars`` characters, least text hash first.
 
     The bound is what makes one shared dictionary possible; it bears on the compression ratio only, never on what is stored.
     Where too little text is there to train on, the dictionary is empty and frames stand alone.
     """
     small = docs.select(F.col(f"`{text}`").alias("t")).where(F.length("t").between(1, sample_chars))
-    rows = small.orderBy(F.xxhash64("t"), "t").limit(sample_rows).collect()
+    share = 1.5 * sample_rows / max(1, small.count())  # few more than wanted leave the tasks, however many tasks there are
+    rows = small.where(hash_below("t", share)).distinct().orderBy(F.xxhash64("t"), "t").limit(sample_rows).collect()
     enc = encoder(tokenizer)
     samples = [np.append(np.frombuffer(enc.encode(r.t), "<u4"), end_id).astype(f"<u{width}").tobytes() for r in rows]
     if len(samples) < 16 or sum(map(len, samples)) < 8 * size:
@@ -194,7 +195,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_column: str =
     slim = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"))
     n = tasks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = slim.repartitionByRange(n, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
-    files = map_arrow(dealt, run, "part long, k long, name string, documents long, ids long, bytes long").orderBy("part", "k").collect()
+    files = map_arrow(dealt, run, "part long, k long, name string, documents long, ids long, bytes long").collect()
+    files.sort(key=lambda r: (r.part, r.k))
     manifest = {"dictionary": digest, "end_id": end_id, "bytes_per_id": width, "files": [{k: r[k] for k in ("name", "documents", "ids", "bytes")} for r in files]}
     write_bytes(folder, "manifest.json", json.dumps(manifest).encode())
     return manifest
