@@ -13,17 +13,25 @@ import numpy as np
 #: drops ('word') or ties to the following word as in byte-level vocabularies ('byte').
 KNOWN = {"word_bpe_49k.json": "word", "byte_bpe_50k.json": "byte"}
 
-CHUNKS = {"word": re.compile(r"\S+"), "byte": re.compile(r" ?\S+|\s+(?!\S)|\s+")}
+#: Runs of these letters are one pre-token and stay as they are under NFC, if white space, an ASCII mark or the end follows.
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+AFTER = r"(?=[!-/:-@\[-`{-~]|\s|\Z)"
+CHUNKS = {"word": re.compile(rf"[{LETTER}]+{AFTER}|\S+"), "byte": re.compile(rf" ?[{LETTER}]+{AFTER}| ?\S+|\s+(?!\S)|\s+")}
 #: Characters that ``re`` takes for white space and the tokenizers do not, and the mark of special tokens: such texts are encoded whole.
 ODD = re.compile("[\x1c-\x1f]|<\\|")
-LETTERS = {"word": re.compile(r"[a-z]+\Z"), "byte": re.compile(r" ?[A-Za-z]+\Z")}
+LETTERS = re.compile(rf" ?[{LETTER}]+\Z")
+#: Byte-level vocabularies write each byte as a character: printable ones as themselves, the others as 256, 257, ...
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+AS_CHARACTER = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
+SPELLED = {ord(c): "".join(AS_CHARACTER[b] for b in c.encode()) for c in [" ", *map(chr, range(192, 256))]}
+#: Remembered words; beyond that the later half goes, as the words met first are mostly the frequent ones.
 MOST_CACHED = 400_000
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, word by word with a bounded cache.
 
-    Both files split texts at white space before merging, so a text's ids are those of its words in a row
+    Both files split texts at white space, and between letters and marks, before merging, so a text's ids are those of its words in a row
     (tested against whole texts). Words are encoded by the library; only their ids are remembered.
     """
 
@@ -36,18 +44,17 @@ class Encoder:
         self.kind = KNOWN.get(os.path.basename(path))
         self.cache: dict[str, bytes] = {}
         if self.kind:
-            self.chunks, self.plain = CHUNKS[self.kind], LETTERS[self.kind]
+            self.chunks = CHUNKS[self.kind]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        model, cache, rest = self.tokenizer.model, self.cache, []
-        if len(cache) > MOST_CACHED:
-            cache.clear()
+        tokenize, cache, rest = self.tokenizer.model.tokenize, self.cache, []
         for w in words:
-            if self.plain.match(w):  # letters only: one pre-token, which the normalizer leaves as it is
-                cache[w] = np.array([t.id for t in model.tokenize(w.replace(" ", "Ġ"))], "<u4").tobytes()
+            if LETTERS.match(w):  # one pre-token
+                spelled = (w.lower() if self.kind == "word" else w).translate(SPELLED)
+                cache[w] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(spelled)])
             else:
                 rest.append(w)
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
@@ -58,13 +65,13 @@ class Encoder:
             return b""
         if self.kind is None or ODD.search(text):
             return self.whole(text)
+        if len(self.cache) > MOST_CACHED:
+            for w in list(self.cache)[MOST_CACHED // 2:]:
+                del self.cache[w]
         parts = self.chunks.findall(text)
         ids = list(map(self.cache.get, parts))
         if None in ids:
-            missing = list({w for w, x in zip(parts, ids, strict=True) if x is None})
-            self.learn(missing)
-            if len(self.cache) <= len(missing):  # the cache was emptied
-                self.learn([w for w in set(parts) if w not in self.cache])
+            self.learn(list({w for w, x in zip(parts, ids, strict=True) if x is None}))
             ids = map(self.cache.__getitem__, parts)
         return b"".join(ids)
 
