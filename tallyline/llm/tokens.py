@@ -28,6 +28,25 @@ SPELLED = {ord(c): "".join(AS_CHARACTER[b] for b in c.encode()) for c in [" ", *
 MOST_CACHED = 400_000
 
 
+class Words(dict):
+    """Ids of words as bytes, looked up or encoded on first sight."""
+
+    def __init__(self, tokenizer, kind: str):
+        super().__init__()
+        self.tokenizer, self.tokenize, self.lower = tokenizer, tokenizer.model.tokenize, kind == "word"
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+
+    def __missing__(self, word: str) -> bytes:
+        if LETTERS.match(word):  # one pre-token
+            spelled = word.lower() if self.lower else word
+            table = self.id_bytes
+            out = b"".join([table[t.id] for t in self.tokenize(spelled.translate(SPELLED))])
+        else:
+            out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = out
+        return out
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, word by word with a bounded cache.
 
@@ -42,38 +61,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = KNOWN.get(os.path.basename(path))
-        self.cache: dict[str, bytes] = {}
         if self.kind:
-            self.chunks = CHUNKS[self.kind]
+            self.chunks, self.words = CHUNKS[self.kind], Words(self.tokenizer, self.kind)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        tokenize, cache, rest = self.tokenizer.model.tokenize, self.cache, []
-        for w in words:
-            if LETTERS.match(w):  # one pre-token
-                spelled = (w.lower() if self.kind == "word" else w).translate(SPELLED)
-                cache[w] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(spelled)])
-            else:
-                rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.kind is None or ODD.search(text):
             return self.whole(text)
-        if len(self.cache) > MOST_CACHED:
-            for w in list(self.cache)[MOST_CACHED // 2:]:
-                del self.cache[w]
-        parts = self.chunks.findall(text)
-        ids = list(map(self.cache.get, parts))
-        if None in ids:
-            self.learn(list({w for w, x in zip(parts, ids, strict=True) if x is None}))
-            ids = map(self.cache.__getitem__, parts)
-        return b"".join(ids)
+        if len(self.words) > MOST_CACHED:
+            for w in list(self.words)[MOST_CACHED // 2:]:
+                del self.words[w]
+        return b"".join(map(self.words.__getitem__, self.chunks.findall(text)))
 
 
 @lru_cache(maxsize=2)
