@@ -58,14 +58,23 @@ def discard(*steps: DataFrame) -> None:
         system.delete(path, True)
 
 
+BATCH_BYTES, DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def hash_below(column, share: float):
     """Whether the 64-bit hash of a column lies in the lowest ``share`` of all hashes: a sample that depends on the values only."""
     return F.lit(True) if share >= 1 else F.shiftrightunsigned(F.xxhash64(column), 1) < F.lit(int(share * 2.0**63))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` after sending the package to the executors."""
+    """``mapInArrow`` after sending the package to the executors.
+
+    Batches of whole texts are held by the JVM and the worker at once, so a session without an own limit gets one of 8 MB.
+    """
     ship_package(df.sparkSession)
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES) == DEFAULT_BYTES:
+        conf.set(BATCH_BYTES, "8388608b")
     return df.mapInArrow(fn, schema)
 
 
