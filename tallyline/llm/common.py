@@ -61,9 +61,14 @@ def discard(*steps: DataFrame) -> None:
 BATCH_BYTES, DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
+def below(hashed, share: float):
+    """Whether a 64-bit hash lies in the lowest ``share`` of all hashes."""
+    return F.lit(True) if share >= 1 else F.shiftrightunsigned(hashed, 1) < F.lit(int(share * 2.0**63))
+
+
 def hash_below(column, share: float):
     """Whether the 64-bit hash of a column lies in the lowest ``share`` of all hashes: a sample that depends on the values only."""
-    return F.lit(True) if share >= 1 else F.shiftrightunsigned(F.xxhash64(column), 1) < F.lit(int(share * 2.0**63))
+    return below(F.xxhash64(column), share)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

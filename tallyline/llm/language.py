@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import U64, hash_below, map_arrow
+from .common import U64, below, discard, hash_below, map_arrow, stored
 
 UNKNOWN = "und"
 PIECE = 1 << 18
@@ -162,6 +162,25 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def shares(known: DataFrame, per_language: int) -> dict[str, float]:
+    """The share of all text hashes that holds ``per_language`` different texts of each language, or all of its texts where it has fewer.
+
+    Different texts are counted by their hashes, so copies weigh nothing; a draw that comes back short is made again with twice the share.
+    """
+    hashes = stored(known.select("lang", F.xxhash64("text").alias("h")).distinct(), "text-hashes")
+    sizes = {r["lang"]: r["count"] for r in hashes.groupBy("lang").count().collect()}  # one row per language
+    out, short = {}, {name: min(1.0, 1.5 * per_language / n) for name, n in sizes.items()}
+    while short:
+        out |= short
+        low = F.lit(False)
+        for name, share in short.items():
+            low = low | ((F.col("lang") == name) & below(F.col("h"), share))
+        drawn = {r["lang"]: r["count"] for r in hashes.where(low).groupBy("lang").count().collect()}
+        short = {name: min(1.0, 2 * share) for name, share in short.items() if drawn.get(name, 0) < min(per_language, sizes[name])}
+    discard(hashes)
+    return out
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 600, terms: Terms = Terms(), epochs: int = 3, alpha: float = 0.5, beta: float = 1.0,
         l1: float = 0.02, l2: float = 0.001, scale: float = 40.0, seed: int = 7) -> Model:
     """Learn from ``docs`` (null texts and languages are left out).
@@ -172,10 +191,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     known = docs.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     frequency, total = document_frequency(known, "text", terms)
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
     picked = F.lit(False)
-    for name, n in sizes.items():  # few more than wanted leave the tasks, however many tasks there are
-        picked = picked | ((F.col("lang") == name) & hash_below("text", 1.5 * per_language / n))
+    for name, share in shares(known, per_language).items():  # few more than wanted leave the tasks, however many tasks there are
+        picked = picked | ((F.col("lang") == name) & hash_below("text", share))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
     sample = known.where(picked).distinct().withColumn("k", rank).where(F.col("k") <= per_language)
 

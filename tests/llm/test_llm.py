@@ -460,6 +460,22 @@ def test_language(spark):
     assert [rows[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and rows[4].lang_pred in model.languages and 0 < rows[4].score <= 1
 
 
+def test_language_sample_ignores_copies(spark):
+    rng = random.Random(8)
+    rows = [(sentence(rng, 12), "a") for _ in range(300)] + [(sentence(rng, 12), "b") for _ in range(300)]
+    few = spark.createDataFrame(rows, "text string, lang string")
+    copies = spark.range(200_000).select(F.lit("the same text each time").alias("text"), F.lit("a").alias("lang"))
+    path = tempfile.mkdtemp(prefix="llm-tests-") + "/copies"
+    few.unionByName(copies).write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert language.fit(docs, per_language=10, epochs=1).languages == ["a", "b"]
+    for per_language in (1, 100, 1000):
+        share = language.shares(docs, per_language)
+        for name, different in (("a", 301), ("b", 300)):
+            drawn = docs.where(F.col("lang") == name).where(language.hash_below("text", share[name])).distinct().count()
+            assert drawn >= min(per_language, different)
+
+
 def test_temperature():
     rng = np.random.default_rng(1)
     z = rng.normal(size=(20000, 3))
