@@ -80,13 +80,18 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def url_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, bad) of each page: the label of the document whose number its path ends in, null without one."""
+    bad = labels.groupBy(F.col("doc_id").alias("number")).agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    _, path = urls.split_url(F.col("url"))
+    return pages.select("url", urls.document_number(path).alias("number")).join(bad, "number", "left").select("url", "bad")
+
+
 @query("op3_url_filters")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    """Examples are the pages whose id has a label (bad: toxic or of low quality) and the pages an explicit rule decides."""
+    """Examples are the pages whose document has a label (bad: toxic or of low quality) and that no explicit rule decides."""
     pages, labels = read(spark, folder, "pages").select("page_id", "url"), read(spark, folder, "labels")
-    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("labelled"))
-    _, said = urls.matched_rule(*urls.split_url(F.col("url")), RULES)
-    examples = pages.join(bad, "page_id", "left").select("url", F.coalesce(said == "block", "labelled").alias("bad"))
+    examples = url_labels(pages, labels)
     judged = urls.judge(pages, examples, RULES)
     ids = with_row_key(pages.select("page_id", "url")).select(ROW, "page_id")
     return judged.join(ids, ROW).select("page_id", "host", "path", "rule", "verdict")

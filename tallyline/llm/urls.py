@@ -45,6 +45,11 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return name, verdict
 
 
+def document_number(path: Column) -> Column:
+    """The number of the document a page is made from: its path's last segment, without an extension or a closing slash; null if that is no number."""
+    return F.regexp_extract(path, r"/([0-9]{1,19})(?:\.[A-Za-z0-9]+)?/*$", 1).try_cast("long")
+
+
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
     """Distinct tokens: labels of the host, its parts between dashes, segments of the path (digits as 0, extension apart), keys of the query."""
     labels = F.split(host, r"\.")
@@ -82,12 +87,14 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str
           min_count: int = 20, min_confidence: float = 0.8, most_rules: int = MOST_RULES) -> DataFrame:
     """(row key, host, path, rule, verdict) of every row of ``pages``.
 
-    ``labelled`` has ``url`` and ``bad`` (boolean; rows with null ``bad`` are left out). Explicit ``rules`` decide first; else a URL is
+    ``labelled`` has ``url`` and ``bad`` (boolean; rows with null ``bad`` and those an explicit rule
+    decides are left out, of the support's base too: mined rules only judge what no rule decides). Explicit ``rules`` decide first; else a URL is
     blocked if it holds all tokens of a mined rule. A null URL or one without ``://`` has empty host and path,
     no tokens, and is allowed unless a rule says otherwise. Equal URLs are judged alike; an empty table gives no rows.
     """
     lab_host, lab_path = split_url(F.col("url"))
-    examples = labelled.where(F.col("bad").isNotNull()).select(url_tokens(F.col("url"), lab_host, lab_path).alias("tokens"), F.col("bad").cast("boolean").alias("bad"))
+    _, decided = matched_rule(lab_host, lab_path, rules)
+    examples = labelled.where(F.col("bad").isNotNull() & decided.isNull()).select(url_tokens(F.col("url"), lab_host, lab_path).alias("tokens"), F.col("bad").cast("boolean").alias("bad"))
     mined = stored(mine_rules(examples, min_support, min_count, min_confidence), "url-rules")
     host, path = split_url(F.col("url"))
     rows = with_row_key(pages.select(F.col(f"`{url}`").alias("url"))).select(ROW, host.alias("host"), path.alias("path"), url_tokens(F.col("url"), host, path).alias("tokens"))

@@ -449,6 +449,22 @@ def test_mined_url_rules(spark):
     assert rules and [r.verdict for r in got] == ["block" if any(c <= token(u) for c in rules) else "allow" for u, _ in rows]
 
 
+def test_url_labels_are_of_the_document_in_the_path(spark):
+    pages = spark.createDataFrame([(0, "http://a.net/en/7.html?page=1"), (1, "http://a.net/fr/8/"), (7, "http://a.net/en/0#x"), (8, "http://a.net/en/x"), (9, None), (10, "http://b.net/12"), (11, "http://b.net/99999999999999999999")], "page_id long, url string")
+    labels = spark.createDataFrame([(7, 0, 0), (8, 1, 1), (12, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r.url: r.bad for r in queries.url_labels(pages, labels).collect()}
+    assert got == {"http://a.net/en/7.html?page=1": True, "http://a.net/fr/8/": True, "http://a.net/en/0#x": None, "http://a.net/en/x": None, None: None, "http://b.net/12": False,
+                   "http://b.net/99999999999999999999": None}
+
+
+def test_decided_urls_are_no_examples(spark):
+    decided = [(f"http://x.org/ok/{k}", k % 2 == 0) for k in range(5000)]  # as many good ones as bad ones under an explicit rule
+    own = [(f"http://spam-{k}.net/ok/{k}", True) for k in range(20)]
+    df = spark.createDataFrame([*decided, *own], "url string, bad boolean").coalesce(1)
+    got = urls.judge(df, df, [("allow", "x.org", "/")]).groupBy("host", "verdict").count().collect()
+    assert {(r.host, r.verdict) for r in got} == {("x.org", "allow"), *((f"spam-{k}.net", "block") for k in range(20))}
+
+
 def test_language(spark):
     read = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", language.held_out(F.col("doc_id")))
     model = language.fit(read.where("not held_out"), per_language=100)
