@@ -27,25 +27,36 @@ SEGMENTS = ((0, 22), (22, 22), (44, 20))
 MOST_BITS = 4
 
 
-def fingerprint(text: bytes, shingle: int, seed: int) -> int:
-    """SimHash of one text: lower-cased A-Z, ``shingle`` words joined by a space, repeats included."""
+def spans_of(text: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The words of a text, lower-cased A-Z and joined by a space, with the start and end of each run of ``shingle`` words (or of all, if fewer)."""
     words = text.lower().split()
     if not words:
-        return 0
-    line = b" ".join(words)
+        return b"", [], []
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
-    start = end - size
     k = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    view = memoryview(line)
-    hashes = np.array([digest(view[a:b], seed) for a, b in zip(start[:len(words) - k + 1].tolist(), end[k - 1:].tolist(), strict=True)], np.uint64)
+    return b" ".join(words), (end - size)[:len(words) - k + 1].tolist(), end[k - 1:].tolist()
+
+
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """Hashes of the shingles of a text, repeats included."""
+    line, start, end = spans_of(text, shingle)
+    digest, view = xxhash.xxh64_intdigest, memoryview(line)
+    return np.array([digest(view[a:b], seed) for a, b in zip(start, end, strict=True)], np.uint64)
+
+
+def simhash_of(hashes: np.ndarray) -> int:
     bits = np.zeros(64, np.int64)
     for part in range(0, len(hashes), 1 << 16):
         bits += np.unpackbits(hashes[part:part + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return sum(1 << i for i in np.flatnonzero(bits * 2 > len(hashes)).tolist())
 
 
+def fingerprint(text: bytes, shingle: int, seed: int) -> int:
+    """SimHash of one text: lower-cased A-Z, ``shingle`` words joined by a space, repeats included."""
+    return simhash_of(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns, ``fp`` (long) of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

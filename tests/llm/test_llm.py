@@ -500,6 +500,46 @@ def test_temperature():
     assert abs(language.fit_temperature(5 * z, y) - 5) < 0.3
 
 
+def five(text):
+    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_first(rows):
+    """Ids left of (id, text): the least of each chain of rows with a five-word Jaccard similarity of 0.8 or more."""
+    sets = [five(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                x, y = root[a], root[b]
+                root = [y if r == x else r for r in root]
+    least = {}
+    for r, (i, _) in zip(root, rows, strict=True):
+        least[r] = min(least.get(r, (True, 0)), (i is None, i or 0))
+    return collections.Counter(None if none else i for none, i in least.values())
+
+
+def test_near_copies_of_the_pipeline(spark, docs, none):
+    rng = random.Random(12)
+    rows = corpus()
+    for k in range(25):  # similarity 0.7 to 0.95
+        w = sentence(rng, rng.randint(60, 400)).split()
+        n = len(w)
+        changed = list(w)
+        for at in rng.sample(range(n), max(1, int(n * rng.uniform(0.006, 0.04)))):
+            changed[at] = "changed"
+        rows += [(1000 + 2 * k, " ".join(w)), (1001 + 2 * k, " ".join(changed))]
+    base = sentence(rng, 200).split()
+    rows += [(2000 + k, " ".join(base[:k] + [f"n{k}"] + base[k + 1:])) for k in range(90)]  # a large group, whose members are one word apart
+    path = tempfile.mkdtemp(prefix="llm-tests-") + "/near"
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "text").write.parquet(path)
+    left = corpus_pipeline.simhash_near_dedup(spark, spark.read.parquet(path), FOLDER)
+    assert left.columns == ["doc_id", "text"]
+    assert collections.Counter(r.doc_id for r in left.collect()) == brute_first(rows)
+    assert corpus_pipeline.simhash_near_dedup(spark, none, FOLDER).count() == 0
+
+
 def test_pipeline(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
