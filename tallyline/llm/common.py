@@ -22,17 +22,31 @@ IS_SPACE[list(SPACES)] = True
 U64 = np.uint64
 
 
+SPLITS = "spark.sql.files.minPartitionNum"
+
+
+def fix_splits(spark: SparkSession) -> None:
+    """Fix the number that file splits are sized by, once per session, so that executors that leave or join do not change a later scan's splits.
+
+    Without a value Spark takes the cores registered when each plan starts.
+    """
+    if spark.conf.get(SPLITS, None) is None:
+        spark.conf.set(SPLITS, str(int(spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism)))
+
+
 def with_row_key(df: DataFrame, name: str = ROW) -> DataFrame:
     """Give each row its own long key.
 
     The key is the place in the scan, so the input has to be one that Spark reads alike each time: a table,
-    a stored step or a checkpoint. Rows with equal or null ids stay apart.
+    a stored step or a checkpoint, under the same split sizes (``fix_splits``). Rows with equal or null ids stay apart.
     """
+    fix_splits(df.sparkSession)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
 def packed(df: DataFrame) -> DataFrame:
     """(row, doc): the row key (see ``with_row_key``) and all columns in one struct, so that no name can clash."""
+    fix_splits(df.sparkSession)
     return df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyline.llm import components, contamination, language, packing, phrases, quality, queries, sharding, simhash, suffixes, tokenfiles, tokens, urls
+from tallyline.llm import common, components, contamination, language, packing, phrases, quality, queries, sharding, simhash, suffixes, tokenfiles, tokens, urls
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -500,6 +500,22 @@ def test_temperature():
     assert abs(language.fit_temperature(5 * z, y) - 5) < 0.3
 
 
+def test_row_keys_outlast_a_change_of_cores(spark):
+    path = tempfile.mkdtemp(prefix="llm-tests-") + "/splits"
+    spark.range(800).repartition(8).write.parquet(path)
+    cores, before = "spark.sql.leafNodeDefaultParallelism", spark.conf.get("spark.sql.files.minPartitionNum", None)
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    try:
+        keys = []
+        for n in (2, 16):  # the default that counts registered cores, as Spark takes it at each plan
+            spark.conf.set(cores, n)
+            keys.append(sorted(tuple(r) for r in common.with_row_key(spark.read.parquet(path)).collect()))
+        assert keys[0] == keys[1]
+    finally:
+        spark.conf.unset(cores)
+        spark.conf.unset("spark.sql.files.minPartitionNum") if before is None else spark.conf.set("spark.sql.files.minPartitionNum", before)
+
+
 def five(text):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
