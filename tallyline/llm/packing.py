@@ -2,8 +2,8 @@
 
 Partitions pack their pieces best-fit decreasing and emit the bins that are nearly full. Underfull bins become
 items themselves: a round deals them to fewer tasks, which pack them best-fit again, and so on up a tree. A task never gets
-more than ``most_items`` items: a round over more bins than that stays spread, and the tree ends when a round
-no longer saves bins (bins over half full of which no two fit, say), so no task ever gathers the whole corpus.
+more than ``most_items`` items: a round over more bins than that stays spread. Bins that not even the emptiest one fits into leave
+as they are, and the tree ends when a round neither saves a bin nor lets one leave, so no task ever gathers the whole corpus.
 A bin has at most ``capacity`` pieces, so a row is bounded too.
 """
 
@@ -111,9 +111,11 @@ def packed_bins(pieces: DataFrame, capacity: int, spare: int = 2, most_items: in
         done = stored(map_arrow(dealt, pack_task(capacity, spare, level), BIN), f"bins-{level}")
         parts.append(done.where("round >= 0"))
         items = done.where("round < 0")
+        least = items.agg(F.min("fill")).first()[0] or 0
+        parts.append(items.where(F.col("fill") > capacity - least))  # not even the emptiest bin fits in
+        items = items.where(F.col("fill") <= capacity - least)
         left = items.count()
-        total = done.count()
-        if left == 0 or tasks == 1 or total > 0.999 * count:
+        if left == 0 or tasks == 1 or left >= count:
             parts.append(items)
             break
         count, level = left, level + 1

@@ -500,6 +500,14 @@ def test_temperature():
     assert abs(language.fit_temperature(5 * z, y) - 5) < 0.3
 
 
+def test_packing_ends_with_no_mergeable_bins(spark):
+    sizes = [60] * 6000 + [41] * 10  # only the last ones fit together; a round over many tasks saves few bins
+    pieces = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(sizes)], packing.PIECE)
+    bins = packing.packed_bins(pieces, 100, 2, most_items=300)
+    assert bins.count() == 6005
+    assert sorted(r.row for r in bins.selectExpr("explode(pieces.row) AS row").collect()) == list(range(6010))
+
+
 def test_row_keys_outlast_a_change_of_cores(spark):
     path = tempfile.mkdtemp(prefix="llm-tests-") + "/splits"
     spark.range(800).repartition(8).write.parquet(path)
