@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import contamination, language, packing, phrases, quality, sharding, simhash, suffixes, tokenfiles, urls
+from . import bytepairs, contamination, language, packing, phrases, quality, sharding, simhash, suffixes, tokenfiles, urls
 from .common import ROW, with_row_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
     model = language.fit(docs.where("not held_out"))
     return language.identify(docs, model, keep=["doc_id", "held_out"])
+
+
+@query("op13_byte_level_bpe")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rules = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bytepairs.encode(read(spark, folder, "documents"), *rules)
+    done = bytepairs.decode(encoded, *rules, keep=("doc_id", "ids"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
