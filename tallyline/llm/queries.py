@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import bytepairs, contamination, language, packing, phrases, quality, sharding, simhash, suffixes, tokenfiles, urls
+from . import bytepairs, contamination, language, packing, phrases, quality, search, sharding, simhash, suffixes, tokenfiles, urls
 from .common import ROW, with_row_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,21 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     done = bytepairs.decode(encoded, *rules, keep=("doc_id", "ids"))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+TERMS = "list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+@query("op12_ranked_lexical_search", f"""
+WITH d AS (SELECT doc_id, {TERMS} AS ts FROM documents),
+c AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts)) AS n_terms FROM d),
+q AS (SELECT item_id, unnest(list_distinct({TERMS})) AS term FROM benchmark),
+p AS (SELECT doc_id, len(ts) AS n, term, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY 1),
+i AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + CAST((50 * n * n_docs) // n_terms AS BIGINT))) AS impact FROM p, c),
+s AS (SELECT item_id, doc_id, CAST(sum(w * impact) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN i USING (term) GROUP BY 1, 2),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
