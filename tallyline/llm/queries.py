@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import bytepairs, contamination, language, packing, phrases, quality, search, sharding, simhash, suffixes, tokenfiles, urls
+from . import bytepairs, collocations, contamination, language, packing, phrases, quality, search, sharding, simhash, suffixes, tokenfiles, urls
 from .common import ROW, with_row_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,22 @@ SELECT * FROM r WHERE rank <= 50""")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     found = search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return found.select("item_id", "rank", "doc_id", "score")
+
+
+@query("op11_phrase_collocations", r"""
+WITH s AS (SELECT coalesce(lang, 'und') AS lang, doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(ps) AS piece FROM s)),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY 1),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, w[i:i + k - 1] AS ph, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, ph, k, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+x AS (SELECT c.lang, c.ph, c.a, c.cut, l.f AS l, r.f AS r, t.n, CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score FROM c JOIN t ON t.lang = c.lang
+ JOIN f l ON l.lang = c.lang AND l.ph = c.ph[1:c.cut] JOIN f r ON r.lang = c.lang AND r.ph = c.ph[c.cut + 1:c.k]),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, cut) = 1),
+u AS (SELECT lang, k, f, ph, unnest(range(2, k)) AS m FROM f WHERE k > 2),
+v AS (SELECT lang, ph[i:i + m - 1] AS ph, max(f) AS f FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM u) GROUP BY 1, 2),
+o AS (SELECT b.* FROM b LEFT JOIN v ON v.lang = b.lang AND v.ph = b.ph WHERE v.f IS NULL OR 100 * v.f < 100 * b.a),
+z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ph, ' ')) AS rank, array_to_string(ph, ' ') AS phrase, a, l, r, n, score FROM o)
+SELECT * FROM z WHERE rank <= 2000""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(read(spark, folder, "documents"))
