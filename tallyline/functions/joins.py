@@ -39,3 +39,17 @@ def repeat_rows(df: DataFrame, n: str, number: str, chunk: int = 10_000) -> Data
     chunks = df.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / chunk).cast("bigint"))))
     low = F.col("_c") * chunk + 1
     return chunks.withColumn(number, F.explode(F.sequence(low, F.least(F.col(n).cast("bigint"), low + chunk - 1)))).drop("_c")
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once for each row, however many later steps read them.
+
+    Filters are not pushed below a generator and its output is not inlined, so a costly expression stands in the plan once.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, as a lambda variable."""
+    return F.get(F.transform(F.array(value), use), 0)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as D, rules, text as X
+from ..functions.joins import bound, once
 
 CHECKED = ["latitude", "longitude", "date"]     # fields with a value check, in field order
 # --- fixed values: how much of a dataset a quick look reads ---
@@ -67,8 +68,11 @@ def fuzzy_match(names: Column, low: Column, field: str) -> Column:
     patterns, _, threshold = rules.FIELD_PATTERNS[field]
     scored = F.transform(low, lambda c, i: F.struct(
         F.greatest(*[similarity(c, p) for p in patterns], F.lit(0)).alias("score"), (-i).alias("place")))
-    best = F.array_max(scored)
-    return F.when(best["score"] > threshold, F.struct(F.try_element_at(names, 1 - best["place"]).alias("column"), best["score"].alias("score")))
+
+    def hit(best: Column) -> Column:
+        return F.when(best["score"] > threshold, F.struct(F.try_element_at(names, 1 - best["place"]).alias("column"), best["score"].alias("score")))
+
+    return bound(F.array_max(scored), hit)
 
 
 def fuzzy_matches(df: DataFrame, key: str = "dataset_id") -> DataFrame:
@@ -137,10 +141,10 @@ def detect_columns(df: DataFrame, sample: str | None = None, fuzzy: bool = True,
         return F.coalesce(*ways, *([fuzzy_match(names, low, f)["column"]] if fuzzy else []))
 
     fields = list(rules.FIELD_PATTERNS)
-    out = out.withColumns({f"_{f}": found(f) for f in fields})
+    out = once(out, {f"_{f}": found(f) for f in fields})
     if sample is not None:
-        out = out.withColumns({f"_{f}": F.coalesce(F.col(f"_{f}"), value_match(names, F.col(sample), f, rows, values)) for f in CHECKED})
-        out = out.withColumn("_time", F.coalesce("_time", embedded_time(F.col("_date"), F.col(sample), rows, clock_values)))
+        out = once(out, {f"_{f}": F.coalesce(F.col(f"_{f}"), value_match(names, F.col(sample), f, rows, values)) for f in CHECKED})
+        out = once(out, {"_time": F.coalesce("_time", embedded_time(F.col("_date"), F.col(sample), rows, clock_values))})
     entries = F.array(*[F.struct(F.lit(f).alias("k"), F.col(f"_{f}").alias("v")) for f in fields])
     mapping = F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
-    return out.withColumn("column_mapping", mapping).drop("_low", *[f"_{f}" for f in fields])
+    return once(out, {"column_mapping": mapping}).drop("_low", *[f"_{f}" for f in fields])
