@@ -2,13 +2,14 @@
 
 Counting phrases of up to five words is building the suffix tree of the corpus cut off at depth five. The tree is built in parts:
 
-* **Prefix frequencies.** Words, then pairs of neighbours, are counted exactly. A phrase that is frequent enough consists of frequent pairs,
-  so a suffix ends where a pair is too rare. Tasks know the frequent pairs by a bit table of fixed size; a false hit costs a row, never a count.
-* **Vertical partitioning.** Suffixes, counted within each task first, are dealt by their first word. A first word with more suffixes than the memory budget
-  is divided by its second word, and so on, so that no part of the tree outgrows the budget whatever share of the corpus a word holds. Prefixes
-  are dealt to as many partitions as the budget asks for.
-* **Subtrees.** Each partition sorts its suffixes and reads them once; the leaf totals below a node add up to the phrase's count.
-  Counts of the nodes above a divided prefix come from several partitions and are added up at the end.
+* **Prefix frequencies.** Words are counted exactly. Pairs of frequent neighbours are counted by 40-bit hashes, sent sorted and packed; equal
+  hashes of different pairs only add up, so a pair that is frequent is never missed. A phrase that is frequent enough consists of frequent pairs,
+  so a suffix ends where a pair is too rare; tasks know the frequent pairs by a bit table of fixed size. A false hit costs a row, never a count.
+* **Vertical partitioning.** Suffixes are dealt by their first two words. Where a prefix occurs more often than the memory budget, its continuations are counted
+  and the prefix is divided by the next word, and so on. Prefixes are dealt to as many groups as the budget asks for, so no
+  group outgrows it whatever share of the corpus a word holds. Suffixes are counted within tasks and go to their group in packed blocks.
+* **Subtrees.** Each group adds up its leaves and reads the count of each node from the totals of the leaves below it.
+  Nodes above a divided prefix have leaves in several groups; their counts are added up at the end.
 """
 
 from __future__ import annotations
@@ -18,17 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import U64, discard, map_arrow, mixed, pieces, raw_bytes, stored, word_hashes
 
 UNKNOWN = "und"
-#: Bits of the table of frequent pairs (4 MB), tasks that fill it, counts a task holds before it hands them on, bytes of text taken at once.
-BITS, FILLERS, MOST_HELD, TEXT_BYTES = 25, 8, 200_000, 1 << 20
-#: Suffixes that a part of the tree may have.
-BUDGET = 2_000_000
+#: Bits of a prefix hash, and of the table of frequent pairs (4 MB).
+HASH_BITS, BITS = 40, 25
+#: Suffixes or words a task holds before it hands them on, prefix hashes it holds, bytes of text taken at once.
+MOST_HELD, MOST_HASHES, TEXT_BYTES = 300_000, 2_000_000, 1 << 20
+#: Occurrences of prefixes that a group of the tree may have.
+BUDGET = 1_000_000
 
 #: A-Z to lower case, tab to space, ends of pieces to a line feed.
 AS_PIECES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -72,6 +75,15 @@ class Held:
         self.counts, self.size = {}, 0
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers, byte place by byte place and compressed."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<u8")[:, 0]
+
+
 COUNTS = "lang string, phrase string, count long"
 
 
@@ -86,156 +98,223 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, COUNTS).groupBy("lang", F.col("phrase").alias("w1")).agg(F.sum("count").alias("count"))
 
 
-def language_hash(lang: str) -> np.uint64:
-    return U64(xxhash.xxh64_intdigest(lang.encode()))
+class Tokens:
+    """The words of some text of one language: places, hashes, and which neighbours belong to one piece."""
 
+    def __init__(self, lang: str, text: bytes):
+        data = np.frombuffer(text, np.uint8)
+        solid = (data != 32) & (data != 10)
+        edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
+        self.text, self.start, self.end = text, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.hashes = mixed(word_hashes(data, self.start, self.end) + U64(xxhash.xxh64_intdigest(lang.encode())))
+        line = np.cumsum(data == 10)[self.start]
+        self.ties = line[1:] == line[:-1]
 
-def pair_slots(left: np.ndarray, right: np.ndarray, lang: np.uint64) -> np.ndarray:
-    """Places of word pairs (by the hashes of both words) in the bit table."""
-    return (mixed(left * U64(0x9E3779B97F4A7C15) + right + lang) >> U64(64 - BITS)).astype(np.int64)
+    def reach(self, ties: np.ndarray, longest: int) -> np.ndarray:
+        """How many ties follow each word without a gap, up to the depth of the tree."""
+        out = np.zeros(len(self.start), np.int64)
+        for _ in range(longest - 1):
+            out[:-1] = np.where(ties, np.minimum(out[1:] + 1, longest - 1), 0)
+        return out
 
+    def prefixes(self, first: np.ndarray, reach: np.ndarray, depth: int) -> Iterator[np.ndarray]:
+        """Hashes of the first 2, 3, ... ``depth`` words from each of the ``first`` words on, of all its words where there are fewer."""
+        hashed = self.hashes[first]
+        for d in range(1, depth):
+            on = reach[first] >= d
+            hashed = hashed.copy()
+            hashed[on] = mixed(hashed[on] * U64(0x9E3779B97F4A7C15) + self.hashes[first[on] + d])
+            yield hashed >> U64(64 - HASH_BITS)
 
-def word_slots(words: np.ndarray, lang: np.uint64) -> np.ndarray:
-    return (mixed(words + lang) >> U64(64 - BITS)).astype(np.int64)
 
-
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    ends = np.cumsum([len(w) for w in words])
-    data = np.frombuffer(b"".join(words), np.uint8)
-    return word_hashes(data, ends - np.array([len(w) for w in words]), ends) if len(data) else np.zeros(len(words), np.uint64)
+def is_set(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (table[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
 
 
-def bit_table(frequent: DataFrame, depth: int) -> np.ndarray:
-    """The frequent words or pairs as bits of a table of fixed size; what comes to the driver is ``FILLERS`` such tables at most."""
+class Known:
+    """What the passes so far know: bits of frequent words, bits of frequent pairs, and the hashes of the prefixes to divide by their number of words."""
+
+    def __init__(self, words: np.ndarray, pairs: np.ndarray | None = None, divided: list[np.ndarray] | None = None):
+        self.words, self.pairs, self.divided = words, pairs, divided or []
+
+    def suffixes(self, tokens: Tokens, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words that a suffix of two words or more begins at, and the reach of every word."""
+        if self.pairs is None:
+            frequent = is_set(self.words, (tokens.hashes >> U64(64 - BITS)).astype(np.int64))
+            ties = tokens.ties & frequent[1:] & frequent[:-1]
+        else:
+            at = np.flatnonzero(tokens.ties)
+            (pair,) = tokens.prefixes(at, np.ones(len(tokens.start), np.int64), 2)
+            ties = tokens.ties.copy()
+            ties[at] = is_set(self.pairs, (pair >> U64(HASH_BITS - BITS)).astype(np.int64))
+        reach = tokens.reach(ties, longest)
+        return np.flatnonzero(reach), reach
+
+    def dealt(self, tokens: Tokens, first: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By how many words each suffix is dealt, and the hash of these."""
+        depth, key = np.full(len(first), 2), None
+        for d, hashed in enumerate(tokens.prefixes(first, reach, len(self.divided) + 2), 2):
+            key = hashed if key is None else np.where(depth == d, hashed, key)
+            if d - 2 < len(self.divided):
+                depth[(depth == d) & np.isin(hashed, self.divided[d - 2])] = d + 1
+        return depth, key
+
+
+def word_bits(frequent: DataFrame) -> np.ndarray:
+    """Frequent words as bits of a table of fixed size; each of at most eight tasks sends one table to the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << BITS, bool)
         for batch in batches:
-            hashed = [hashes_of([w.encode() for w in batch.column(1 + d).to_pylist()]) for d in range(depth)]
             langs = np.array(batch.column(0).to_pylist(), object)
+            data, at = raw_bytes(batch.column(1))
             for lang in set(langs):
-                on = langs == lang
-                own = [h[on] for h in hashed]
-                bits[pair_slots(*own, language_hash(lang)) if depth == 2 else word_slots(*own, language_hash(lang))] = True
+                hashed = mixed(word_hashes(data, at[:-1], at[1:])[langs == lang] + U64(xxhash.xxh64_intdigest(lang.encode())))
+                bits[(hashed >> U64(64 - BITS)).astype(np.int64)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
     table = np.zeros((1 << BITS) // 8, np.uint8)
-    for row in map_arrow(frequent.coalesce(FILLERS), run, "bits binary").collect():
+    for row in map_arrow(frequent.select("lang", "w1").coalesce(8), run, "bits binary").collect():
         table |= np.frombuffer(row.bits, np.uint8)
     return table
 
 
-def is_set(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (table[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-
+def prefix_counts(docs: DataFrame, known: Known, depth: int, least: int, budget: int, longest: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Counts of the prefixes of ``depth`` words: bits of those that occur ``least`` times, hashes of those beyond the budget, and how many occurrences there are.
 
-def suffixes(docs: DataFrame, table, depth: int, longest: int) -> DataFrame:
-    """(lang, w1, ..., count): suffixes of two words at least and ``longest`` at most, counted within tasks. They go on while words (depth 1) or pairs (depth 2) are in the table."""
-    shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+    At depth two all pairs of frequent words count, deeper only what follows a prefix to be divided. Hashes beyond the budget are occurrences / budget at most.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(16, max(4, (parts - 1).bit_length()))
+    shared = spark.sparkContext.broadcast(known)
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        slice_of = (hashes >> U64(HASH_BITS - bits)).astype(np.int64)
+        head = np.searchsorted(slice_of, np.arange((1 << bits) + 1))
+        full = np.flatnonzero(np.diff(head))
+        rows = [(packed(np.diff(hashes[head[k]:head[k + 1]], prepend=U64(0))), packed(counts[head[k]:head[k + 1]].astype(np.uint64))) for k in full]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "hashes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(shared.value, np.uint8)
-        held = Held()
+        own, held, size = shared.value, [], 0
         for lang, text in lines(batches):
-            data = np.frombuffer(text, np.uint8)
-            solid = (data != 32) & (data != 10)
-            edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
-            start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            if len(start) < 2:
-                continue
-            line = np.cumsum(data == 10)[start]
-            hashed, own = word_hashes(data, start, end), language_hash(lang)
-            ties = line[1:] == line[:-1]
-            if depth == 1:
-                frequent = is_set(known, word_slots(hashed, own))
-                ties &= frequent[1:] & frequent[:-1]
+            tokens = Tokens(lang, text)
+            first, reach = own.suffixes(tokens, longest if depth > 2 else 2)
+            if depth > 2:
+                deep, key = own.dealt(tokens, first, reach)
+                key = key[(deep == depth) & (reach[first] >= depth - 1)]
             else:
-                ties &= is_set(known, pair_slots(hashed[:-1], hashed[1:], own))
-            reach = np.zeros(len(start), np.int64)  # ties that follow a word, up to the depth of the tree
-            for _ in range(longest - 1):
-                reach[:-1] = np.where(ties, np.minimum(reach[1:] + 1, longest - 1), 0)
-            first = np.flatnonzero(reach)
-            wide = start[1:] - end[:-1] > 1  # more than one space between two words
-            odd = np.concatenate([[0], np.cumsum(wide)])
-            last = first + reach[first]
-            plain = odd[last] == odd[first]
-            yield from held.add(lang, [text[a:b] if p else b" ".join(text[a:b].split()) for a, b, p in zip(start[first].tolist(), end[last].tolist(), plain.tolist(), strict=True)])
-        yield from held.take()
-
-    words = F.split("phrase", " ")
-    return map_arrow(docs, run, COUNTS).select("lang", *[F.get(words, d).alias(f"w{d + 1}") for d in range(longest)], "count")
-
-
-def divided(rows: DataFrame, longest: int, budget: int) -> DataFrame:
-    """``rows`` with ``depth``: by how many first words a row is dealt, so that no prefix has more than ``budget`` rows (but for rows of equal suffixes)."""
-    words = [f"w{d + 1}" for d in range(longest)]
-    out, open_ = rows.withColumn("depth", F.lit(1)), rows
-    for d in range(1, longest):
-        by = ["lang", *words[:d]]
-        hot = stored(open_.where(F.col(words[d - 1]).isNotNull()).groupBy(*by).count().where(F.col("count") > budget).select(*by), "hot-prefixes")
-        if hot.isEmpty():
-            break
-        hot = F.broadcast(hot)  # rows / budget of them at most
-        open_ = open_.join(hot, by, "left_semi")
-        out = out.join(hot.withColumn("_hot", F.lit(1)), by, "left").withColumn("depth", F.when(F.col("_hot").isNotNull(), d + 1).otherwise(F.col("depth"))).drop("_hot")
-    return out
-
+                (key,) = tokens.prefixes(first, reach, 2)
+            held.append(key)
+            size += len(key)
+            if size >= MOST_HASHES:
+                yield sent(held)
+                held, size = [], 0
+        yield sent(held)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by slice."""
+        at, hashes, counts = None, [], []
+
+        def result() -> pa.RecordBatch:
+            every, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            total = np.bincount(place, np.concatenate(counts).astype(np.float64)).astype(np.int64)  # exact up to 2^53
+            slots = np.zeros(1 << (BITS - bits), bool)
+            slots[(every[total >= least] >> U64(HASH_BITS - BITS)).astype(np.int64) - (at << (BITS - bits))] = True
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(slots).tobytes()], pa.binary()),
+                                               pa.array([every[total > budget].tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], ["slice", "bits", "heavy", "total"])
 
-def subtree_nodes(longest: int, least: int):
-    """Arrow function over (depth, lang, w1, ..., count) sorted by lang and words: (lang, phrase, count) of the nodes of two words at least, as the sum of their leaves.
+        for batch in batches:
+            for k, h, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if at is not None and k != at:
+                    yield result()
+                    hashes, counts = [], []
+                at = k
+                hashes.append(np.cumsum(unpacked(h), dtype=np.uint64))
+                counts.append(unpacked(c))
+        if at is not None:
+            yield result()
+
+    blocks = map_arrow(docs, run, "slice long, hashes binary, counts binary").repartition("slice").sortWithinPartitions("slice")
+    table, heavy, total = np.zeros((1 << BITS) // 8, np.uint8), [], 0
+    for row in map_arrow(blocks, added, "slice long, bits binary, heavy binary, total long").collect():
+        width = len(row.bits)
+        table[row.slice * width:(row.slice + 1) * width] = np.frombuffer(row.bits, np.uint8)
+        heavy.append(np.frombuffer(row.heavy, np.uint64))
+        total += row.total
+    shared.unpersist()
+    return table, np.sort(np.concatenate(heavy)) if heavy else np.zeros(0, np.uint64), total
+
+
+def tree_counts(docs: DataFrame, known: Known, groups: int, longest: int, least: int) -> DataFrame:
+    """(lang, phrase, count) of the phrases of two words at least that occur ``least`` times."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def sent(held: dict) -> pa.RecordBatch:
+        rows = []
+        for lang, (counts, places) in held.items():
+            dealt: dict[tuple[int, int], list[bytes]] = {}
+            for phrase, place in places.items():
+                dealt.setdefault(place, []).append(phrase)
+            for place, phrases in dealt.items():
+                phrases.sort()
+                group, depth = divmod(place, 8)
+                rows.append((group, lang, depth, zstandard.compress(b"\n".join(phrases), 3), packed(np.array([counts[p] for p in phrases], np.uint64))))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["slice", "lang", "depth", "phrases", "counts"])
 
-    Nodes above the prefix a row was dealt by are given with any count, as other partitions hold the rest of them.
-    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        held: list = [None] * (longest + 1)  # by depth, the node that the next batch may go on with: its path (None: no word at this depth), count, whether shared
+        own, held, size = shared.value, {}, 0
+        for lang, text in lines(batches):
+            tokens = Tokens(lang, text)
+            first, reach = own.suffixes(tokens, longest)
+            depth, key = own.dealt(tokens, first, reach)
+            place = (mixed(key) % U64(groups)).astype(np.int64) * 8 + depth
+            last = first + reach[first]
+            wide = np.concatenate([[0], np.cumsum(tokens.start[1:] - tokens.end[:-1] > 1)])  # more than one space between two words
+            plain = wide[last] == wide[first]
+            phrases = [text[a:b] if p else b" ".join(text[a:b].split()) for a, b, p in zip(tokens.start[first].tolist(), tokens.end[last].tolist(), plain.tolist(), strict=True)]
+            counts, places = held.setdefault(lang, (Counter(), {}))
+            before = len(counts)
+            counts.update(phrases)
+            places.update(zip(phrases, place.tolist(), strict=True))
+            size += len(counts) - before
+            if size >= MOST_HELD:
+                yield sent(held)
+                held, size = {}, 0
+        yield sent(held)
+
+    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by group and language."""
+        at, nodes, above = None, Counter(), set()
+
+        def result() -> pa.RecordBatch:
+            found = [(p, c) for p, c in nodes.items() if c >= least or p in above]
+            return pa.RecordBatch.from_arrays([pa.array([at[1]] * len(found), pa.string()), pa.array([p for p, _ in found], pa.binary()).cast(pa.string()), pa.array([c for _, c in found], pa.int64())],
+                                              ["lang", "phrase", "count"])
+
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            dealt, count = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, longest + 2))
-            columns = [batch.column(c) for c in range(1, longest + 2)]
-            new, out = np.zeros(n, bool), []
-            for d, column in enumerate(columns):
-                new[1:] |= ~pc.equal(column[1:], column[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
-                new[0] |= last is None or last[d] != column[0].as_py()
-                if d < 2:
-                    continue
-                head = np.flatnonzero(new)
-                cut = int(head[0]) if len(head) else n
-                if cut:
-                    held[d] = held[d][0], held[d][1] + int(count[:cut].sum()), held[d][2] or bool((dealt[:cut] > d).any())
-                if not len(head):
-                    continue
-                out.append(held[d])
-                sums, shared = np.add.reduceat(count, head), np.logical_or.reduceat(dealt > d, head)
-                known = column.is_valid().to_numpy(zero_copy_only=False)[head]
-                wanted = known & ((sums >= least) | shared)
-                wanted[-1] = False
-                inner = np.flatnonzero(wanted)
-                paths = zip(*[c.take(pa.array(head[inner])).to_pylist() for c in columns[:d + 1]], strict=True)
-                out += zip(paths, sums[inner].tolist(), shared[inner].tolist(), strict=True)
-                held[d] = tuple(c[int(head[-1])].as_py() for c in columns[:d + 1]) if known[-1] else None, int(sums[-1]), bool(shared[-1])
-            last = [c[n - 1].as_py() for c in columns]
-            yield nodes(out)
-        yield nodes(held)
-
-    def nodes(found: list) -> pa.RecordBatch:
-        rows = [(x[0][0], " ".join(x[0][1:]), x[1]) for x in found if x is not None and x[0] is not None and (x[1] >= least or x[2])]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "phrase", "count"])
-
-    return run
-
-
-def tree_counts(rows: DataFrame, longest: int, least: int, budget: int) -> DataFrame:
-    """(lang, phrase, count) of the phrases of two words at least that occur ``least`` times, from stored suffixes."""
-    words = [f"w{d + 1}" for d in range(longest)]
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = rows.count()
-    parts = max(parts, -(-size // budget))
-    placed = divided(rows, longest, max(1, min(budget, size // (4 * parts))))
-    prefix = [F.when(F.col("depth") > d, F.col(w)) for d, w in enumerate(words)]
-    dealt = placed.repartition(parts, "lang", *prefix).select("depth", "lang", *words, "count").sortWithinPartitions("lang", *words)
-    found = map_arrow(dealt, subtree_nodes(longest, least), COUNTS)
+            for group, lang, depth, phrases, counts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if at is not None and at != (group, lang):
+                    yield result()
+                    nodes, above = Counter(), set()
+                at = group, lang
+                for phrase, count in zip(zstandard.decompress(phrases).split(b"\n"), unpacked(counts).tolist(), strict=True):
+                    d, cut = 1, phrase.find(b" ")
+                    while cut >= 0:  # the nodes on the way down to this leaf
+                        d, cut = d + 1, phrase.find(b" ", cut + 1)
+                        node = phrase if cut < 0 else phrase[:cut]
+                        nodes[node] += count
+                        if d < depth:
+                            above.add(node)
+        if at is not None:
+            yield result()
+
+    blocks = map_arrow(docs, run, "slice long, lang string, depth long, phrases binary, counts binary")
+    dealt = blocks.repartition("slice").sortWithinPartitions("slice", "lang")
+    found = map_arrow(dealt, subtrees, COUNTS)
     return found.groupBy("lang", "phrase").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
 
 
@@ -251,12 +330,18 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 1
     words = stored(word_counts(slim), "words")
     total = words.groupBy("lang").agg(F.sum("count").alias("n"))
     frequent = stored(words.where(F.col("count") >= least), "frequent-words")
-    pairs = suffixes(slim, bit_table(frequent, 1), 1, 2).groupBy("lang", "w1", "w2").agg(F.sum("count").alias("count"))
-    pairs = stored(pairs.where(F.col("count") >= least).select("lang", "w1", "w2", "count"), "frequent-pairs")
-    rows = stored(suffixes(slim, bit_table(pairs, 2), 2, longest), "suffixes")
-    phrases = stored(tree_counts(rows, longest, least, budget), "phrases")
+    known, total_pairs = Known(word_bits(frequent)), 0
+    for depth in range(2, longest + 1):  # deeper levels only where a prefix is beyond the budget
+        bits, heavy, size = prefix_counts(slim, known, depth, least, budget, longest)
+        if depth == 2:
+            known, total_pairs = Known(known.words, bits), size
+        if not len(heavy) or depth == longest:
+            break
+        known = Known(known.words, known.pairs, [*known.divided, heavy])
+    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_pairs // budget))
+    phrases = stored(tree_counts(slim, known, groups, longest, least), "phrases")
     sums = stored(total, "totals")
-    discard(rows, pairs, words)
+    discard(words)
     known = phrases.unionByName(frequent.select("lang", F.col("w1").alias("phrase"), "count"))
     inside = F.expr("flatten(transform(sequence(2, k - 1), s -> transform(sequence(0, k - s), i -> array_join(slice(w, i + 1, s), ' '))))")
     split = phrases.withColumn("w", F.split("phrase", " ")).withColumn("k", F.size("w"))
