@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import math
 
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..functions import cells
+from ..functions.columns import column
 from ..functions.geo import rounded_key
+from ..session import cut_lineage
+from .groups import components
 
 EVENT_KEY = ["datetime", "crime_type"]
 
@@ -57,3 +63,117 @@ def first_k_per(df: DataFrame, key: str, k: int, order_by: list[str]) -> DataFra
             salts = -(-salts // FAN_IN)
         df = df.drop("_salt")
     return ranked(df, key)
+
+
+BOX = ["south", "north", "west", "east", "first", "last"]
+
+
+def _boxes(points: DataFrame, by: list[str]) -> DataFrame:
+    """Bounds and number of the different points of each block."""
+    return points.groupBy(*by).agg(F.min("y").alias("south"), F.max("y").alias("north"), F.min("x").alias("west"), F.max("x").alias("east"),
+                                   F.min("s").alias("first"), F.max("s").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def _gaps(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> tuple[Column, Column]:
+    """Least and greatest difference of two numbers from two ranges."""
+    return F.greatest(low_b - high_a, low_a - high_b, F.lit(0.0)), F.greatest(high_b - low_a, high_a - low_b)
+
+
+def _verdict(km: float, seconds: float) -> Column:
+    """Whether boxes a and b are linked (true: every two of their points are), apart (false: no two are), or open (null).
+
+    Differences are intervals; the distance grows with the differences of both coordinates and with both cosines.
+    """
+    def ends(side: str) -> list[Column]:
+        return [F.col(f"{side}.{c}") for c in BOX]
+
+    (s1, n1, w1, e1, f1, l1), (s2, n2, w2, e2, f2, l2) = ends("a"), ends("b")
+    dy, dx, dt = _gaps(s1, n1, s2, n2), _gaps(w1, e1, w2, e2), _gaps(f1, l1, f2, l2)
+    short = [F.least(d, 360 - d) for d in dx]  # the way round the date line
+    most = F.when((dx[0] <= 180) & (dx[1] >= 180), F.lit(180.0)).otherwise(F.greatest(*short))
+
+    def cosine(south: Column, north: Column, largest: bool) -> Column:
+        ends_ = F.cos(F.radians(south)), F.cos(F.radians(north))
+        return F.when((south <= 0) & (north >= 0), F.lit(1.0)).otherwise(F.greatest(*ends_)) if largest else F.least(*ends_)
+
+    limit = math.sin(km / cells.EARTH_KM / 2) ** 2
+    near = cells.haversine(dy[0], F.least(*short), cosine(s1, n1, False), cosine(s2, n2, False)) <= limit
+    far = cells.haversine(dy[1], most, cosine(s1, n1, True), cosine(s2, n2, True)) <= limit
+    return F.when(far & (dt[1] <= seconds), True).when(~near | (dt[0] > seconds), False)
+
+
+def _open_pairs(pairs: DataFrame, blocks: DataFrame, km: float, seconds: float) -> DataFrame:
+    """Pairs (u, v, a, b) of cells and blocks with the verdict on the blocks' boxes."""
+    box = F.struct(*BOX, "n")
+    left, right = (blocks.select(F.col("cell").alias(cell), F.col("block").alias(side), box.alias(side[0])) for cell, side in (("u", "a_block"), ("v", "b_block")))
+    return pairs.join(left, "u").join(right, "v").withColumn("linked", _verdict(km, seconds))
+
+
+def near_groups(df: DataFrame, km: float, seconds: float, keys: list[str] = ["crime_type"], at: str = "datetime", lat: str = "latitude", lon: str = "longitude",
+                small: int = 1_024) -> DataFrame:
+    """(keys, latitude, longitude, seconds, group) of the different places and times: ``group`` is equal where steps of at most ``km`` and ``seconds`` lead from one to the other.
+
+    Space and time are cut into cells so small that any two points of one cell are linked; so the nodes are cells. Two cells near each other are linked as
+    soon as one pair of their points is: their boxes decide most pairs (all within reach, or none), the others are divided into eighths, whose
+    boxes decide again, down to single points. Pairs of at most ``small`` point pairs are compared point by point. So a cell that holds a third of
+    all rows is never compared point with point.
+    """
+    if not 0 < km <= 500 or seconds < 0:
+        raise ValueError("km must be above 0 and at most 500, seconds not negative")
+    h, span = cells.height(km) / math.sqrt(2.0) * 0.999, max(float(seconds), 1e-6)
+    y, x, s = F.col(f"`{lat}`").cast("double"), F.col(f"`{lon}`").cast("double"), F.unix_micros(F.col(f"`{at}`").cast("timestamp")) / 1e6
+    points = df.filter(cells.on_globe(y, x) & s.isNotNull()).select(F.struct(*[column(k) for k in keys]).alias("key"), y.alias("y"), x.alias("x"), s.alias("s")).distinct()
+    parts = [F.col("key"), cells.cell_of(F.col("y"), F.col("x"), h).alias("place"), F.floor(F.col("s") / span).alias("time")]
+    points = cut_lineage(points.select(F.struct(*parts).alias("cell"), "y", "x", "s"))
+    own = cut_lineage(_boxes(points, ["cell"]))
+    around = cells.cover(F.col("south"), F.col("north"), F.col("west"), F.col("east"), F.lit(float(km)), h)
+    reach = own.select(F.col("cell").alias("u"), F.explode(around).alias("place")).select("u", "place", F.explode(F.expr("sequence(u.time - 1, u.time + 1)")).alias("time"))
+    beside = reach.select("u", F.struct(F.col("u.key").alias("key"), "place", "time").alias("v")).filter("u < v")
+    beside = beside.join(own.select(F.col("cell").alias("v")), "v")  # only cells that hold points
+    judged = cut_lineage(_open_pairs(beside, own.withColumn("block", F.lit(0)), km, seconds))
+    links = judged.filter("linked").select("u", "v")
+    deeper, parts_of = judged.filter("linked is null"), points.withColumn("block", F.lit(0))
+    while not deeper.isEmpty():
+        few = deeper.filter(F.col("a.n") * F.col("b.n") <= small).select("u", "v", "a_block", "b_block")
+        left, right = (parts_of.select(F.col("cell").alias(c), F.col("block").alias(f"{side}_block"), F.struct(*[F.col(p).alias(p) for p in "yxs"]).alias(side)) for c, side in (("u", "a"), ("v", "b")))
+        both = few.join(left, ["u", "a_block"]).join(right, ["v", "b_block"])
+        exact = both.filter((cells.distance_km(F.col("a.y"), F.col("a.x"), F.col("b.y"), F.col("b.x")) <= km) & (F.abs(F.col("a.s") - F.col("b.s")) <= seconds)).select("u", "v")
+        links = cut_lineage(links.unionByName(exact).distinct())
+        many = deeper.filter(F.col("a.n") * F.col("b.n") > small).join(links, ["u", "v"], "left_anti")
+        many = cut_lineage(many.select("u", "v", "a_block", "b_block"))
+        if many.isEmpty():
+            break
+        # each block goes into eighths at the middle of its box; a box that is one point is never open
+        wanted = many.select(F.explode(F.array(F.struct(F.col("u").alias("cell"), F.col("a_block").alias("block")), F.struct(F.col("v").alias("cell"), F.col("b_block").alias("block")))).alias("w")).select("w.*").distinct()
+        left_over = parts_of.join(wanted, ["cell", "block"], "left_semi")
+        middle = _boxes(left_over, ["cell", "block"]).select("cell", "block", *[((F.col(a) + F.col(b)) / 2).alias(m) for a, b, m in (("south", "north", "my"), ("west", "east", "mx"), ("first", "last", "ms"))])
+        eighth = sum((F.when(F.col(p) > F.col(f"m{p}"), 1 << k).otherwise(0) for k, p in enumerate("yxs")), F.lit(0))
+        halved = left_over.join(middle, ["cell", "block"]).select("cell", F.col("block").alias("parent"), F.xxhash64("block", eighth).alias("block"), "y", "x", "s")
+        halved = cut_lineage(halved)
+        boxes = cut_lineage(_boxes(halved, ["cell", "parent", "block"]))
+        box = F.struct(*BOX, "n")
+        left, right = (boxes.select(F.col("cell").alias(c), F.col("parent").alias(f"{side}_block"), F.col("block").alias(f"{side}_new"), box.alias(side)) for c, side in (("u", "a"), ("v", "b")))
+        judged = many.join(left, ["u", "a_block"]).join(right, ["v", "b_block"]).withColumn("linked", _verdict(km, seconds))
+        judged = cut_lineage(judged.select("u", "v", F.col("a_new").alias("a_block"), F.col("b_new").alias("b_block"), "a", "b", "linked"))
+        links = links.unionByName(judged.filter("linked").select("u", "v")).distinct()
+        deeper, parts_of = judged.filter("linked is null").join(links, ["u", "v"], "left_anti"), halved.drop("parent")
+    roots = components(links)
+    named = points.join(roots.withColumnRenamed("node", "cell"), "cell", "left").withColumn("group", F.coalesce("root", "cell"))
+    return named.select(F.col("cell.key").alias("key"), "y", "x", "s", "group")
+
+
+def drop_within(df: DataFrame, km: float, seconds: float, order_by: list[str], keys: list[str] = ["crime_type"], at: str = "datetime", lat: str = "latitude",
+                lon: str = "longitude") -> DataFrame:
+    """The first row by ``order_by`` of each group of rows with equal ``keys`` (nulls are equal) joined by steps of at most ``km`` and ``seconds``.
+
+    Unlike rounding, this does not part neighbours at the edge of a cell. Rows without a place on the globe or a time stay as they are. Rows equal in ``order_by``
+    must be told apart by it, or one of them is taken.
+    """
+    groups = near_groups(df, km, seconds, keys, at, lat, lon)
+    y, x, s = F.col(f"`{lat}`").cast("double"), F.col(f"`{lon}`").cast("double"), F.unix_micros(F.col(f"`{at}`").cast("timestamp")) / 1e6
+    rows = df.select(F.struct(*[column(c) for c in df.columns]).alias("row"), F.struct(*[column(k) for k in keys]).alias("key"), y.alias("y"), x.alias("x"), s.alias("s"))
+    known = cells.on_globe(F.col("y"), F.col("x")) & F.col("s").isNotNull()
+    placed = rows.filter(known).join(groups.withColumnRenamed("key", "k").withColumn("kh", F.xxhash64("k")).withColumnRenamed("group", "g"),
+                                     (F.xxhash64("key") == F.col("kh")) & F.col("key").eqNullSafe(F.col("k")) & (rows["y"] == groups["y"]) & (rows["x"] == groups["x"]) & (rows["s"] == groups["s"]))
+    first = placed.select("row", "g").withColumn("_rn", F.row_number().over(W.partitionBy("g").orderBy(*[F.col(f"row.{c}") for c in order_by]))).filter("_rn = 1")
+    return first.select("row.*").unionByName(rows.filter(~known).select("row.*"))

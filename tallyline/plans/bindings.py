@@ -24,6 +24,14 @@ SELECT event_id AS incident_id, CAST(ts AS DATE) AS combined_date,
       WHEN event_id % 43 = 0 THEN 200e0 ELSE -88.05e0 + ((event_id * 53) % 700) / 1000e0 END AS longitude,
  value
 FROM {events}""",
+    "v_places": """
+SELECT s_suppkey AS place_id, 41.5e0 + ((s_suppkey * 37) % 700) / 1000e0 AS latitude, -88.1e0 + ((s_suppkey * 53) % 800) / 1000e0 AS longitude,
+ CASE WHEN s_suppkey % 19 = 0 THEN NULL ELSE 1e0 + s_suppkey % 7 END AS radius_km FROM {supplier}""",
+    "v_globe": """
+SELECT event_id AS point_id, ((event_id * 7919) % 18001) / 100e0 - 90e0 AS latitude, ((event_id * 10007) % 36001) / 100e0 - 180e0 AS longitude FROM {events}""",
+    "v_posts": """
+SELECT n_nationkey AS post_id, CASE n_nationkey WHEN 0 THEN -90e0 WHEN 24 THEN 90e0 ELSE n_nationkey * 7.4e0 - 88.8e0 END AS latitude,
+ CASE WHEN n_nationkey % 3 = 0 THEN 180e0 WHEN n_nationkey % 3 = 1 THEN -179.9e0 ELSE n_nationkey * 13e0 - 160e0 END AS longitude FROM {nation}""",
     "v_incidents_dup": """
 SELECT incident_id, combined_date, combined_time, primary_type, location_description, source_city,
  latitude, longitude, value FROM {v_incidents}

@@ -317,6 +317,28 @@ def c25(t):
     return dedupe.drop_near(t.v_incidents_dup, ["incident_id"], ["combined_date", "combined_time", "primary_type"])
 
 
+CLOCK = "coalesce(combined_time, '12:00:00')"
+
+
+def within_sql(km: float, seconds: int) -> str:
+    """Ids of the first rows of groups joined by steps within a distance and a time; rows without a place stay."""
+    dist = ("2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians(a.latitude - b.latitude) / 2), 2)"
+            " + cos(radians(a.latitude)) * cos(radians(b.latitude)) * power(sin(radians(a.longitude - b.longitude) / 2), 2))))")
+    return f"""
+WITH RECURSIVE p AS (SELECT *, epoch(CAST(combined_date AS TIMESTAMP)) + epoch(CAST({CLOCK} AS TIME)) AS s FROM v_incidents_dup),
+e AS (SELECT a.incident_id AS u, b.incident_id AS v FROM p a JOIN p b ON a.primary_type IS NOT DISTINCT FROM b.primary_type AND abs(a.s - b.s) <= {seconds}
+ AND abs(a.latitude - b.latitude) <= {km / 100} AND {dist} <= {km} WHERE abs(a.latitude) <= 90 AND abs(a.longitude) <= 180 AND abs(b.latitude) <= 90 AND abs(b.longitude) <= 180),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+g AS (SELECT u, min(v) AS first FROM r GROUP BY 1)
+SELECT DISTINCT incident_id FROM p LEFT JOIN g ON g.u = incident_id WHERE first IS NULL OR first = incident_id"""
+
+
+@query("c25_duplicates_within_distance", within_sql(2.0, 1800), DUP)
+def c25_within(t):
+    df = t.v_incidents_dup.withColumn("at", F.expr(f"to_timestamp(concat(cast(combined_date as string), ' ', {CLOCK}))"))
+    return dedupe.drop_within(df, 2.0, 1800.0, ["incident_id"], ["primary_type"], "at").select("incident_id").distinct()
+
+
 MODE = """p AS (SELECT incident_id, primary_type AS crime_type, CAST(substr(combined_time, 1, 2) AS BIGINT) AS hour,
   CASE WHEN incident_id % 13 <> 0 THEN dayname(combined_date) END AS day_of_week FROM v_incidents),
  mh AS (SELECT crime_type AS k, hour AS mode_h FROM (SELECT crime_type, hour, count(*) AS n FROM p WHERE hour IS NOT NULL AND crime_type IS NOT NULL

@@ -469,3 +469,25 @@ WITH d AS (SELECT incident_id, 2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(ra
 SELECT incident_id, round(km, 6) AS distance_km FROM d WHERE km <= 20""", INC)
 def b21(t):
     return M.around(t.v_incidents, 41.85, -87.65, 20.0, "2024-01-20", 14).select("incident_id", "distance_km")
+
+
+def haversine_sql(lat: str, lon: str, lat0: str, lon0: str) -> str:
+    return (f"2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians({lat} - {lat0}) / 2), 2)"
+            f" + cos(radians({lat0})) * cos(radians({lat})) * power(sin(radians({lon} - {lon0}) / 2), 2))))")
+
+
+@query("b21_incidents_around_cities", f"""
+SELECT incident_id, place_id, round({haversine_sql('i.latitude', 'i.longitude', 'p.latitude', 'p.longitude')}, 6) AS distance_km
+FROM v_incidents i JOIN v_places p ON {haversine_sql('i.latitude', 'i.longitude', 'p.latitude', 'p.longitude')} <= p.radius_km
+WHERE combined_date BETWEEN DATE '2024-01-20' - INTERVAL 14 DAY AND DATE '2024-01-20'""", (*INC, "v_places"))
+def b21_cities(t):
+    near = t.v_incidents.filter("combined_date between date '2024-01-06' and date '2024-01-20'")
+    return M.around_centres(near, t.v_places, "radius_km", hot_rows=2_000).select("incident_id", "centre.place_id", "distance_km")
+
+
+@query("b21_points_around_the_globe", f"""
+SELECT point_id, post_id, round({haversine_sql('i.latitude', 'i.longitude', 'p.latitude', 'p.longitude')}, 6) AS distance_km
+FROM v_globe i JOIN v_posts p ON {haversine_sql('i.latitude', 'i.longitude', 'p.latitude', 'p.longitude')} <= 300""", ("v_globe", "v_posts"))
+def b21_globe(t):
+    """Posts on both poles, on the date line and between."""
+    return M.around_centres(t.v_globe, t.v_posts, 300.0).select("point_id", "centre.post_id", "distance_km")
