@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from ..functions import columns as C, dates as D, rules, text as X
 from ..functions.joins import few_rows_join, lookup_join
 from ..session import cut_lineage
+from . import similar
 
 INCIDENT_SCHEMA = T.StructType([
     T.StructField("incident_id", T.StringType()),
@@ -143,6 +144,11 @@ def standardize(df: DataFrame, source_name: str = "Unknown", formats: list[str]
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in INCIDENT_SCHEMA.fields])
 
 
+def full_address() -> Column:
+    """'address, city, state', or the address alone when city or state is missing."""
+    return F.when(F.col("city").isNotNull() & F.col("state").isNotNull(), F.concat_ws(", ", "address", "city", "state")).otherwise(F.col("address"))
+
+
 def fill_from_gazetteer(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Coordinates of rows that lack one but have an address, from a table (place, latitude, longitude).
 
@@ -150,16 +156,29 @@ def fill_from_gazetteer(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
     is missing. Both coordinates are replaced together, by the least pair of the place that
     has both.
     """
-    full = F.when(F.col("city").isNotNull() & F.col("state").isNotNull(),
-                  F.concat_ws(", ", "address", "city", "state")).otherwise(F.col("address"))
     need = (F.col("latitude").isNull() | F.col("longitude").isNull()) & F.col("address").isNotNull()
     places = gazetteer.filter("latitude is not null and longitude is not null").groupBy("place").agg(F.min(F.struct("latitude", "longitude")).alias("_at"))
-    keyed = df.withColumn("place", F.when(need, full))
+    keyed = df.withColumn("place", F.when(need, full_address()))
     found = lookup_join(keyed, places, ["place"])
     return found.withColumns({c: F.when(F.col("_at").isNotNull(), F.col(f"_at.{c}")).otherwise(F.col(c))
                               for c in ("latitude", "longitude")}).select(*df.columns)
 
 
+def fill_from_similar(df: DataFrame, gazetteer: DataFrame, least: float = 0.6, q: int = 3) -> DataFrame:
+    """As ``fill_from_gazetteer``, but a place is found by the likeness of its text (see ``similar.best_matches``), and ``place`` and ``similarity`` are added.
+
+    Both are null where nothing was looked up or nothing is as alike as ``least``. Of equal place texts the least pair of coordinates counts.
+    """
+    need = (F.col("latitude").isNull() | F.col("longitude").isNull()) & F.col("address").isNotNull()
+    known = gazetteer.filter("latitude is not null and longitude is not null")
+    keyed = df.withColumn("_plain", F.when(need, similar.plain_text(full_address())))
+    places = known.groupBy(similar.plain_text(F.col("place")).alias("b")).agg(F.min("place").alias("_place"), F.min(F.struct("latitude", "longitude")).alias("_at"))
+    best = similar.best_matches(keyed.select("_plain"), known, "_plain", "place", least, q).join(places, "b")
+    found = lookup_join(keyed, best.select(F.col("a").alias("_plain"), "_place", "_at", F.col("similarity").alias("_similarity")), ["_plain"])
+    return found.withColumns({c: F.when(F.col("_at").isNotNull(), F.col(f"_at.{c}")).otherwise(F.col(c)) for c in ("latitude", "longitude")}).select(
+        *df.columns, F.col("_place").alias("place"), F.col("_similarity").alias("similarity"))
+
+
 def validate_ranges(df: DataFrame, repair_swapped: bool = True, lat: str = "latitude",
                     lon: str = "longitude") -> DataFrame:
     """Coordinates out of range become NULL.

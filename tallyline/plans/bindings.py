@@ -27,6 +27,13 @@ FROM {events}""",
     "v_places": """
 SELECT s_suppkey AS place_id, 41.5e0 + ((s_suppkey * 37) % 700) / 1000e0 AS latitude, -88.1e0 + ((s_suppkey * 53) % 800) / 1000e0 AS longitude,
  CASE WHEN s_suppkey % 19 = 0 THEN NULL ELSE 1e0 + s_suppkey % 7 END AS radius_km FROM {supplier}""",
+    "v_streets": """
+SELECT concat(CAST(100 + p_partkey % 37 AS STRING), ' ', p_name, ' Street, ', p_brand, ', IL') AS place, 40e0 + p_partkey / 1000e0 AS latitude, -88e0 AS longitude FROM {part}""",
+    "v_addresses": """
+SELECT c_custkey AS address_id, CASE c_custkey % 6 WHEN 0 THEN concat(CAST(100 + p_partkey % 37 AS STRING), ' ', p_name, ' Street, ', p_brand, ', IL')
+  WHEN 1 THEN concat(CAST(100 + p_partkey % 37 AS STRING), '  ', upper(p_name), ' St., ', p_brand, ' il') WHEN 2 THEN concat(CAST(100 + p_partkey % 37 AS STRING), ' ', substr(p_name, 2), ' streeet, ', p_brand)
+  WHEN 3 THEN concat('corner of ', p_name, ' and ', p_brand) WHEN 4 THEN NULL ELSE ' ?! ' END AS address,
+ CASE WHEN c_custkey % 5 = 1 THEN 41e0 END AS latitude, -87e0 AS longitude FROM {customer} JOIN {part} ON p_partkey = c_custkey""",
     "v_globe": """
 SELECT event_id AS point_id, ((event_id * 7919) % 18001) / 100e0 - 90e0 AS latitude, ((event_id * 10007) % 36001) / 100e0 - 180e0 AS longitude FROM {events}""",
     "v_posts": """

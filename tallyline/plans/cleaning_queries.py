@@ -150,6 +150,28 @@ def c10(t):
     return clean.fill_from_gazetteer(df, places).select("incident_id", "latitude", "longitude")
 
 
+def jaccard_sql(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+
+
+PLAIN_SQL = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+GRAMS_SQL = "list_distinct(list_transform(range(1, length({0}) + 3), lambda i: substr('||' || {0} || '||', i, 3)))"
+
+
+@query("c10_fill_from_similar", f"""
+WITH d AS (SELECT *, {PLAIN_SQL.format('address')} AS a FROM v_addresses),
+l AS (SELECT a, {GRAMS_SQL.format('a')} AS ga FROM (SELECT DISTINCT a FROM d WHERE latitude IS NULL AND a <> '')),
+g AS (SELECT {PLAIN_SQL.format('place')} AS b, min(place) AS place, min(row(latitude, longitude)) AS pos FROM v_streets GROUP BY 1),
+r AS (SELECT *, {GRAMS_SQL.format('b')} AS gb FROM g WHERE b <> ''),
+s AS (SELECT a, b, place, pos, {jaccard_sql('ga', 'gb')} AS similarity FROM l, r WHERE {jaccard_sql('ga', 'gb')} >= 0.6),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) = 1)
+SELECT address_id, round(CASE WHEN d.latitude IS NULL THEN pos[1] ELSE d.latitude END, 6) AS latitude, place, round(similarity, 6) AS similarity
+FROM d LEFT JOIN m ON m.a = d.a AND d.latitude IS NULL""", ("v_addresses", "v_streets"))
+def c10_similar(t):
+    df = t.v_addresses.withColumns({"city": F.lit(None).cast("string"), "state": F.lit(None).cast("string")})
+    return clean.fill_from_similar(df, t.v_streets).select("address_id", "latitude", "place", "similarity")
+
+
 NONE = "CAST(NULL AS VARCHAR)"
 STD_A = f"""sa AS (SELECT CAST(case_number AS VARCHAR) AS incident_id, CAST(occurred_date AS TIMESTAMP) AS dt, CAST(NULL AS VARCHAR) AS address,
   offense AS crime_type, CASE WHEN contains(lower(offense), 'armed') THEN 'WEAPON' ELSE 'OTHER' END AS crime_category,
