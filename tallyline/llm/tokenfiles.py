@@ -29,7 +29,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import file_system, hash_below, map_arrow
-from .tokens import encoder
+from .tokens import encoder, largest_id
 
 MAGIC = b"TLTK0001"
 FOOTER = struct.Struct("<qqB32s8s")
@@ -71,12 +71,13 @@ class Writer:
         self.out.write(MAGIC)
         self.at, self.index, self.ids = len(MAGIC), [], 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        frame = self.compressor.compress(ids.astype(f"<u{self.width}").tobytes())
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """``ids`` are little-endian numbers of the file's width."""
+        frame, count = self.compressor.compress(ids), len(ids) // self.width
         self.out.write(frame)
-        self.index.append((doc_id or 0, doc_id is None, self.at, len(ids)))
+        self.index.append((doc_id or 0, doc_id is None, self.at, count))
         self.at += len(frame)
-        self.ids += len(ids)
+        self.ids += count
 
     def close(self) -> None:
         self.out.write(np.array(self.index, INDEX).tobytes())
@@ -143,8 +144,8 @@ def train_dictionary(docs: DataFrame, text: str, tokenizer: str, end_id: int, wi
     small = docs.select(F.col(f"`{text}`").alias("t")).where(F.length("t").between(1, sample_chars))
     share = 1.5 * sample_rows / max(1, small.count())  # few more than wanted leave the tasks, however many tasks there are
     rows = small.where(hash_below("t", share)).distinct().orderBy(F.xxhash64("t"), "t").limit(sample_rows).collect()
-    enc = encoder(tokenizer)
-    samples = [np.append(np.frombuffer(enc.encode(r.t), "<u4"), end_id).astype(f"<u{width}").tobytes() for r in rows]
+    enc, end = encoder(tokenizer, width), end_id.to_bytes(width, "little")
+    samples = [enc.encode(r.t) + end for r in rows]
     if len(samples) < 16 or sum(map(len, samples)) < 8 * size:
         return b""
     try:
@@ -153,11 +154,12 @@ def train_dictionary(docs: DataFrame, text: str, tokenizer: str, end_id: int, wi
         return b""
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_column: str = "doc_id", text: str = "text", end_id: int = 2, vocabulary: int = 50_257,
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_column: str = "doc_id", text: str = "text", end_id: int = 2,
                  file_ids: int = 64_000_000, dictionary_bytes: int = 65_536, sample_rows: int = 2_000, sample_chars: int = 20_000, tasks: int | None = None) -> dict:
     """Write the ids of all texts to ``folder`` in ascending id order and return the manifest.
 
     A document is its ids and ``end_id``; a null text is empty, a null id comes first, rows of equal id stay apart next to each other (ordered by text).
+    Ids have 16 bits where the tokenizer's largest and the end id fit, else 32.
     Files end at ``file_ids`` ids at the latest, between documents. The manifest lists, in order, each file with its
     documents, ids and bytes; it grows with the number of files only.
     """
@@ -165,18 +167,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_column: str =
     system, path = file_system(spark, folder)
     system.mkdirs(path)
     folder = str(path.toString())
-    width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
+    width = 2 if max(largest_id(tokenizer), end_id) < 1 << 16 else 4
     dictionary = train_dictionary(docs, text, tokenizer, end_id, width, dictionary_bytes, sample_rows, sample_chars)
     digest = hashlib.sha256(dictionary).hexdigest()
     write_bytes(folder, f"{digest}.dict", dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, done, first = encoder(tokenizer), None, [], 0
-        end = np.array([end_id], np.uint32)
+        enc, out, done, first = encoder(tokenizer, width), None, [], 0
+        end = end_id.to_bytes(width, "little")
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([np.frombuffer(enc.encode(value.as_py()), "<u4"), end])
-                if out is not None and out.ids + len(ids) > file_ids:
+                ids = enc.encode(value.as_py()) + end
+                if out is not None and out.ids + len(ids) // width > file_ids:
                     out.close()
                     done.append((out, first))
                     out = None

@@ -7,8 +7,6 @@ import re
 import zlib
 from functools import lru_cache
 
-import numpy as np
-
 #: A tokenizer file, and where its texts may be cut without changing any id: at white space, which it either
 #: drops ('word') or ties to the following word as in byte-level vocabularies ('byte').
 KNOWN = {"word_bpe_49k.json": "word", "byte_bpe_50k.json": "byte"}
@@ -28,13 +26,18 @@ SPELLED = {ord(c): "".join(AS_CHARACTER[b] for b in c.encode()) for c in [" ", *
 MOST_CACHED = 400_000
 
 
+def as_bytes(ids: list[int], width: int) -> bytes:
+    """Little-endian unsigned ids; an id that does not fit raises."""
+    return b"".join([i.to_bytes(width, "little") for i in ids])
+
+
 class Words(dict):
     """Ids of words as bytes, looked up or encoded on first sight."""
 
-    def __init__(self, tokenizer, kind: str):
+    def __init__(self, tokenizer, kind: str, width: int):
         super().__init__()
-        self.tokenizer, self.tokenize, self.lower = tokenizer, tokenizer.model.tokenize, kind == "word"
-        self.id_bytes = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        self.tokenizer, self.tokenize, self.lower, self.width = tokenizer, tokenizer.model.tokenize, kind == "word", width
+        self.id_bytes = [i.to_bytes(width, "little") for i in range(tokenizer.get_vocab_size())]
 
     def __missing__(self, word: str) -> bytes:
         if LETTERS.match(word):  # one pre-token
@@ -42,30 +45,30 @@ class Words(dict):
             table = self.id_bytes
             out = b"".join([table[t.id] for t in self.tokenize(spelled.translate(SPELLED))])
         else:
-            out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            out = as_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids, self.width)
         self[word] = out
         return out
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, word by word with a bounded cache.
+    """Encodes texts to little-endian unsigned ids of ``width`` bytes, word by word with a bounded cache.
 
     Both files split texts at white space, and between letters and marks, before merging, so a text's ids are those of its words in a row
     (tested against whole texts). Words are encoded by the library; only their ids are remembered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = KNOWN.get(os.path.basename(path))
+        self.width, self.kind = width, KNOWN.get(os.path.basename(path))
         if self.kind:
-            self.chunks, self.words = CHUNKS[self.kind], Words(self.tokenizer, self.kind)
+            self.chunks, self.words = CHUNKS[self.kind], Words(self.tokenizer, self.kind, width)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -79,9 +82,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and file."""
-    return Encoder(path)
+def encoder(path: str, width: int = 4) -> Encoder:
+    """One encoder per worker, file and width."""
+    return Encoder(path, width)
+
+
+def largest_id(path: str) -> int:
+    """The largest id a tokenizer file gives, added tokens included."""
+    return max(encoder(path).tokenizer.get_vocab(with_added_tokens=True).values())
 
 
 def crc(raw: bytes) -> int:
