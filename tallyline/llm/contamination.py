@@ -26,21 +26,24 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(lower, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
-def shingle_at(words: str, i: str, size: int) -> str:
-    """SQL of the shingle of ``size`` words at position ``i`` (from 0), its words joined by a space."""
-    return "concat_ws(' ', " + ", ".join(f"{words}[{i} + {k}]" for k in range(size)) + ")"
+def windows(words: str, size: int, of: str) -> str:
+    """SQL of the array of a text's runs of ``size`` words, as text joined by a space ('text') or as hashes ('hash'); empty where there are fewer words."""
+    each = ", ".join(f"{words}[i + {k}]" for k in range(size))
+    one = f"concat_ws(' ', {each})" if of == "text" else f"xxhash64({each})"
+    return f"if(size({words}) >= {size}, transform(sequence(0, size({words}) - {size}), i -> {one}), array())"
 
 
-def hash_at(words: str, i: str, size: int) -> str:
-    return "xxhash64(" + ", ".join(f"{words}[{i} + {k}]" for k in range(size)) + ")"
+def item_shingles(items: DataFrame, item_column: str, text: str, size: int) -> DataFrame:
+    """(item, length, shingles, hashes, n): the distinct shingles of each item that has words, and their hashes; ``length`` is the words of a shingle.
+
+    An item of fewer words than a shingle has its whole word sequence as its only one.
+    """
+    words = items.select(F.col(f"`{item_column}`").alias("item"), words_of(F.col(f"`{text}`")).alias("w")).where(F.size("w") > 0)
 
+    def by_length(of: str) -> str:
+        return "array_distinct(CASE " + " ".join(f"WHEN size(w) {'=' if k < size else '>='} {k} THEN {windows('w', k, of)}" for k in range(1, size + 1)) + " END)"
 
-def item_shingles(items: DataFrame, item_column: str, text: str, size: int) -> DataFrame:
-    """(item, shingles, hashes, n): the distinct shingles of each item that has any, and their hashes."""
-    words = items.select(F.col(f"`{item_column}`").alias("item"), words_of(F.col(f"`{text}`")).alias("w")).where(F.size("w") >= size)
-    places = f"sequence(0, size(w) - {size})"
-    return words.select("item", F.expr(f"array_distinct(transform({places}, i -> {shingle_at('w', 'i', size)}))").alias("shingles"),
-                        F.expr(f"array_distinct(transform({places}, i -> {hash_at('w', 'i', size)}))").alias("hashes")).withColumn("n", F.size("shingles"))
+    return words.select("item", F.least(F.size("w"), F.lit(size)).alias("length"), F.expr(by_length("text")).alias("shingles"), F.expr(by_length("hash")).alias("hashes")).withColumn("n", F.size("shingles"))
 
 
 def sketches(shingled: DataFrame, threshold: float) -> DataFrame:
@@ -55,28 +58,31 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", item_column
     """(row key, item, n, common, containment): every document and item with containment of at least ``threshold``.
 
     Containment is the number of the item's distinct shingles that the document holds, over their number ``n``. Words are lower-cased (A-Z)
-    and split at white space. Items of fewer words than a shingle have none and are never found; null texts have no words.
+    and split at white space. The only shingle of a shorter item is its whole word sequence; items without words and null texts are never found.
     Items of equal or null id count each for itself and show as such rows. Equal documents are found each for itself.
-    An empty table on either side gives no rows.
+    An empty table on either side gives no rows. A document's shingles are made once for the search and once more if it is a candidate,
+    whatever number of items it may hold.
     """
     key = "_item"
     keyed_items = stored(with_row_key(items.select(F.col(f"`{item_column}`").alias("item_id"), F.col(f"`{item_text}`").alias("t")), key), "items")
     shingled = item_shingles(keyed_items, key, "t", shingle)
     sketch = stored(sketches(shingled, threshold), "sketches")
-    whole = stored(shingled.select("item", "shingles", "n"), "shingles")
-    size = whole.agg(F.coalesce(F.sum(F.expr("aggregate(shingles, 0L, (a, s) -> a + octet_length(s) + 16)")), F.lit(0))).first()[0]
-    small = sketch.count() <= most_entries and size <= most_bytes
-    words = with_row_key(docs.select(F.col(f"`{text}`").alias("t"))).select(ROW, words_of(F.col("t")).alias("w")).where(F.size("w") >= shingle)
-    if small:  # both tables have a checked size: candidates meet their document's words in the task that has them
-        probed = words.select(ROW, "w", F.explode(F.expr(f"sequence(0, size(w) - {shingle})")).alias("i")).withColumn("hash", F.expr(hash_at("w", "i", shingle)))
-        found = probed.join(F.broadcast(sketch), "hash").select(ROW, "item", "w").join(F.broadcast(whole), "item")
-    else:  # beyond it: candidates by a shuffle of hashes, then back to their documents
-        hashes = words.select(ROW, F.explode(F.expr(f"array_distinct(transform(sequence(0, size(w) - {shingle}), i -> {hash_at('w', 'i', shingle)}))")).alias("hash"))
-        pairs = stored(hashes.join(sketch, "hash").select(ROW, "item").distinct(), "candidates")
-        found = pairs.join(words, ROW).join(whole, "item")
-    held = F.expr(f"size(array_intersect(shingles, transform(sequence(0, size(w) - {shingle}), i -> {shingle_at('w', 'i', shingle)})))")
-    checked = found.select(ROW, "item", "n", held.cast("long").alias("common")).withColumn("containment", F.col("common") / F.col("n"))
-    pairs = checked.where(F.col("common") >= F.ceil(F.col("n") * F.lit(threshold) - 1e-9)).distinct()
+    whole = stored(shingled.select("item", "length", F.explode("shingles").alias("shingle"), "n"), "shingles")
+    size, lengths = whole.agg(F.coalesce(F.sum(F.octet_length("shingle") + 24), F.lit(0)), F.sort_array(F.collect_set("length"))).first()  # lengths: 1 to ``shingle``
+    if not lengths:
+        lengths = [shingle]
+    words = with_row_key(docs.select(F.col(f"`{text}`").alias("t"))).select(ROW, words_of(F.col("t")).alias("w"))
+
+    def in_documents(of: str, name: str, source: DataFrame) -> DataFrame:
+        return source.select(ROW, F.explode(F.expr("array_distinct(concat(" + ", ".join(windows("w", k, of) for k in lengths) + "))")).alias(name))
+
+    few = sketch.count() <= most_entries and size <= most_bytes
+    probes = in_documents("hash", "hash", words)
+    candidates = stored(probes.join(F.broadcast(sketch) if few else sketch, "hash").select(ROW).distinct(), "candidates")
+    chosen = words.join(F.broadcast(candidates) if candidates.count() <= most_entries else candidates, ROW, "left_semi")
+    held = in_documents("text", "shingle", chosen).join(F.broadcast(whole) if few else whole, "shingle")
+    checked = held.groupBy(ROW, "item", "n").agg(F.count("*").alias("common")).withColumn("containment", F.col("common") / F.col("n"))
+    pairs = checked.where(F.col("common") >= F.ceil(F.col("n") * F.lit(threshold) - 1e-9))
     names = keyed_items.select(F.col(key).alias("item"), "item_id")
     return pairs.join(names, "item").select(ROW, "item_id", F.col("n").cast("long").alias("n"), "common", "containment")
 

@@ -42,12 +42,12 @@ g AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i ROWS UNB
 p AS (SELECT doc_id, run, min(i) AS first, max(i) + 399 AS last FROM g GROUP BY 1, 2),
 q AS (SELECT doc_id, run, first, last, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM p),
 k AS (SELECT doc_id, sum(last - first + 1) AS n_removed, count(*) AS n_spans, max(last) AS tail, string_agg(hex(b[before + 1:first - 1]), '' ORDER BY run) AS head FROM q JOIN b USING (doc_id) GROUP BY 1)
-SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, n_spans IS NOT NULL AS repeats,
  sha256(CASE WHEN tail IS NULL THEN b ELSE unhex(head || hex(b[tail + 1:octet_length(b)])) END) AS kept_sha256 FROM b LEFT JOIN k USING (doc_id)""")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     done = suffixes.remove_substrings(read(spark, folder, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed().alias("n_removed"),
-                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                       F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("repeats"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query("op9_substring_dedup", r"""
@@ -106,8 +106,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_benchmark_decontamination", """
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
-d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
-t AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+l AS (SELECT DISTINCT least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, l)),
+t AS (SELECT DISTINCT item_id, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM b)),
 n AS (SELECT item_id, count(*) AS n FROM t GROUP BY 1),
 c AS (SELECT doc_id, item_id, count(*) AS common FROM d JOIN t USING (s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n AS n_shingles, common AS n_common, common / n AS containment FROM c JOIN n USING (item_id) WHERE 5 * common >= 4 * n""")
