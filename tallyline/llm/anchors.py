@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import (BYTE_CODES, ROW, U64, discard, map_arrow, mixed, packed, pieces, powers, prefix_hash, raw_bytes, stored, with_row_key,
                      word_bounds, word_hashes)
@@ -264,5 +264,4 @@ def without_spans(docs: DataFrame, text: str, spans: DataFrame, cut: Callable[[b
                 spans_of.append([{"start": a, "end": b} for a, b in found])
             yield pa.RecordBatch.from_arrays([*[doc.field(c) for c in names], pa.array(kept, kind), pa.array(spans_of, kinds)], [*names, "kept", "spans"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return map_arrow(source, run, ", ".join(x for x in (fields, f"kept {kept_type}", "spans array<struct<start:long,end:long>>") if x))
+    return map_arrow(source, run, T.StructType([*others, *T.StructType.fromDDL(f"kept {kept_type}, spans array<struct<start:long,end:long>>").fields]))

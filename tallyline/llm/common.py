@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import scratch_path, ship_package
 
@@ -85,7 +85,7 @@ def hash_below(column, share: float):
     return below(F.xxhash64(column), share)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` after sending the package to the executors.
 
     Batches of whole texts are held by the JVM and the worker at once, so a session without an own limit gets one of 8 MB.
@@ -94,6 +94,9 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES) == DEFAULT_BYTES:
         conf.set(BATCH_BYTES, "8388608b")
+    if any("." in c for c in df.columns):  # mapInArrow takes a dot for a step into a field
+        names, plain = df.columns, df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+        return plain.mapInArrow(lambda batches: fn(pa.RecordBatch.from_arrays(b.columns, names) for b in batches), schema)
     return df.mapInArrow(fn, schema)
 
 

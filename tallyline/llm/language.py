@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import U64, below, discard, hash_below, map_arrow, stored
 
@@ -240,9 +240,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
             lang = [n if ok else UNKNOWN for n, ok in zip(names, lettered, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(lang, pa.string()), pa.array(p)], [*keep, "lang_pred", "score"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = T.StructType([*[docs.schema[c] for c in keep], *T.StructType.fromDDL("lang_pred string, score double").fields])
     lettered = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"), lettered.alias("_lettered")), run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "lang_pred string", "score double"]))
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"), lettered.alias("_lettered")), run, schema)
 
 
 def held_out(id_column: Column) -> Column:

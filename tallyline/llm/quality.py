@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import ROW, hash_below, map_arrow, pieces, raw_bytes, with_row_key, word_bounds, word_hashes, mixed, U64
 
@@ -185,8 +185,8 @@ def document_counts(docs: DataFrame, text: str, keep: list[str], model: Forest |
                 out.append(pa.array(model.score(features(counts))))
             yield pa.RecordBatch.from_arrays(out, [*keep, *names, *(["score"] if model is not None else [])])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], *[f"{c} long" for c in names], *(["score double"] if model is not None else [])])
+    added = [*[T.StructField(c, T.LongType()) for c in names], *([T.StructField("score", T.DoubleType())] if model is not None else [])]
+    schema = T.StructType([*[docs.schema[c] for c in keep], *added])
     return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")), run, schema)
 
 
@@ -234,5 +234,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", tex
                 failed = (c[:, 0] < LEAST_WORDS) | (100 * c[:, 4] > MOST_REPEATED * c[:, 0])
                 yield batch.filter(pa.array(~failed & (model.score(features(c)) >= threshold)))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in names]), run, fields)
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in names]), run, docs.schema)

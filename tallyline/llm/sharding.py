@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import ROW, map_arrow, packed, stored, with_row_key
 from .tokenfiles import current_partition
@@ -46,8 +46,8 @@ def shard_rows(rows: DataFrame, order: list[str], shards: int) -> DataFrame:
     keys = [*[F.col(f"`{c}`").asc_nulls_first() for c in order], F.col(ROW)]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    placed = stored(map_arrow(dealt, numbered, fields + ", part long, bytes_before long, rows_before long"), "placed")
+    added = T.StructType.fromDDL("part long, bytes_before long, rows_before long")
+    placed = stored(map_arrow(dealt, numbered, T.StructType([*rows.schema.fields, *added.fields])), "placed")
     totals = placed.groupBy("part").agg(F.sum("size").alias("b"), F.count("*").alias("r")).orderBy("part").collect()  # one row per partition
     part_at, size, count = {}, 0, 0
     for t in totals:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import ROW, U64, map_arrow, packed, raw_bytes, stored, with_row_key
 from .components import components
@@ -66,8 +66,8 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, seed: in
             fps = [fingerprint(raw[a:b], shingle, seed) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(np.array(fps, np.uint64).view(np.int64))], [*keep, "fp"])
 
-    kinds = dict(docs.dtypes)
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")), run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "fp long"]))
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("fp", T.LongType())])
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")), run, schema)
 
 
 def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

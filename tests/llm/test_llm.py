@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import tempfile
+import time
 import zlib
 
 import numpy as np
@@ -387,26 +388,40 @@ def test_containment(spark, docs, most_entries):
         if k % 3 == 1:
             part[len(part) // 2] = "CHANGED"
         items.append((k, " ".join(part).upper() if k % 2 else "\n".join(part)))
-    items += [(100, "a b c"), (None, None), (101, ""), (7, items[0][1]), (None, items[2][1])]
+    items += [(100, "a b c"), (102, " ".join(texts[0].split()[:3])), (103, texts[1].split()[7]), (104, "no such words"), (105, " ".join(texts[2].split()[-4:])), (None, None), (101, ""), (7, items[0][1]), (None, items[2][1])]
     table = tempfile.mkdtemp(prefix="llm-tests-") + "/items"
     spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(table)
 
-    def shingles(t):
-        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        return {tuple(w[j:j + 5]) for j in range(len(w) - 4)}
+    def words(t):
+        return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+
+    def shingles(t, k):
+        w = words(t)
+        return {tuple(w[j:j + k]) for j in range(len(w) - k + 1)} if k else set()
 
     want = collections.Counter()
-    own = [(i, shingles(t)) for i, t in items]
+    own = [(i, min(5, len(words(t))), shingles(t, min(5, len(words(t))))) for i, t in items]
     for _, t in corpus():
-        s = shingles(t)
-        for i, x in own:
+        for i, k, x in own:
+            s = shingles(t, k)
             if x and len(x & s) >= 0.8 * len(x):
                 want[(i, len(x), len(x & s))] += 1
     found = contamination.contained(docs, spark.read.parquet(table), most_entries=most_entries)
     assert collections.Counter((r.item_id, r.n, r.common) for r in found.collect()) == want and want
     left = contamination.clean(docs, spark.read.parquet(table))
     assert left.columns == docs.columns
-    assert left.count() == sum(not any(x and len(x & shingles(t)) >= 0.8 * len(x) for _, x in own) for _, t in corpus())
+    assert left.count() == sum(not any(x and len(x & shingles(t, k)) >= 0.8 * len(x) for _, k, x in own) for _, t in corpus())
+
+
+def test_long_text_full_of_items(spark):
+    """50,000 words that are nothing but benchmark items: each document's shingles are made twice, not once for each hit."""
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    whole = " ".join(r.text for r in items.collect())
+    path = tempfile.mkdtemp(prefix="llm-tests-") + "/full"
+    spark.createDataFrame([(1, " ".join([whole] * (50_000 // len(whole.split()) + 1))), (2, "clean")], "doc_id long, text string").coalesce(1).write.parquet(path)
+    started = time.time()
+    found = contamination.contained(spark.read.parquet(path), items).count()
+    assert found == items.count() and time.time() - started < 60
 
 
 def test_url_parts_and_rules(spark):
@@ -577,3 +592,41 @@ def test_pipeline(spark):
         before = after
     assert docs.count() > counts[0] > counts[1] >= counts[2] > counts[3] > 0
     assert before.select("doc_id").distinct().count() == counts[3]
+
+
+ODD = "doc_id long, text string, `odd name` struct<`a b`:int,`x-y`:array<struct<`c d`:string>>>, `dot.ted` map<string,struct<`e f`:int>>"
+
+
+def test_odd_nested_names(spark):
+    """Tables with fields of names that no type text can hold go through every operator that keeps the columns."""
+    rng = random.Random(3)
+    rows = [(k, sentence(rng, 80), (k, [("z",)]), {"m": (k,)}) for k in range(30)]
+    rows += [(100 + k, rows[k][1], None, None) for k in range(5)]
+    path = tempfile.mkdtemp(prefix="llm-tests-") + "/odd"
+    spark.createDataFrame(rows, ODD).coalesce(2).write.parquet(path)
+    docs = spark.read.parquet(path)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    outs = [quality.keep_good(docs, labels), phrases.remove_phrases(docs), suffixes.remove_substrings(docs), contamination.clean(docs, items), simhash.keep_first(docs), corpus_pipeline.simhash_near_dedup(spark, docs, FOLDER)]
+    for out in outs:
+        assert {"odd name", "dot.ted"} <= set(out.columns)
+        for r in out.collect():
+            assert r["odd name"] is None or (r["odd name"]["a b"], r["dot.ted"]["m"]["e f"]) == (r.doc_id, r.doc_id)
+    assert outs[1].count() == len(rows) and outs[4].count() == outs[5].count() == 30
+
+
+def test_ids_beyond_16_bits(spark):
+    """A vocabulary of 70,000 words is written in 32 bits."""
+    from tokenizers import models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({f"w{k}": k for k in range(70_000)} | {"?": 70_000}, unk_token="?"))
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    folder = tempfile.mkdtemp(prefix="llm-tests-")
+    made.save(f"{folder}/own.json")
+    docs = spark.createDataFrame([(1, "w69999 w3 w65536"), (2, "w65535 none")], "doc_id long, text string")
+    manifest = tokenfiles.write_tokens(docs, f"{folder}/files", f"{folder}/own.json", end_id=2)
+    assert manifest["bytes_per_id"] == 4
+    assert tokenfiles.read_document(spark, f"{folder}/files", 1)[0].tolist() == [69999, 3, 65536, 2]
+    assert tokenfiles.read_document(spark, f"{folder}/files", 2)[0].tolist() == [65535, 70_000, 2]
+    with pytest.raises(OverflowError):
+        tokens.as_bytes([65_536], 2)
