@@ -1,19 +1,19 @@
 """Filling numeric columns from the k nearest rows, exactly and without comparing all pairs.
 
 The distance is Euclidean over the columns two rows both have, scaled up for those they do not share:
-sqrt(columns / shared * sum of squares). Rows are grouped by which columns they have; a receiver pattern R and a donor
-pattern M that occur share the columns S. For each such (M, S):
-
-1. of donors with equal values in S only the first k by key can ever be chosen, so copies weigh no more than k rows;
-   receivers with equal values are looked up once;
-2. donors are dealt to the cells of a k-d tree over all columns of S, built from a bounded sample, so cells
-   hold about equally many donors however they are spread;
-3. the boxes of the cells bound a receiver's k-th distance from above (boxes in order of their farthest corner until they hold
-   k donors); it is sent to the cells whose nearest corner lies within;
-4. inside a cell the same tree, boxes and bounds are used again before distances are computed. Cells with many
-   receivers are split over tasks.
-
-The sample decides how even the cells are, never what is found.
+sqrt(columns / shared * sum of squares). A row's pattern is the set of columns it has.
+
+1. Donors with equal values in all columns weigh no more than k rows, the first by key; receivers with equal values are looked up once.
+2. The donors of a pattern are dealt to the cells of a k-d tree over its columns, built from a bounded sample, so cells hold about equally many
+   donors however they are spread. Every donor is in one cell, whatever patterns ask for it.
+3. The boxes of all cells bound, for each missing column of a receiver, the k-th distance from above (boxes that have the column, in order of their
+   farthest corner, until they hold k donors); both corners count in the columns that receiver and box share. The receiver is sent
+   to the cells whose nearest corner lies within.
+4. Inside a cell the same tree, boxes and bounds are used again before distances are computed. Cells with many receivers or many
+   donors are split over tasks; the best of all tasks are ranked at the end.
+
+The sample decides how even the cells are, never what is found. The donors of patterns beyond the ``MOST_PATTERNS`` commonest have no
+boxes: every receiver is compared with all of them, in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -22,15 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..session import cut_lineage, ship_package
 from .impute import numeric_columns
 
 CELL_ROWS = 2_000           # donors a cell should hold
-MOST_CELLS = 2_048          # cells of one tree
+MOST_CELLS = 2_048          # cells of all trees together, beside one for each pattern
+MOST_PATTERNS = 2_048       # patterns with a tree
 SAMPLE_ROWS = 200_000       # donors that shape all trees together
-TASK_RECEIVERS = 20_000
+TASK_RECEIVERS, TASK_DONORS = 20_000, 200_000
 
 
 class Tree:
@@ -135,7 +137,7 @@ def impute_knn(df: DataFrame, columns: list[str] | None = None, key: list[str] =
     """Mean of the k nearest rows that have the value; the column mean when no row shares a column.
 
     Any number of columns; NaN counts as missing. Ties go to the smaller key. A column without any value stays missing.
-    Work grows with the rows and with the pairs of patterns (sets of present columns) that occur.
+    Work grows with the rows and with the cells they visit, not with the pairs of patterns (sets of present columns).
     """
     columns = [c for c in numeric_columns(df) if c not in key] if columns is None else columns
     if not columns:
@@ -145,101 +147,150 @@ def impute_knn(df: DataFrame, columns: list[str] | None = None, key: list[str] =
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in key]).alias("k"), F.array(*given).alias("v"),
                      F.concat(*[F.when(x.isNotNull(), "1").otherwise("0") for x in given]).alias("m"))
     means = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(given)]).first()
-    patterns = [r["m"] for r in rows.select("m").distinct().collect()]      # the patterns that occur
-    needs = [(r, m, s) for r in patterns for m in patterns
-             if (s := tuple(i for i in range(n) if r[i] == m[i] == "1")) and any(a < b for a, b in zip(r, m, strict=True))]
     keyed = df.withColumns({"_m": F.concat(*[F.when(x.isNotNull(), "1").otherwise("0") for x in given]), "_v": F.array(*given)})
     keyed = keyed.withColumn("_v", F.when(F.col("_m").contains("0"), F.col("_v")))
-    if needs:
-        near = _nearest(rows, needs, n, k).select(F.col("m").alias("_m"), F.col("v").alias("_v"), "near")
-        # complete rows have no vector and need no lookup: they go round the join, so they meet in no task
-        holes = keyed.filter("_v is not null").join(near, ["_m", "_v"], "left")
-        keyed = holes.unionByName(keyed.filter("_v is null").withColumn("near", F.lit(None).cast(near.schema["near"].dataType)))
-    else:
-        keyed = keyed.withColumn("near", F.create_map().cast("map<int,double>"))
+    near = _nearest(rows, n, k).select(F.col("m").alias("_m"), F.col("v").alias("_v"), "near")
+    # complete rows have no vector and need no lookup: they go round the join, so they meet in no task
+    holes = keyed.filter("_v is not null").join(near, ["_m", "_v"], "left")
+    keyed = holes.unionByName(keyed.filter("_v is null").withColumn("near", F.lit(None).cast(near.schema["near"].dataType)))
     return keyed.withColumns({c: F.coalesce(x, F.try_element_at("near", F.lit(i)), F.lit(means[i]).cast("double"))
                               for i, (c, x) in enumerate(zip(columns, given, strict=True))}).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def _nearest(rows: DataFrame, needs: list[tuple[str, str, tuple[int, ...]]], n: int, k: int) -> DataFrame:
+def matrix(column: pa.Array, n: int) -> np.ndarray:
+    """Rows of n numbers, NaN where they are null."""
+    return column.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def pattern_bits(m: str) -> np.ndarray:
+    return np.frombuffer(m.encode(), np.uint8) == ord("1")
+
+
+class Boxes:
+    """The cells' boxes: which columns they have, corners (NaN where they have none), how many donors they hold."""
+
+    def __init__(self, cell: np.ndarray, has: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray):
+        self.cell, self.has, self.low, self.high, self.count = cell, has, low, high, count
+
+    def visited(self, own: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(point, cell) of points of one pattern, and the cells in which one of the k nearest rows of one of their missing columns can lie."""
+        shared = self.has & own
+        asked = (shared.any(axis=1) & (self.has & ~own).any(axis=1)).nonzero()[0]
+        none = np.zeros(0, np.int64)
+        if not len(asked):
+            return none, none
+        shared, has = shared[asked], self.has[asked]
+        low, high = np.where(shared, self.low[asked], -np.inf), np.where(shared, self.high[asked], np.inf)
+        count, ratio = self.count[asked], len(own) / shared.sum(axis=1)
+        who, where = [], []
+        step = max(1, 2_000_000 // low.size)
+        for a in range(0, len(points), step):
+            p = np.where(own, points[a:a + step], 0.0)[:, None, :]
+            below, above = low - p, p - high
+            near = (np.maximum(np.maximum(below, above), 0) ** 2).sum(axis=2) * ratio
+            far = (np.where(shared, np.maximum(-below, -above), 0.0) ** 2).sum(axis=2) * ratio
+            within = np.zeros(near.shape, bool)
+            for c in np.flatnonzero(~own & has.any(axis=0)):
+                at = np.flatnonzero(has[:, c])
+                order = np.argsort(far[:, at], axis=1)
+                held = np.cumsum(count[at][order], axis=1)
+                last = np.take_along_axis(far[:, at], np.take_along_axis(order, (held >= k).argmax(axis=1)[:, None], 1), 1) * (1 + 1e-9)
+                within[:, at] |= (near[:, at] <= last) | (held[:, -1:] < k)
+            i, j = np.nonzero(within)
+            who.append(i + a)
+            where.append(self.cell[asked[j]])
+        return np.concatenate(who), np.concatenate(where)
+
+
+def _nearest(rows: DataFrame, n: int, k: int) -> DataFrame:
     """(m, v, near): per incomplete vector the mean of the nearest values per missing column."""
     spark = rows.sparkSession
     ship_package(spark)
-    shared: dict[tuple[str, tuple[int, ...]], int] = {}
-    for _, m, s in needs:
-        shared.setdefault((m, s), len(shared))
-    as_donor = spark.createDataFrame([(m, u, list(s)) for (m, s), u in shared.items()], "m string, unit int, s array<int>")
-    as_receiver = spark.createDataFrame([(r, shared[m, s], list(s)) for r, m, s in needs], "m string, unit int, s array<int>")
-
-    def project(df: DataFrame) -> DataFrame:
-        return df.withColumn("p", F.transform("s", lambda i: F.col("v")[i])).drop("s")
-
-    same = W.partitionBy("unit", "p").orderBy("k")
-    donors = project(rows.join(as_donor, "m")).select("unit", "p", "k", "v").withColumn("_rn", F.row_number().over(same)).filter(F.col("_rn") <= k).drop("_rn")
+    same = W.partitionBy("m", "v").orderBy("k")
+    donors = rows.filter(F.col("m").contains("1")).withColumn("_rn", F.row_number().over(same)).filter(F.col("_rn") <= k).select("m", "v", "k")
     donors = cut_lineage(donors)
-    sizes = {r["unit"]: r["count"] for r in donors.groupBy("unit").count().collect()}      # one row per unit
-    each = max(200, SAMPLE_ROWS // max(1, len(shared)))
-    pick = W.partitionBy("unit").orderBy(F.xxhash64("k"), "k")
-    sample = donors.withColumn("_rn", F.row_number().over(pick)).filter(F.col("_rn") <= each).select("unit", "p").collect()
-    points: dict[int, list] = {}
-    for r in sample:
-        points.setdefault(r["unit"], []).append(r["p"])
-    trees = {u: Tree(np.array(p, float), min(MOST_CELLS, -(-sizes[u] // CELL_ROWS))) for u, p in points.items()}
+    common = donors.groupBy("m").count().orderBy(F.col("count").desc(), "m").limit(MOST_PATTERNS).collect()
+    sizes, total = {r["m"]: r["count"] for r in common}, max(1, sum(r["count"] for r in common))
+    each = max(64, SAMPLE_ROWS // max(1, len(sizes)))
+    pick = W.partitionBy("m").orderBy(F.xxhash64("k"), "k")
+    known = donors.join(F.broadcast(spark.createDataFrame([(m,) for m in sizes], "m string")), "m", "left_semi")
+    points: dict[str, list] = {}
+    for r in known.withColumn("_rn", F.row_number().over(pick)).filter(F.col("_rn") <= each).select("m", "v").collect():
+        points.setdefault(r["m"], []).append([x for x in r["v"] if x is not None])
+    trees, first = {}, 0
+    for m, p in sorted(points.items()):      # cells are numbered through; those of a tree lie in a row
+        trees[m] = (first, Tree(np.array(p, float), min(-(-sizes[m] // CELL_ROWS), 1 + MOST_CELLS * sizes[m] // total)))
+        first += len(trees[m][1].dim)
 
     def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = batch.column(0).to_numpy(zero_copy_only=False)
-            cell = np.zeros(len(unit), np.int64)
-            flat, size = batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            at = np.cumsum(size) - size
-            for u in np.unique(unit):
-                own = np.flatnonzero(unit == u)
-                cell[own] = trees[int(u)].cell(flat[at[own][:, None] + np.arange(size[own[0]])])
+            pattern, values = np.array(batch.column(0).to_pylist(), object), matrix(batch.column(1), n)
+            cell = np.full(len(pattern), -1)
+            for m in set(pattern) & set(trees):
+                own = np.flatnonzero(pattern == m)
+                base, tree = trees[m]
+                cell[own] = base + tree.cell(values[own][:, pattern_bits(m)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in donors.schema.fields)
-    placed = cut_lineage(donors.mapInArrow(in_cells, f"{kinds}, cell long"))
-    corners = placed.select("unit", "cell", F.posexplode("p").alias("i", "x")).groupBy("unit", "cell", "i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n"))
-    boxes: dict[int, tuple] = {}
-    lists: dict[int, dict[int, list]] = {}
-    for r in corners.orderBy("unit", "cell", "i").collect():      # at most MOST_CELLS cells per unit
-        lists.setdefault(r["unit"], {}).setdefault(r["cell"], []).append((r["lo"], r["hi"], r["n"]))
-    for u, cells in lists.items():
-        full = np.array(list(cells.values()), float)
-        boxes[u] = (np.array(list(cells)), full[:, :, 0], full[:, :, 1], full[:, 0, 2])
+    placed = cut_lineage(donors.mapInArrow(in_cells, T.StructType([*donors.schema.fields, T.StructField("cell", T.LongType())])))
+    filled = placed.groupBy("cell").agg(F.count("*").alias("donors"))
+    corners = placed.filter("cell >= 0").select("cell", "m", F.posexplode("v").alias("i", "x")).filter("x is not null")
+    corners = corners.groupBy("cell", "m", "i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n")).orderBy("cell", "i").collect()      # n rows for each cell at most
+    cells: dict[int, tuple] = {}
+    for r in corners:
+        has, low, high, _ = cells.setdefault(r["cell"], (pattern_bits(r["m"]), np.full(n, np.nan), np.full(n, np.nan), r["n"]))
+        low[r["i"]], high[r["i"]] = r["lo"], r["hi"]
+    shape = [np.array(list(x)).reshape(-1, n) for x in zip(*[c[:3] for c in cells.values()], strict=True)] if cells else [np.zeros((0, n), bool)] * 3
+    boxes = Boxes(np.array(list(cells), np.int64), shape[0].astype(bool), shape[1].astype(float), shape[2].astype(float), np.array([c[3] for c in cells.values()], np.int64))
+    unboxed = placed.filter("cell < 0").limit(1).count() > 0
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = batch.column(0).to_numpy(zero_copy_only=False)
-            flat, size = batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            at = np.cumsum(size) - size
-            for u in np.unique(unit):
-                cells, low, high, count = boxes[int(u)]
-                for own in np.array_split(np.flatnonzero(unit == u), 1 + len(unit) // 2000):
-                    if len(own):
-                        who, where = visits(flat[at[own][:, None] + np.arange(low.shape[1])], low, high, count, k)
-                        yield pa.RecordBatch.from_arrays([*[c.take(pa.array(own[who])) for c in batch.columns], pa.array(cells[where])], [*batch.schema.names, "cell"])
-
-    receivers = project(rows.filter(F.col("m").contains("0")).select("m", "v").distinct().join(as_receiver, "m")).select("unit", "p", "m", "v")
-    sent = cut_lineage(receivers.mapInArrow(routed, "unit int, p array<double>, m string, v array<double>, cell long"))
-    tasks = sent.groupBy("unit", "cell").agg(F.ceil(F.count("*") / TASK_RECEIVERS).cast("int").alias("tasks"))
-    asked = sent.join(tasks, ["unit", "cell"]).withColumn("task", F.pmod(F.xxhash64("v"), F.col("tasks")).cast("int")).drop("tasks")
-    dealt = placed.join(tasks, ["unit", "cell"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
-    cell = ["unit", "cell", "task"]
-    donor_kind = rows.schema["k"].dataType.simpleString()
+            pattern, values = np.array(batch.column(0).to_pylist(), object), matrix(batch.column(1), n)
+            for m in sorted(set(pattern)):
+                for own in np.array_split(np.flatnonzero(pattern == m), 1 + int((pattern == m).sum()) // 2000):
+                    who, where = boxes.visited(pattern_bits(m), values[own], k)
+                    if unboxed:
+                        who, where = np.concatenate([who, np.arange(len(own))]), np.concatenate([where, np.full(len(own), -1)])
+                    yield pa.RecordBatch.from_arrays([*[c.take(pa.array(own[who])) for c in batch.columns], pa.array(where)], [*batch.schema.names, "cell"])
+
+    receivers = rows.filter(F.col("m").contains("0") & F.col("m").contains("1")).select("m", "v").distinct()
+    sent = cut_lineage(receivers.mapInArrow(routed, "m string, v array<double>, cell long"))
+    tasks = sent.groupBy("cell").agg(F.count("*").alias("asking")).join(filled, "cell").select(
+        "cell", F.ceil(F.col("asking") / TASK_RECEIVERS).alias("a"), F.ceil(F.col("donors") / TASK_DONORS).alias("b"))
+    asked = sent.join(tasks, "cell").select("m", "v", "cell", F.pmod(F.xxhash64("v"), F.col("a")).alias("ta"), F.explode(F.expr("sequence(0L, b - 1)")).alias("tb"))
+    dealt = placed.join(tasks, "cell").select("m", "v", "k", "cell", F.explode(F.expr("sequence(0L, a - 1)")).alias("ta"), F.pmod(F.xxhash64("k"), F.col("b")).alias("tb"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, donor = (np.array(t.column("p").to_pylist(), float).reshape(t.num_rows, -1) for t in (left, right))
-        order = sorted(range(right.num_rows), key=lambda i: tuple((x is not None, x) for x in right.column("k")[i].as_py().values()))
-        donor = donor[order]
-        p, d, s = nearest_in(own, donor, k) if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 3
-        take = np.array(order, np.int64)[d] if len(d) else np.zeros(0, np.int64)
-        ratio = float(n) / own.shape[1] if own.shape[1] else 1.0
-        return pa.table([left.column("m").take(pa.array(p)), left.column("v").take(pa.array(p)), pa.array(s * ratio, pa.float64()), right.column("k").take(pa.array(take)),
-                         right.column("v").take(pa.array(take))], ["m", "rv", "d", "k", "v"])
-
-    near = asked.groupBy(*cell).cogroup(dealt.groupBy(*cell)).applyInArrow(search, f"m string, rv array<double>, d double, k {donor_kind}, v array<double>")
+        left, right = left.combine_chunks(), right.combine_chunks()
+        out = []
+        if left.num_rows and right.num_rows:
+            right = right.take(key_order(right.column("k").combine_chunks()))
+            asks, gives = (np.array(t.column("m").to_pylist(), object) for t in (left, right))
+            own, donor = (matrix(t.column("v").combine_chunks(), n) for t in (left, right))
+            for m in set(asks):
+                for g in set(gives):
+                    one, other = pattern_bits(m), pattern_bits(g)
+                    both = one & other
+                    if both.any() and (other & ~one).any():
+                        i, j = np.flatnonzero(asks == m), np.flatnonzero(gives == g)
+                        p, d, s = nearest_in(own[i][:, both], donor[j][:, both], k)
+                        out.append((i[p], j[d], s * (float(n) / both.sum())))
+        p, d, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([left.column("m").take(pa.array(p)), left.column("v").take(pa.array(p)), pa.array(s, pa.float64()), right.column("k").take(pa.array(d)),
+                         right.column("v").take(pa.array(d))], ["m", "rv", "d", "k", "v"])
+
+    cell = ["cell", "ta", "tb"]
+    fields = T.StructType([*T.StructType.fromDDL("m string, rv array<double>, d double").fields, rows.schema["k"], *T.StructType.fromDDL("v array<double>").fields])
+    near = asked.groupBy(*cell).cogroup(dealt.groupBy(*cell)).applyInArrow(search, fields)
     parts = near.select("m", "rv", "d", "k", F.posexplode("v").alias("c", "value"), F.col("rv").alias("_rv")).filter(F.col("value").isNotNull() & F.expr("_rv[c]").isNull())
     best = parts.withColumn("rn", F.row_number().over(W.partitionBy("m", "rv", "c").orderBy("d", "k"))).filter(F.col("rn") <= k)
     means = best.groupBy("m", "rv", "c").agg(F.avg("value").alias("mean"))
     return means.groupBy("m", F.col("rv").alias("v")).agg(F.map_from_entries(F.collect_list(F.struct("c", "mean"))).alias("near"))      # at most n entries
+
+
+def key_order(keys: pa.StructArray) -> pa.Array:
+    """Positions in key order, nulls first, as Spark orders structs."""
+    names = [f.name for f in keys.type]
+    flat = pa.table(keys.flatten(), [f"f{i}" for i in range(len(names))])
+    return pc.sort_indices(flat, [(f"f{i}", "ascending") for i in range(len(names))], null_placement="at_start")
