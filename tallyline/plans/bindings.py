@@ -34,6 +34,12 @@ SELECT c_custkey AS address_id, CASE c_custkey % 6 WHEN 0 THEN concat(CAST(100 +
   WHEN 1 THEN concat(CAST(100 + p_partkey % 37 AS STRING), '  ', upper(p_name), ' St., ', p_brand, ' il') WHEN 2 THEN concat(CAST(100 + p_partkey % 37 AS STRING), ' ', substr(p_name, 2), ' streeet, ', p_brand)
   WHEN 3 THEN concat('corner of ', p_name, ' and ', p_brand) WHEN 4 THEN NULL ELSE ' ?! ' END AS address,
  CASE WHEN c_custkey % 5 = 1 THEN 41e0 END AS latitude, -87e0 AS longitude FROM {customer} JOIN {part} ON p_partkey = c_custkey""",
+    "v_keywords": """
+SELECT c_custkey AS position, concat('K', CAST(c_nationkey AS STRING)) AS category,
+ CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 50 = 1 THEN '' WHEN c_custkey % 50 = 2 THEN 'Th' WHEN c_custkey % 50 = 3 THEN 'X'
+      WHEN c_custkey % 3 = 0 THEN concat('/', CAST(c_custkey AS STRING)) WHEN c_custkey % 3 = 1 THEN concat(lower(substr(c_mktsegment, 1, 3)), CAST(c_custkey % 7 AS STRING))
+      ELSE substr('onthereinghattionedblerandesourlyst', c_custkey % 29 + 1, 3 + c_custkey % 4) END AS keyword
+FROM {customer}""",
     "v_globe": """
 SELECT event_id AS point_id, ((event_id * 7919) % 18001) / 100e0 - 90e0 AS latitude, ((event_id * 10007) % 36001) / 100e0 - 180e0 AS longitude FROM {events}""",
     "v_posts": """

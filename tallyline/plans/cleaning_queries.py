@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C, rules, text as X
-from ..operators import clean, dedupe, impute, incidents as I, merge, unify as U
+from ..operators import clean, dedupe, impute, incidents as I, keywords, merge, unify as U
 from .registry import query
 
 INC = ("v_incidents",)
@@ -120,6 +120,25 @@ def c08_default(t):
     return t.documents.select("doc_id", X.first_matching_category(F.col("text"), rules.INCIDENT_CATEGORIES).alias("category"))
 
 
+RULES_SQL = """k AS (SELECT lower(keyword) AS keyword, arg_min(category, position) AS category, min(position) AS position FROM v_keywords WHERE length(keyword) > 0 GROUP BY 1),
+ m AS (SELECT page_id, k.category, k.position, k.keyword FROM pages JOIN k ON contains(lower(html), k.keyword))"""
+
+
+@query("c08_categories_of_a_table", f"""
+WITH {RULES_SQL}, f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY position, category, keyword) = 1)
+SELECT page_id, CASE WHEN html IS NULL THEN 'UNKNOWN' ELSE coalesce(f.category, 'OTHER') END AS category FROM pages LEFT JOIN f USING (page_id)""", ("v_keywords",))
+def c08_table(t):
+    return keywords.first_category(t.pages, t.v_keywords, F.col("html")).select("page_id", "category")
+
+
+@query("b05_keywords_of_a_table", f"""
+WITH {RULES_SQL}, f AS (SELECT page_id, string_agg(keyword, ' ' ORDER BY position, category, keyword) AS keywords FROM m GROUP BY 1)
+SELECT page_id, coalesce(keywords, '') AS keywords FROM pages LEFT JOIN f USING (page_id)""", ("v_keywords",))
+def b05_table(t):
+    found = keywords.keyword_hits(t.pages, t.v_keywords, F.col("html"))
+    return found.select("page_id", F.array_join("keywords", " ").alias("keywords"))
+
+
 SCORE_LOC = """CASE WHEN combined_time IS NULL THEN 0 ELSE 15 END + CASE WHEN latitude IS NULL THEN 0 ELSE 15 END
  + CASE WHEN longitude IS NULL THEN 0 ELSE 15 END + CASE WHEN primary_type IS NULL THEN 0 ELSE 15 END + 20"""
 

@@ -440,6 +440,18 @@ def d34_count(t):
     return M.density_grid(M.valid_coordinates(t.v_incidents), 0.05)
 
 
+KERNEL = M.gaussian(1.5, 4)
+WEIGHTS_SQL = "SELECT unnest([" + ", ".join(str(k - 4) for k in range(9)) + "]) AS k, unnest([" + ", ".join(f"{w!r}::DOUBLE" for w in KERNEL) + "]) AS w"
+
+
+@query("d34_kernel_density", f"""
+WITH g AS (SELECT CAST(floor(latitude / 0.05) AS BIGINT) AS y, CAST(floor(longitude / 0.05) AS BIGINT) AS x, CAST(count(*) AS DOUBLE) AS n
+ FROM v_incidents WHERE latitude <> 0 AND longitude <> 0 GROUP BY 1, 2), t AS ({WEIGHTS_SQL})
+SELECT y + a.k AS cell_lat, x + b.k AS cell_lon, round(sum(n * a.w * b.w), 6) AS density FROM g, t a, t b GROUP BY 1, 2""", INC)
+def d34_kernel(t):
+    return M.kernel_density(M.density_grid(M.valid_coordinates(t.v_incidents), 0.05), KERNEL)
+
+
 @query("d35_further_groups", """
 WITH c AS (SELECT location_description AS value, count(*) AS n FROM v_incidents GROUP BY 1)
 SELECT value, n, greatest((SELECT count(*) FROM c) - 10, 0) AS further_groups FROM c ORDER BY n DESC, value LIMIT 10""", INC)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators import stints as E, tenures as T
+from ..operators import spans as S, stints as E, tenures as T
+from ..session import cut_lineage
 from .registry import query
 
 EMP, STAFF = ("v_employment",), ("v_staff",)
@@ -174,3 +175,26 @@ WITH {TEN}, {PREV_MGR}, {PREV_UNIT} SELECT t.company, t.person_id AS new_manager
 FROM ten t LEFT JOIN pm x ON {BACK} LEFT JOIN pu y ON {BACK.replace('x.', 'y.')}""", STAFF)
 def e15(t):
     return T.management_changes(T.manager_tenures(t.v_staff, AS_OF))
+
+
+@query("e13_active_managers", f"""
+WITH {TEN} SELECT t.company, t.unit_id, t.person_id, CAST(t.eff_date AS VARCHAR) AS eff_date, p.person_id AS with_person, CAST(p.eff_date AS VARCHAR) AS with_since
+FROM ten t JOIN ten p ON p.company = t.company AND p.unit_id = t.unit_id AND p.eff_date <= t.eff_date AND (p.end_date IS NULL OR p.end_date >= t.eff_date)
+WHERE p.person_id <> t.person_id""", STAFF)
+def e13_active(t):
+    tenures = cut_lineage(T.manager_tenures(t.v_staff, AS_OF))
+    met = S.active_at(tenures, tenures, ["company", "unit_id"], "eff_date", "eff_date", "end_date").filter("interval.person_id <> person_id")
+    return met.selectExpr("company", "unit_id", "person_id", "eff_date", "interval.person_id as with_person", "interval.eff_date as with_since")
+
+
+STINTS_SQL = fold(MID, 1)
+
+
+@query("e07_headcount", f"""
+{STINTS_SQL}, times AS ({STINT_OUT}), ev AS (SELECT company, CAST(stint_start AS DATE) AS day FROM times UNION SELECT company, CAST(stint_end AS DATE) + 1 FROM times WHERE stint_end IS NOT NULL)
+SELECT ev.company, CAST(ev.day AS VARCHAR) AS day, count(*) FILTER (CAST(st.stint_start AS DATE) = ev.day) AS arrivals,
+ count(*) FILTER (CAST(st.stint_end AS DATE) + 1 = ev.day) AS departures,
+ count(*) FILTER (CAST(st.stint_start AS DATE) <= ev.day AND (st.stint_end IS NULL OR CAST(st.stint_end AS DATE) >= ev.day)) AS headcount
+FROM ev LEFT JOIN times st ON st.company = ev.company GROUP BY 1, 2, ev.day""", EMP)
+def e07_headcount(t):
+    return S.headcount(E.employment_stints(t.v_employment, MID), ["company"], "stint_start", "stint_end")

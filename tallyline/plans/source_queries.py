@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as X
 from ..operators import incidents as I
 from ..session import scratch_path
-from ..sources import files, payloads as P
+from ..sources import arrays, files, incremental, payloads as P
 from .catalog_queries import CAT, catalog
-from .incident_queries import AS_OF, DAILY, DESCRIBE_SQL, PREP, prep
+from .incident_queries import AS_OF, DAILY, DESCRIBE_SQL, DLY, MCUBE, PREP, prep
 from .registry import query
 from .report import statistics_report
 
@@ -51,6 +51,27 @@ def a02(t):
     return files.read_landed(t.spark, f"{path}/*").select("dataset_name", "key", "offense", "category")
 
 
+@query("a02_read_large_array", """
+SELECT CAST(event_id AS BIGINT) AS id, concat(event_type, '"]},{[', props, chr(92)) AS note, [event_id, user_id] AS pair FROM events""")
+def a02_array(t):
+    """Arrays of 5,000 records, with brackets, quotes and backslashes in their texts, read in ranges of 20,000 bytes."""
+    made = t.events.select(F.struct(F.col("event_id").alias("id"), F.concat("event_type", F.lit('"]},{['), "props", F.lit("\\")).alias("note"), F.array("event_id", "user_id").alias("pair")).alias("r"))
+    text = made.select(F.to_json("r").alias("r"), F.floor(F.col("r.id") / 5000).alias("part")).groupBy("part").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("r"), ",\n"), F.lit("]")).alias("value")).select("value")
+    path = scratch_path(t.spark, "array")
+    text.write.text(path)
+    return arrays.read_json_array(t.spark, f"{path}/*.txt", "id long, note string, pair array<long>", 20_000)
+
+
+@query("a11_incremental_cube", f"""
+WITH {MCUBE} SELECT CAST(month_year AS VARCHAR) AS month_year, crime_type, city, location_type, n FROM mc""", DLY)
+def a11_cube(t):
+    """The daily incidents landed in three batches, one of them twice."""
+    folder, rows = scratch_path(t.spark, "incremental"), t.v_daily
+    for name, part in (("first", "incident_id % 3 = 0"), ("second", "incident_id % 3 = 1"), ("first", "incident_id % 3 = 0"), ("third", "incident_id % 3 = 2")):
+        incremental.land(rows.filter(part), name, folder)
+    return incremental.cube(t.spark, folder)
+
+
 def listings(t) -> DataFrame:
     """Catalog rows as portal payloads of four shapes, every 19th without id, and payloads that hold no dataset."""
     c = catalog(t)
