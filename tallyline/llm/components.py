@@ -47,12 +47,13 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every linked node but the roots; ``links`` has long columns u and v, root is the least node.
 
     Links of a node to itself and repeated links change nothing. Works in O(log^2) rounds; a round shuffles the links,
-    which never grow, and stops when a round leaves them as they were.
+    which never grow, and stops when a round leaves them as they were (their number and two independent 64-bit sums, which agree by chance once in 2^128).
     """
     ordered = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now, state = stored(map_arrow(ordered, local_stars, "u long, v long").distinct(), "links"), None
     while True:
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        hashed = [F.sum(F.xxhash64(*by).cast("decimal(38,0)")) for by in (("u", "v"), (F.lit(1), "v", "u"))]
+        row = now.agg(F.count("*"), *hashed).first()
         if state == tuple(row) or row[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = tuple(row)
