@@ -40,6 +40,11 @@ SELECT c_custkey AS position, concat('K', CAST(c_nationkey AS STRING)) AS catego
       WHEN c_custkey % 3 = 0 THEN concat('/', CAST(c_custkey AS STRING)) WHEN c_custkey % 3 = 1 THEN concat(lower(substr(c_mktsegment, 1, 3)), CAST(c_custkey % 7 AS STRING))
       ELSE substr('onthereinghattionedblerandesourlyst', c_custkey % 29 + 1, 3 + c_custkey % 4) END AS keyword
 FROM {customer}""",
+    "v_dates": """
+SELECT o_orderkey AS id, concat(substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 6, 2), '/', substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 9, 2), '/', substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4)) AS us,
+ CASE WHEN o_orderkey % 10 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN o_orderkey % 10 = 1 THEN 'unknown' WHEN o_orderkey % 10 = 2 THEN '  ' WHEN o_orderkey % 10 = 3 THEN NULL
+      ELSE concat(substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 9, 2), '/', substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 6, 2), '/', substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4)) END AS mixed,
+ o_orderpriority AS words FROM {orders}""",
     "v_globe": """
 SELECT event_id AS point_id, ((event_id * 7919) % 18001) / 100e0 - 90e0 AS latitude, ((event_id * 10007) % 36001) / 100e0 - 180e0 AS longitude FROM {events}""",
     "v_posts": """

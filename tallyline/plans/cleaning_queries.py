@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C, rules, text as X
-from ..operators import clean, dedupe, impute, incidents as I, keywords, merge, unify as U
+from ..operators import clean, dedupe, impute, incidents as I, keywords, merge, shapes, unify as U
 from .registry import query
 
 INC = ("v_incidents",)
@@ -120,6 +120,25 @@ def c08_default(t):
     return t.documents.select("doc_id", X.first_matching_category(F.col("text"), rules.INCIDENT_CATEGORIES).alias("category"))
 
 
+def slashed_sql(first: int, second: int) -> str:
+    """Values like 99/99/9999 less the more frequent of the two faults: a first or second group beyond its limit, or zero."""
+    def wrong(group: int, limit: int) -> str:
+        part = f"TRY_CAST(regexp_extract(v, '^([0-9][0-9])/([0-9][0-9])/', {group}) AS INT)"
+        return f"count(*) FILTER (regexp_matches(v, '^[0-9][0-9]/[0-9][0-9]/[0-9]{{4}}$') AND ({part} > {limit} OR {part} = 0))"
+
+    return f"count(*) FILTER (regexp_matches(v, '^[0-9][0-9]/[0-9][0-9]/[0-9]{{4}}$')) - greatest({wrong(1, first)}, {wrong(2, second)})"
+
+
+@query("c04_format_of_a_source", f"""
+WITH u AS (SELECT 'us' AS c, trim(us) AS v FROM v_dates UNION ALL SELECT 'mixed', trim(mixed) FROM v_dates UNION ALL SELECT 'words', trim(words) FROM v_dates),
+s AS (SELECT c, count(*) AS n, count(*) FILTER (regexp_matches(v, '^[0-9]{{4}}-[0-9][0-9]-[0-9][0-9]$')) AS iso, {slashed_sql(12, 31)} AS mdy, {slashed_sql(31, 12)} AS dmy FROM u WHERE v <> '' GROUP BY 1),
+f AS (SELECT c, n, unnest(['yyyy-MM-dd', 'MM/dd/yyyy', 'dd/MM/yyyy']) AS fmt, unnest([0, 1, 2]) AS k, unnest([iso, mdy, dmy]) AS fits FROM s)
+SELECT c AS "column", CASE WHEN fits > 0 THEN fmt END AS format, CAST(fits AS BIGINT) AS fits, n, round(fits / n, 6) AS share FROM f
+QUALIFY row_number() OVER (PARTITION BY c ORDER BY fits DESC, k) = 1""", ("v_dates",))
+def c04_formats(t):
+    return shapes.best_formats(t.v_dates, ["us", "mixed", "words"], ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy"])
+
+
 RULES_SQL = """k AS (SELECT lower(keyword) AS keyword, arg_min(category, position) AS category, min(position) AS position FROM v_keywords WHERE length(keyword) > 0 GROUP BY 1),
  m AS (SELECT page_id, k.category, k.position, k.keyword FROM pages JOIN k ON contains(lower(html), k.keyword))"""
 

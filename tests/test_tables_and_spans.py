@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallyline.functions import text as X
-from tallyline.operators import clean, keywords, mapping, neighbours, series, similar, spans
+from tallyline.operators import clean, keywords, mapping, neighbours, series, shapes, similar, spans
 from tallyline.sources import arrays, incremental
 
 DAY = datetime.date(2024, 1, 1)
@@ -198,3 +198,19 @@ def test_many_patterns_of_missing_values(spark, monkeypatch):
             monkeypatch.setattr(neighbours, name, value)
         for r in neighbours.impute_knn(df).collect():
             assert np.allclose(np.array(list(r)[1:], float), want[r.incident_id])
+
+
+def test_formats_of_sources(spark):
+    days = [datetime.date(2023, 1 + k % 12, 1 + k * 7 % 28) for k in range(60)]
+    rows = [(d.strftime("%m/%d/%Y"), d.strftime("%d.%m.%Y"), d.strftime("%Y-%m-%dT10:61:00") if k % 4 else d.strftime("%Y-%m-%dT10:09:00"), d.strftime("%b %-d, %Y"), d.strftime("%Y%m%d"),
+             d.strftime("%m/%d/%Y 11:20:30 PM"), None if k % 2 else " ") for k, d in enumerate(days)]
+    rows += [("junk", "31.12.2020", "x" * 99, None, "1", "?", None)]
+    names = ["us", "de", "iso t", "named", "packed", "half.day", "none"]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    best = {r["column"]: (r["format"], r.fits, r.n) for r in shapes.best_formats(df, names).collect()}
+    assert best == {"us": ("MM/dd/yyyy", 60, 61), "de": ("dd.MM.yyyy", 61, 61), "iso t": ("yyyy-MM-dd'T'HH:mm:ss", 15, 61), "named": ("MMM d, yyyy", 60, 60),
+                    "packed": ("yyyyMMdd", 60, 61), "half.day": ("MM/dd/yyyy hh:mm:ss a", 60, 61)}
+    halves = shapes.add_shapes(shapes.value_shapes(df.limit(20), names), shapes.value_shapes(df.exceptAll(df.limit(20)), names))
+    assert sorted(map(repr, shapes.score_formats(halves).collect())) == sorted(map(repr, shapes.score_formats(shapes.value_shapes(df, names)).collect()))
+    both = spark.createDataFrame([("01/13/2020",), ("13/01/2020",), ("13/02/2020",)], "d string")
+    assert [(r["format"], r.fits) for r in shapes.best_formats(both, ["d"]).collect()] == [("dd/MM/yyyy", 2)]
