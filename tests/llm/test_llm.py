@@ -580,18 +580,85 @@ def test_near_copies_of_the_pipeline(spark, docs, none):
 
 
 def test_pipeline(spark):
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
+    """Every stage's rows against a plain version on the stage's own input."""
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "simhash near-dedup", "substring dedup", "benchmark decontamination", "best-fit packing"]
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    counts, before = [], docs
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    steps, before = [docs], docs
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        after = corpus_pipeline.stored(stage(spark, before, FOLDER), "step")
-        if k < 4:
-            assert after.columns == docs.columns
-            counts.append(after.count())
-        before = after
-    assert docs.count() > counts[0] > counts[1] >= counts[2] > counts[3] > 0
-    assert before.select("doc_id").distinct().count() == counts[3]
+        before = corpus_pipeline.stored(stage(spark, before, FOLDER), "step")
+        assert k == 4 or before.columns == docs.columns
+        steps.append(before)
+    rows = [[(r.doc_id, r.text) for r in s.select("doc_id", "text").collect()] for s in steps[:5]]
+    sizes = list(map(len, rows))
+    assert sizes[0] > sizes[1] > sizes[2] == sizes[3] > sizes[4] > 0
+
+    kept = {r.id for r in quality.judge(docs, labels).where("kept").collect()}
+    assert sorted(i for i, _ in rows[1]) == sorted(i for i, _ in rows[0] if i in kept)
+    for i, t in rows[0]:  # the base rules in plain Python
+        w = WORD.findall(t or "")
+        seen = collections.Counter(tuple(w[j:j + 3]) for j in range(len(w) - 2))
+        again = {p for j in range(len(w) - 2) if seen[tuple(w[j:j + 3])] > 1 for p in range(j, j + 3)}
+        assert i not in kept or (len(w) >= 50 and 100 * len(again) <= 50 * len(w))
+
+    assert collections.Counter(i for i, _ in rows[2]) == brute_first(rows[1])
+
+    words = [tuple(WORD.findall(t or "")) for _, t in rows[2]]
+    want = {}
+    for (i, t), w, spans in zip(rows[2], words, brute_spans(words, 35), strict=True):
+        gone = {p for a, b in spans for p in range(a, b)}
+        want[i] = " ".join(x for p, x in enumerate(w) if p not in gone) if spans else t
+    assert dict(rows[3]) == want and want != dict(rows[2])
+
+    items = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+
+    def shingles(t):
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        return {tuple(w[j:j + 5]) for j in range(len(w) - 4)}
+
+    own = [x for t in items if (x := shingles(t))]
+    assert sorted(i for i, _ in rows[4]) == sorted(i for i, t in rows[3] if not any(5 * len(x & s) >= 4 * len(x) for s in [shingles(t)] for x in own))
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    length = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows[4]}
+    pieces, places = collections.defaultdict(list), collections.defaultdict(list)
+    for r in steps[5].collect():
+        pieces[r.doc_id].append((r.piece, r.start, r.length))
+        places[r.sequence_id].append((r.offset, r.length))
+    assert {i: sorted(p) for i, p in pieces.items()} == {i: [(k, 2048 * k, min(2048, n - 2048 * k)) for k in range(-(-n // 2048))] for i, n in length.items()}
+    for p in places.values():
+        ends = np.cumsum([n for _, n in sorted(p)])
+        assert [o for o, _ in sorted(p)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert len(places) <= 1.1 * sum(length.values()) / 2048 + 1
+
+
+def test_language_scores_in_plain_python(spark):
+    """Scores from n-grams and weights, one at a time."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    texts = {r.doc_id: r.text for r in docs.where("doc_id < 60").collect()} | {-1: None, -2: "", -3: "12 ?!", -4: "É", -5: "a\tb\n1 23"}
+    odd = spark.createDataFrame([(k, t, None) for k, t in texts.items() if k < 0], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs.where("doc_id < 60").unionByName(odd), model, keep=["doc_id"]).collect()}
+    full, shift = (1 << 64) - 1, 64 - (model.terms.buckets.bit_length() - 1)
+    for k, t in texts.items():
+        if t is None or not any(c.isalpha() for c in t):
+            assert got[k] == ("und", 0.0)
+            continue
+        line = [32 if c in " \t\n\x0b\x0c\r" else 48 if "0" <= c <= "9" else ord(c) for c in t.lower()]
+        total, n = model.bias.copy(), 0
+        sums = np.zeros_like(total)
+        for size in range(1, model.terms.most + 1):
+            for j in range(len(line) - size + 1):
+                h = 0
+                for m, c in enumerate(line[j:j + size], 1):
+                    h = (h * 0x9E3779B97F4A7C15 + (c + m) * 0xC2B2AE3D27D4EB4F) & full
+                h ^= h >> 29
+                sums += model.weights[((h * 0xBF58476D1CE4E5B9) & full) >> shift]
+                n += 1
+        z = (total + sums / n) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[k][0] == model.languages[int(p.argmax())] and abs(got[k][1] - p.max()) < 1e-6
 
 
 ODD = "doc_id long, text string, `odd name` struct<`a b`:int,`x-y`:array<struct<`c d`:string>>>, `dot.ted` map<string,struct<`e f`:int>>"
