@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anomalies as A, association as S, concentration as K, distribution as S1
-from ..operators import incidents as I, mapping as M, series as R
+from ..operators import incidents as I, mapping as M, observed as O, series as R
+from ..session import scratch_path
+from ..sources import files
 from .registry import query
 
 AS_OF = "2024-01-25"
@@ -120,6 +122,24 @@ def d04d(t):
     return S1.coordinate_quality(t.v_incidents)
 
 
+@query("d04_observed_quality", """
+WITH p AS (SELECT *, CAST(substr(combined_time, 1, 2) AS BIGINT) AS hour FROM v_incidents), hc AS (SELECT hour, count(*) AS n FROM p WHERE hour IS NOT NULL GROUP BY 1),
+ fh AS (SELECT hour, n FROM hc ORDER BY hour LIMIT 1), ph AS (SELECT hour, n FROM hc ORDER BY n DESC, hour LIMIT 1)
+SELECT count(*) AS rows, round(date_diff('day', min(combined_date), max(combined_date)) / 365.25, 6) AS span_years,
+ count(*) FILTER (combined_date > DATE '2024-01-10') AS future_count, count(*) FILTER (combined_date < DATE '2024-01-03') AS very_old_count,
+ round(100.0 * count(*) FILTER (p.hour IS NULL) / count(*), 6) AS missing_time_percentage, count(p.hour) AS records_with_time,
+ any_value(fh.hour) AS first_hour, any_value(fh.n) AS first_hour_count, any_value(ph.hour) AS peak_hour, any_value(ph.n) AS peak_hour_count,
+ round(100.0 * count(*) FILTER (p.hour = 0) / count(p.hour), 6) AS midnight_percentage, count(*) FILTER (p.hour = 0) > 2 * (SELECT avg(n) FROM hc) AS midnight_spike,
+ count(*) FILTER (latitude IS NULL OR longitude IS NULL) AS missing_count, round(100.0 * count(*) FILTER (latitude IS NULL OR longitude IS NULL) / count(*), 6) AS missing_percentage,
+ count(*) FILTER (latitude = 0 AND longitude = 0) AS zero_count, round(min(latitude), 6) AS lat_min, round(max(latitude), 6) AS lat_max,
+ round(min(longitude), 6) AS lon_min, round(max(longitude), 6) AS lon_max FROM p, fh, ph""", INC)
+def d04_observed(t):
+    """The prepared table is written once; the figures come with the write."""
+    table, seen = O.observe_quality(I.add_date_parts(t.v_incidents), "2024-01-10", earliest="2024-01-03")
+    files.write_parquet(table, scratch_path(t.spark, "prepared"))
+    return O.quality_figures(t.v_incidents, seen)
+
+
 @query("d05_daily_counts", f"WITH {DAILY} SELECT CAST(combined_date AS VARCHAR) AS combined_date, n FROM daily", DLY)
 def d05(t):
     return I.daily_counts(t.v_daily)
