@@ -697,3 +697,18 @@ def test_ids_beyond_16_bits(spark):
     assert tokenfiles.read_document(spark, f"{folder}/files", 2)[0].tolist() == [65535, 70_000, 2]
     with pytest.raises(OverflowError):
         tokens.as_bytes([65_536], 2)
+
+
+def test_automata_decide(monkeypatch):
+    """With hashes of four bits nearly every window is proposed; the automaton alone tells which passages recur."""
+    rng = random.Random(2)
+    words = [sentence(rng, 90).encode() for _ in range(6)]
+    segments = [*words, b" ".join(words[0].split(b" ")[:60] + words[1].split(b" ")[20:80]), b" ".join(words[1].split(b" ")[30:70] + words[2].split(b" ")[:40]), words[3] + b" " + words[3]]
+    counts = [len(s.split(b" ")) - 34 for s in segments]
+    copies = [1, 1, 1, 1, 3, 1, 1, 1, 1]
+    want = sorted((i, lo, hi) for i, lo, hi in phrases.find_phrases(35)([7] * 9, copies, segments, counts))
+    spans = brute_spans([tuple(s.split(b" ")) for s in segments] + [tuple(segments[4].split(b" "))] * 2, 35)
+    assert want == sorted((i, lo, hi) for i in range(9) for lo, hi in spans[i]) and want
+    exact = phrases.run_hashes
+    monkeypatch.setattr(phrases, "run_hashes", lambda codes, at, length: exact(codes, at, length) >> np.uint64(60))
+    assert sorted(phrases.find_phrases(35)([7] * 9, copies, segments, counts)) == want
