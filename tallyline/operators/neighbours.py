@@ -12,8 +12,8 @@ sqrt(columns / shared * sum of squares). A row's pattern is the set of columns i
 4. Inside a cell the same tree, boxes and bounds are used again before distances are computed. Cells with many receivers or many
    donors are split over tasks; the best of all tasks are ranked at the end.
 
-The sample decides how even the cells are, never what is found. The donors of patterns beyond the ``MOST_PATTERNS`` commonest have no
-boxes: every receiver is compared with all of them, in tasks of bounded size.
+The sample decides how even the cells are, never what is found. The donors of patterns with few rows (``CELL_ROWS`` / 4), or beyond the
+``MOST_PATTERNS`` commonest, have no boxes: every receiver is compared with all of them at once, in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -133,6 +133,47 @@ def nearest_in(points: np.ndarray, donors: np.ndarray, k: int) -> tuple[np.ndarr
     return p[rank < k], d[rank < k], s[rank < k]
 
 
+def nearest_of_all(points: np.ndarray, own: np.ndarray, donors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, donor, distance) of the k nearest donors for each column that the points (of one pattern) lack, donors of any patterns; ties by donor position."""
+    has = ~np.isnan(donors)
+    shared = has[:, own].sum(axis=1)
+    ratio = np.where(shared > 0, len(own) / np.maximum(shared, 1), np.inf)
+    filled = np.where(has, donors, 0.0)
+    lacks = [at for c in np.flatnonzero(~own) if len(at := np.flatnonzero(has[:, c] & (shared > 0)))]
+    lacks = list({at.tobytes(): at for at in lacks}.values())
+    out = []
+    step = max(1, 1_000_000 // max(1, len(donors)))
+    for a in range(0, len(points), step):
+        p = points[a:a + step]
+        d = np.zeros((len(p), len(donors)))
+        for j in np.flatnonzero(own):
+            gap = p[:, j, None] - filled[None, :, j]
+            d += np.where(has[None, :, j], gap * gap, 0.0)
+        d[:, shared > 0] *= ratio[shared > 0]
+        for at in lacks:
+            near = d[:, at]
+            if near.shape[1] > k:  # ties at the k-th place stay until donors are put in order
+                last = np.partition(near, k - 1, axis=1)[:, k - 1:k]
+                i, j = np.nonzero(near <= last)
+            else:
+                i, j = np.indices(near.shape).reshape(2, -1)
+            order = np.lexsort((j, near[i, j], i))
+            i, j = i[order], j[order]
+            head = np.flatnonzero(np.concatenate([[True], np.diff(i) > 0])) if len(i) else np.zeros(0, np.int64)
+            rank = np.arange(len(i)) - np.repeat(head, np.diff(np.append(head, len(i))))
+            out.append(np.stack([i[rank < k] + a, at[j[rank < k]]]))
+        if out and a + step < len(points):
+            out = [np.unique(np.concatenate(out, axis=1), axis=1)]
+    if not out:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+    who, which = np.unique(np.concatenate(out, axis=1), axis=1)
+    total = np.zeros(len(who))
+    for j in np.flatnonzero(own):
+        gap = points[who, j] - filled[which, j]
+        total += np.where(has[which, j], gap * gap, 0.0)
+    return who, which, total * ratio[which]
+
+
 def impute_knn(df: DataFrame, columns: list[str] | None = None, key: list[str] = ["incident_id"], k: int = 5) -> DataFrame:
     """Mean of the k nearest rows that have the value; the column mean when no row shares a column.
 
@@ -209,7 +250,7 @@ def _nearest(rows: DataFrame, n: int, k: int) -> DataFrame:
     same = W.partitionBy("m", "v").orderBy("k")
     donors = rows.filter(F.col("m").contains("1")).withColumn("_rn", F.row_number().over(same)).filter(F.col("_rn") <= k).select("m", "v", "k")
     donors = cut_lineage(donors)
-    common = donors.groupBy("m").count().orderBy(F.col("count").desc(), "m").limit(MOST_PATTERNS).collect()
+    common = donors.groupBy("m").count().filter(F.col("count") >= max(1, CELL_ROWS // 4)).orderBy(F.col("count").desc(), "m").limit(MOST_PATTERNS).collect()
     sizes, total = {r["m"]: r["count"] for r in common}, max(1, sum(r["count"] for r in common))
     each = max(64, SAMPLE_ROWS // max(1, len(sizes)))
     pick = W.partitionBy("m").orderBy(F.xxhash64("k"), "k")
@@ -269,6 +310,11 @@ def _nearest(rows: DataFrame, n: int, k: int) -> DataFrame:
             asks, gives = (np.array(t.column("m").to_pylist(), object) for t in (left, right))
             own, donor = (matrix(t.column("v").combine_chunks(), n) for t in (left, right))
             for m in set(asks):
+                if len(set(gives)) > 1:  # donors without boxes
+                    i = np.flatnonzero(asks == m)
+                    p, d, s = nearest_of_all(own[i], pattern_bits(m), donor, k)
+                    out.append((i[p], d, s))
+                    continue
                 for g in set(gives):
                     one, other = pattern_bits(m), pattern_bits(g)
                     both = one & other
