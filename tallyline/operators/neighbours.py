@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from ..functions.joins import once
 from ..session import cut_lineage, ship_package
 from .impute import numeric_columns
 
@@ -185,11 +186,11 @@ def impute_knn(df: DataFrame, columns: list[str] | None = None, key: list[str] =
         return df
     n = len(columns)
     given = [F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in columns]
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in key]).alias("k"), F.array(*given).alias("v"),
-                     F.concat(*[F.when(x.isNotNull(), "1").otherwise("0") for x in given]).alias("m"))
+    pattern = F.concat(*[F.when(x.isNotNull(), "1").otherwise("0") for x in given])
+    # behind a generator: filters on patterns of many columns would be pushed into their expressions and take the optimizer minutes
+    rows = df.select(F.inline(F.array(F.struct(F.struct(*[F.col(f"`{c}`") for c in key]).alias("k"), F.array(*given).alias("v"), pattern.alias("m")))))
     means = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(given)]).first()
-    keyed = df.withColumns({"_m": F.concat(*[F.when(x.isNotNull(), "1").otherwise("0") for x in given]), "_v": F.array(*given)})
-    keyed = keyed.withColumn("_v", F.when(F.col("_m").contains("0"), F.col("_v")))
+    keyed = once(df, {"_m": pattern, "_v": F.when(pattern.contains("0"), F.array(*given))})
     near = _nearest(rows, n, k).select(F.col("m").alias("_m"), F.col("v").alias("_v"), "near")
     # complete rows have no vector and need no lookup: they go round the join, so they meet in no task
     holes = keyed.filter("_v is not null").join(near, ["_m", "_v"], "left")
