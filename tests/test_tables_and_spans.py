@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 import random
 import tempfile
 
@@ -214,3 +215,19 @@ def test_formats_of_sources(spark):
     assert sorted(map(repr, shapes.score_formats(halves).collect())) == sorted(map(repr, shapes.score_formats(shapes.value_shapes(df, names)).collect()))
     both = spark.createDataFrame([("01/13/2020",), ("13/01/2020",), ("13/02/2020",)], "d string")
     assert [(r["format"], r.fits) for r in shapes.best_formats(both, ["d"]).collect()] == [("dd/MM/yyyy", 2)]
+
+
+def test_small_ranges_of_large_arrays_share_tasks(spark, tmp_path):
+    folder = str(tmp_path / "many")
+    os.makedirs(folder)
+    texts = {}
+    for name, n in (("a", 4000), ("b", 3000)):
+        records = [json.dumps({"id": i, "note": '"]},{[\\' * (i % 7)}) for i in range(n)]
+        texts[name] = records
+        with open(f"{folder}/{name}.json", "w") as f:
+            f.write("[\n" + ",\n".join(records) + "]")
+    found = arrays.read_array_texts(spark, folder, 200)
+    size = sum(os.path.getsize(f"{folder}/{x}.json") for x in texts)
+    assert found.rdd.getNumPartitions() < size // 200 // 4
+    got = sorted((r.path.rsplit("/", 1)[1][0], r.record) for r in found.collect())
+    assert got == sorted((name, r) for name, records in texts.items() for r in records)
