@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as D, rules, text as X
 from ..functions.joins import bound, once
+from ..session import cut_lineage
 
 CHECKED = ["latitude", "longitude", "date"]     # fields with a value check, in field order
 # --- fixed values: how much of a dataset a quick look reads ---
 QUICK_LOOK = {"rows": 10, "values": 3, "clock_values": 5}
+#: Different lists of column names that are looked up in a broadcast table; where there are more, each row looks at its own.
+MOST_LISTS = 10_000
 
 
 def lowered(names: Column) -> Column:
@@ -133,7 +136,6 @@ def detect_columns(df: DataFrame, sample: str | None = None, fuzzy: bool = True,
     (``QUICK_LOOK`` gives usual numbers); by default every landed value counts.
     """
     names, low = F.col("columns"), F.col("_low")
-    out = df.withColumn("_low", lowered(names))
 
     def found(f: str) -> Column:
         exact, words, _ = rules.FIELD_PATTERNS[f]
@@ -141,10 +143,18 @@ def detect_columns(df: DataFrame, sample: str | None = None, fuzzy: bool = True,
         return F.coalesce(*ways, *([fuzzy_match(names, low, f)["column"]] if fuzzy else []))
 
     fields = list(rules.FIELD_PATTERNS)
-    out = once(out, {f"_{f}": found(f) for f in fields})
+    by_name = {f"_{f}": found(f) for f in fields}
+    # many datasets share a list of names: the similarity of names is found once for each list
+    lists = df.select("columns").distinct().limit(MOST_LISTS + 1).filter("columns is not null")
+    lists = cut_lineage(lists)
+    if lists.count() < MOST_LISTS:
+        known = cut_lineage(once(lists.withColumn("_low", lowered(names)), by_name).drop("_low"))
+        out = df.join(F.broadcast(known), "columns", "left").select(*[F.col(f"`{c}`") for c in df.columns], *by_name)
+    else:
+        out = once(df.withColumn("_low", lowered(names)), by_name).drop("_low")
     if sample is not None:
         out = once(out, {f"_{f}": F.coalesce(F.col(f"_{f}"), value_match(names, F.col(sample), f, rows, values)) for f in CHECKED})
         out = once(out, {"_time": F.coalesce("_time", embedded_time(F.col("_date"), F.col(sample), rows, clock_values))})
     entries = F.array(*[F.struct(F.lit(f).alias("k"), F.col(f"_{f}").alias("v")) for f in fields])
     mapping = F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
-    return once(out, {"column_mapping": mapping}).drop("_low", *[f"_{f}" for f in fields])
+    return once(out, {"column_mapping": mapping}).drop(*by_name)
