@@ -53,3 +53,12 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def bound(value: Column, use) -> Column:
     """``use(value)`` with the value evaluated once, as a lambda variable."""
     return F.get(F.transform(F.array(value), use), 0)
+
+
+#: Rows that meet in a task of ``spread_by``.
+TASK_ROWS = 250_000
+
+
+def spread_by(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Shuffle by ``keys`` into as many tasks as ``rows`` need, so that what a task sorts does not grow with the table."""
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), *keys)

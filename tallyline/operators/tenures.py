@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.joins import repeat_rows
+from ..functions.joins import repeat_rows, spread_by
 from ..session import cut_lineage
 
 UNIT = ["company", "unit_id"]
@@ -39,7 +39,7 @@ def gap_tenures(df: DataFrame, gap_days: int = 30, keys: list[str] = KEYS) -> Da
     ).agg(
         F.coalesce(F.min(end), F.lit("9999-12-31").cast("date")).alias("first_end"),
         F.max(end).alias("last_end"), F.count_if(end.isNull()).alias("open"), F.count(F.lit(1)).alias("copies"))
-    days = days.repartition(*keys)      # one exchange that serves all windows and the last aggregate
+    days = spread_by(days, keys, df.count())      # one exchange that serves all windows and the last aggregate
     # a reversed row stands alone within its day, all other rows of a day form one step
     day = W.partitionBy(*keys, "eff_date", "rev_end", F.when(F.col("rev_end").isNotNull(), F.col("job_title_cd")))
     whole = day.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -83,18 +83,18 @@ def manager_tenures(df: DataFrame, as_of: str, gap_days: int = 30) -> DataFrame:
     return add_length(gap_tenures(manager_titles(df), gap_days), as_of)
 
 
-def _carry(events: DataFrame, keys: list[str], names: list[str], ends_first: bool) -> DataFrame:
+def _carry(events: DataFrame, keys: list[str], names: list[str], ends_first: bool, rows: int) -> DataFrame:
     """The last ``names`` known at each start date: ends and starts merged in date order, one row per day and kind.
 
     ``ends_first`` decides whether an end on the start day itself is known.
     """
     kind = F.col("is_start") if ends_first else ~F.col("is_start")
     upto = W.partitionBy(*keys).orderBy("day", kind).rowsBetween(W.unboundedPreceding, 0)
-    return events.select(*keys, "day", "is_start", *[F.last(n, ignorenulls=True).over(upto).alias(n) for n in names]) \
+    return spread_by(events, keys, 2 * rows).select(*keys, "day", "is_start", *[F.last(n, ignorenulls=True).over(upto).alias(n) for n in names]) \
         .filter("is_start").drop("is_start")
 
 
-def previous_at_unit(tenures: DataFrame) -> DataFrame:
+def previous_at_unit(tenures: DataFrame, rows: int | None = None) -> DataFrame:
     """For each (company, unit, start day) the last leaver by then and the last leaver who is someone else.
 
     Per unit and end day only the two preferred persons are kept (earliest start
@@ -122,10 +122,10 @@ def previous_at_unit(tenures: DataFrame) -> DataFrame:
         F.struct(F.col("who").alias("first"), F.col("other").alias("other")).alias("leaver"))
     starts = tenures.select(*UNIT, F.col("eff_date").alias("day")).distinct().select(
         *UNIT, "day", F.lit(True).alias("is_start"), F.lit(None).cast(ends.schema["leaver"].dataType).alias("leaver"))
-    return _carry(ends.unionByName(starts), UNIT, ["leaver"], ends_first=True)
+    return _carry(ends.unionByName(starts), UNIT, ["leaver"], ends_first=True, rows=tenures.count() if rows is None else rows)
 
 
-def previous_of_person(tenures: DataFrame) -> DataFrame:
+def previous_of_person(tenures: DataFrame, rows: int | None = None) -> DataFrame:
     """For each (company, person, start day) the tenure that ended last before that day."""
     ended = tenures.filter("end_date is not null")
     ends = ended.groupBy(*PERSON, "end_date").agg(
@@ -133,13 +133,15 @@ def previous_of_person(tenures: DataFrame) -> DataFrame:
     ).select(*PERSON, F.col("end_date").alias("day"), F.lit(False).alias("is_start"), "past")
     starts = tenures.select(*PERSON, F.col("eff_date").alias("day")).distinct().select(
         *PERSON, "day", F.lit(True).alias("is_start"), F.lit(None).cast(ends.schema["past"].dataType).alias("past"))
-    return _carry(ends.unionByName(starts), PERSON, ["past"], ends_first=False)
+    return _carry(ends.unionByName(starts), PERSON, ["past"], ends_first=False, rows=tenures.count() if rows is None else rows)
 
 
 def with_previous_manager(tenures: DataFrame) -> DataFrame:
-    """Inclusive backward as-of lookup at the unit, another person only."""
-    known = previous_at_unit(tenures).withColumnRenamed("day", "eff_date")
-    joined = tenures.join(known, [*UNIT, "eff_date"], "left")
+    """Inclusive backward as-of lookup at the unit, another person only; the tenures are written once to the checkpoint folder."""
+    tenures, at = cut_lineage(tenures), [*UNIT, "eff_date"]
+    rows = tenures.count()
+    known = previous_at_unit(tenures, rows).withColumnRenamed("day", "eff_date")
+    joined = spread_by(tenures, at, rows).join(spread_by(known, at, rows), at, "left")
     first, other = F.col("leaver.first"), F.col("leaver.other")
     pick: Column = F.when(first["person_id"] != F.col("person_id"), first).otherwise(other)
     return joined.withColumns({"previous_manager_id": pick["person_id"],
@@ -147,9 +149,11 @@ def with_previous_manager(tenures: DataFrame) -> DataFrame:
 
 
 def with_previous_unit(tenures: DataFrame) -> DataFrame:
-    """Strict backward as-of lookup over all units of the person."""
-    known = previous_of_person(tenures).withColumnRenamed("day", "eff_date")
-    return tenures.join(known, [*PERSON, "eff_date"], "left").withColumns({
+    """Strict backward as-of lookup over all units of the person; the tenures are written once to the checkpoint folder."""
+    tenures, at = cut_lineage(tenures), [*PERSON, "eff_date"]
+    rows = tenures.count()
+    known = previous_of_person(tenures, rows).withColumnRenamed("day", "eff_date")
+    return spread_by(tenures, at, rows).join(spread_by(known, at, rows), at, "left").withColumns({
         "new_manager_previous_store": F.col("past.unit_id"),
         "new_manager_previous_store_tenure": F.col("past.tenure_length")}).drop("past")
 
@@ -158,10 +162,8 @@ def management_changes(tenures: DataFrame) -> DataFrame:
     """One row per tenure with the previous manager of the unit and the previous unit of the manager.
 
     Both lookups are windows over one row per day, joined back by equality: no
-    range join, and no group larger than the calendar. The tenures feed both
-    lookups and the result, so they are written once to the checkpoint folder.
+    range join, and no group larger than the calendar.
     """
-    tenures = cut_lineage(tenures)
     return with_previous_unit(with_previous_manager(tenures)).select(
         "company", F.col("person_id").alias("new_manager_id"), F.col("unit_id").alias("current_store"),
         F.col("eff_date").alias("start_date"), "previous_manager_id", "previous_manager_tenure",
