@@ -213,6 +213,52 @@ def test_nearest_rows_with_many_columns(spark):
             assert abs(got[i][names[j]] - np.mean([x[q][j] for _, q in sorted(d)[:5]])) < 1e-9, (i, j)
 
 
+def test_nearest_rows_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 40)        # about 60 cells of 8 patterns, pattern 0001 among those without boxes
+    rng = np.random.default_rng(5)
+    x = np.round(rng.uniform(0, [1, 12, 24, 100], (1500, 4)), 1)
+    x[::4] = x[0]
+    x[::4, 3] = np.round(rng.uniform(0, 100, 375), 1)
+    x[:, :3][rng.random((1500, 3)) < 0.15] = np.nan
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "incident_id long, a double, b double, c double, d double")
+    got = {r.incident_id: r for r in neighbours.impute_knn(df, names).collect()}
+    has = ~np.isnan(x)
+    for i in np.flatnonzero(~has.all(axis=1)):
+        both = has[i] & has
+        total = np.zeros(len(x))
+        for c in range(4):
+            total += np.where(both[:, c], (x[i, c] - x[:, c]) * (x[i, c] - x[:, c]), 0.0)
+        d = total * (4.0 / np.maximum(both.sum(axis=1), 1))
+        for j in np.flatnonzero(~has[i]):
+            at = np.flatnonzero(has[:, j] & both.any(axis=1))
+            assert abs(got[i][names[j]] - x[at[np.lexsort((at, d[at]))[:5]], j].mean()) < 1e-9, (i, j)
+
+
+def test_nearest_rows_visit_few_cells():
+    """What a first cell holds bounds the search: of 1,000 cells that all hold a receiver's known values or nearly, few are asked."""
+    rng = np.random.default_rng(6)
+    donors = rng.uniform(0, 1, (50_000, 4))
+    tree = neighbours.Tree(donors[:20_000], 1000)
+    cell = tree.cell(donors)
+    order = np.argsort(cell, kind="stable")
+    cells, head, count = np.unique(cell[order], return_index=True, return_counts=True)
+    low, high = (f.reduceat(donors[order], head, axis=0) for f in (np.minimum, np.maximum))
+    boxes = neighbours.Boxes(cells, np.ones(low.shape, bool), low, high, count)
+    points, own = rng.uniform(0, 1, (40, 4)), np.array([True, True, True, False])
+    points[:, 3] = np.nan
+    who, where = boxes.likely(own, points, 5)
+    limits = np.full(points.shape, -1.0)
+    for i in range(40):
+        near = donors[np.isin(cell, where[who == i])]
+        limits[i, 3] = np.sort(((near - points[i])[:, :3] ** 2).sum(axis=1))[4] * 4 / 3
+    who, where, most = boxes.within(own, points, limits)
+    for i in range(40):
+        d = ((donors - points[i])[:, :3] ** 2).sum(axis=1)
+        assert set(cell[np.argsort(d)[:5]]) <= set(where[who == i])
+    assert len(who) < 40 * 40 and (most == limits[who, 3]).all()
+
+
 def test_mean_of_integers_is_a_double(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "n int")
     assert one(impute.impute_mean(df), "n") == [(1.0,), (2.0,), (1.5,)]
