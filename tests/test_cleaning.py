@@ -214,7 +214,7 @@ def test_nearest_rows_with_many_columns(spark):
 
 
 def test_nearest_rows_in_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CELL_ROWS", 40)        # about 60 cells of 8 patterns, pattern 0001 among those without boxes
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 40)        # dozens of cells; patterns of fewer than 10 donors have no boxes
     rng = np.random.default_rng(5)
     x = np.round(rng.uniform(0, [1, 12, 24, 100], (1500, 4)), 1)
     x[::4] = x[0]
@@ -236,7 +236,7 @@ def test_nearest_rows_in_many_cells(spark, monkeypatch):
 
 
 def test_nearest_rows_visit_few_cells():
-    """What a first cell holds bounds the search: of 1,000 cells that all hold a receiver's known values or nearly, few are asked."""
+    """What the first cells hold bounds the search: of about 1,000 cells few are asked, those of the nearest rows among them."""
     rng = np.random.default_rng(6)
     donors = rng.uniform(0, 1, (50_000, 4))
     tree = neighbours.Tree(donors[:20_000], 1000)
