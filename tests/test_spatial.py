@@ -84,6 +84,20 @@ def test_drop_within(spark):
     assert dedupe.drop_within(df.limit(0), 1.0, 60, ["id"]).count() == 0
 
 
+def test_blocks_give_links_of_cells_not_of_pairs(spark, monkeypatch):
+    """A full lattice over several blocks of cells, across the equator and the date line, cut in two by a gap."""
+    day, seen = datetime.datetime(1970, 1, 1), []
+    rows = [(key, (a - 9) * 0.006, (b * 0.006 + 179.95 + 180) % 360 - 180 + (0.05 if b > 11 else 0), day + datetime.timedelta(seconds=500 * (c - 10)))
+            for key in ("A", None) for a in range(18) for b in range(18) for c in range(20)]
+    df = spark.createDataFrame(rows, "crime_type string, latitude double, longitude double, datetime timestamp").repartition(4)
+    plain = dedupe.components
+    monkeypatch.setattr(dedupe, "components", lambda links: seen.append(links.count()) or plain(links))
+    points = dedupe.near_groups(df, 1.0, 600).cache()
+    assert points.groupBy("key").agg(F.countDistinct("group").alias("n")).select("n").distinct().collect() == [(2,)]
+    assert points.count() == len(rows) and max(seen) <= len(rows)  # at most one link a point; several to a point before
+    assert sorted(r["count"] for r in points.groupBy("group").count().collect()) == [6 * 18 * 20] * 2 + [12 * 18 * 20] * 2
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(7, 7)] + [(500, k) for k in range(501, 560)]
