@@ -193,7 +193,7 @@ def _meet(km: float, seconds: float):
         n = len(block)
         new = np.concatenate([[True], block[1:] != block[:-1]])
         number = np.cumsum(new) - 1
-        order = number * 128 + time - time[np.flatnonzero(new)][number]  # a block has far fewer spans of time
+        order = np.cumsum(np.where(new, 2, np.minimum(np.diff(time, prepend=time[0]), 2)))  # one more for the next span, two for any other
         many = np.searchsorted(order, order + 1, "right") - np.arange(n) - 1
         before = np.concatenate([[0], np.cumsum(many)])
         joined, doubtful, first = [], [], 0
