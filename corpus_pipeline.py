@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays, that of least id.
 
-    Candidates come from MinHash bands and are thinned by SimHash fingerprints: multi-index tables do not reach the bits in which such copies differ.
+    Candidates come from multi-index tables of SimHash fingerprints first, then from MinHash bands: the tables do not reach all bits in which such copies differ.
     """
     return nearcopies.keep_first(docs)
 

@@ -1,6 +1,7 @@
-"""Near copies by exact shingle similarity: MinHash bands give candidates, size, SimHash and sketch drop the far ones, words decide.
+"""Near copies by exact shingle similarity: SimHash tables and, for what they cannot reach, MinHash bands give candidates; size, SimHash and sketch drop the far ones, words decide.
 
-Texts of equal shingle sets are one entry. An entry is filed under ``BANDS`` keys, each made of ``WIDTH`` least hashes; two entries of
+Texts of equal shingle sets are one entry. Entries whose SimHash fingerprints differ in at most four bits meet first, by multi-index hashing
+(``simhash.similar``). Entries that these links leave apart may still be of similarity 0.8: an entry is also filed under ``BANDS`` keys, each made of ``WIDTH`` least hashes; two entries of
 similarity 0.8 share none with probability (1 - 0.8^4)^25, two in a million. Of the candidates those are dropped
 
 * whose numbers of shingles differ by more than the similarity allows (exact);
@@ -8,7 +9,7 @@ similarity 0.8 share none with probability (1 - 0.8^4)^25, two in a million. Of
 * whose least hashes agree in fewer than ``AGREE`` of 100 places (at 0.8 they agree in 80, with a deviation of 4: fewer than 60 once in a million);
 * in the last step, whose shingles of equal 16-bit hashes are too few (exact: different shingles of one hash only add to the count).
 
-All others are compared by their words. Multi-index tables cannot give these candidates: at 0.8 fingerprints of 64 bits differ in more bits than
+All others are compared by their words. Multi-index tables cannot give all candidates: at 0.8 fingerprints of 64 bits differ in more bits than
 Hamming balls of small segments reach.
 
 A large group of near copies does not give all its pairs. First every entry of a bucket is compared with its hub, the entry closest to
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import ROW, U64, discard, map_arrow, mixed, packed, raw_bytes, stored, with_row_key
 from .components import components
-from .simhash import shingle_hashes, simhash_of
+from .simhash import shingle_hashes, similar, simhash_of
 
 BANDS, WIDTH = 25, 4
 FAR_BITS, AGREE, ROUNDS = 26, 60, 3
@@ -222,6 +223,15 @@ def alike(shingle: int, tenths: int, seed: int):
     return run
 
 
+def fingerprint_pairs(entries: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v), u < v, of entries (row, fp): equal fingerprints, each with the first one, and the links of ``simhash.similar`` between first ones."""
+    first = stored(entries.groupBy("fp").agg(F.min("row").alias("first")), "fingerprint-firsts")
+    equal = entries.join(first, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(to)) for c, to in (("u", "a"), ("v", "b")))
+    near = similar(first.select("fp")).join(a, "u").join(b, "v").select("a", "b")
+    return equal.unionByName(near).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, tenths: int = 8, seed: int = 42) -> DataFrame:
     """One row of each group of near copies, the one of least id (nulls last), then of least place in the table.
 
@@ -253,7 +263,11 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s
             codes = stored(map_arrow(texts_of(rows, "mixed"), shingle_codes(shingle, seed), "row long, codes binary"), "codes")
             rows, columns = rows.join(codes, "row"), [*columns, "codes"]
         dealt = rows.select(*columns).repartition("key").sortWithinPartitions("key", "row")
-        pairs = stored(map_arrow(dealt, bucket_pairs(tenths, turn), "u long, v long").distinct(), f"{name}-pairs")
+        return checked(map_arrow(dealt, bucket_pairs(tenths, turn), "u long, v long"), name)
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the candidate pairs whose words are alike."""
+        pairs = stored(pairs.distinct(), f"{name}-pairs")
         wanted = stored(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("row")), name), f"{name}-texts")
         left, right = (wanted.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}")) for c in ("u", "v"))
         both = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
@@ -261,11 +275,11 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s
         discard(pairs, wanted)
         return links
 
-    links, roots = None, None
+    links = checked(fingerprint_pairs(each.join(entries, each["row"] == entries["entry"]).select("row", "fp")), "fingerprint")
+    roots = components(links)
     for turn in [*range(ROUNDS), None]:
-        rooted = candidates.withColumn("root", F.col("row")) if roots is None else candidates.join(roots, candidates["row"] == roots["node"], "left").withColumn("root", F.coalesce("root", "row"))
-        found = verified(rooted, turn)
-        links = found if links is None else links.unionByName(found)
+        rooted = candidates.join(roots, candidates["row"] == roots["node"], "left").withColumn("root", F.coalesce("root", "row"))
+        links = links.unionByName(verified(rooted, turn))
         roots = components(links)
     named = entries.join(roots, entries["entry"] == roots["node"], "left").select("same", F.coalesce("root", "entry").alias("root"))
     least = each.select("row", "id", "same").join(named, "same").groupBy("root").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("row"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyline.llm import common, components, contamination, language, packing, phrases, quality, queries, sharding, simhash, suffixes, tokenfiles, tokens, urls
+from tallyline.llm import common, components, contamination, language, nearcopies, packing, phrases, quality, queries, sharding, simhash, suffixes, tokenfiles, tokens, urls
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -579,6 +579,21 @@ def test_near_copies_of_the_pipeline(spark, docs, none):
     assert corpus_pipeline.simhash_near_dedup(spark, none, FOLDER).count() == 0
 
 
+def test_fingerprints_give_candidates_first(spark, monkeypatch):
+    far = 0x0F0F0F0F0F0F0F0F
+    entries = spark.createDataFrame([(7, 5), (2, 5), (3, 5 ^ 0b1111 << 20), (4, 5 ^ 0b11111 << 40), (5, far), (6, -far)], "row long, fp long")
+    pairs = sorted(tuple(r) for r in nearcopies.fingerprint_pairs(entries).distinct().collect())
+    assert pairs == [(2, 3), (2, 7)]
+    rng, seen, plain = random.Random(3), [], nearcopies.fingerprint_pairs
+    w = [sentence(rng, 300).split() for _ in range(4)]
+    rows = [(10 * k + n, " ".join(x[n:])) for k, x in enumerate(w) for n in range(2)]
+    path = tempfile.mkdtemp(prefix="llm-tests-") + "/first"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    monkeypatch.setattr(nearcopies, "fingerprint_pairs", lambda entries: seen.append(plain(entries).distinct().count()) or plain(entries))
+    left = corpus_pipeline.simhash_near_dedup(spark, spark.read.parquet(path), FOLDER)
+    assert sorted(r.doc_id for r in left.collect()) == [0, 10, 20, 30] and seen[0] > 0
+
+
 def test_pipeline(spark):
     """Every stage's rows against a plain version on the stage's own input."""
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "simhash near-dedup", "substring dedup", "benchmark decontamination", "best-fit packing"]
