@@ -52,3 +52,39 @@ def test_pairs_of_few_rows_are_shared_out(spark, monkeypatch):
     found = mapping.around_centres(points, spark.range(40).selectExpr("id as place", "41d as latitude", "id / 1000d as longitude"), 50.0)
     assert found.rdd.getNumPartitions() >= 12
     assert found.count() == 12_000 and found.select("id", "centre.place").distinct().count() == 12_000
+
+
+def test_copies_are_bounded_by_the_rows_of_a_cell(spark, monkeypatch):
+    """Points and centres of one place: the rows dealt out for so many pairs stay a few times the rows there are."""
+    monkeypatch.setattr(mapping, "TASK_PAIRS", 10)
+    kind, seen = type(spark.range(1)), []
+    plain = kind.repartition
+
+    def counted(df, *by):
+        if "cell" in by:
+            seen.append((by[0], df.count()))
+        return plain(df, *by)
+
+    monkeypatch.setattr(kind, "repartition", counted)
+    for points, centres, hot_rows in ((300, 30, 1_000_000), (300, 30, 5), (30, 300, 1_000_000)):
+        spots = spark.range(points).select("id", F.lit(10.1).alias("latitude"), (10.1 + F.col("id") / 1e6).alias("longitude"))
+        posts = spark.range(centres).select(F.col("id").alias("post"), F.lit(10.1).alias("latitude"), F.lit(10.1).alias("longitude"))
+        seen.clear()
+        near = mapping.around_centres(spots, posts, 0.5, cell_km=50.0, hot_rows=hot_rows).select("id", "centre.post").collect()
+        assert len(seen) == 2 and all(tasks >= 16 for tasks, _ in seen) and sum(rows for _, rows in seen) <= 6 * (points + centres)
+        assert len(near) == len(set(near)) == points * centres
+
+
+def test_no_task_compares_more_pairs_than_most(spark, monkeypatch):
+    """Beyond ``MOST_PAIRS`` both sides are cut further, whatever the copies; equal rows and equal centres count each."""
+    monkeypatch.setattr(mapping, "TASK_PAIRS", 10)
+    monkeypatch.setattr(mapping, "MOST_PAIRS", 100)
+    n, m = F.col("n"), F.col("m")
+    cells_of = spark.createDataFrame([(n, m) for n in (1, 7, 100, 5_000, 10**9) for m in (1, 7, 100, 5_000, 10**6)], "n long, m long")
+    blocks, of_points, of_centres = mapping.shares(n, m, 10**12)
+    for r in cells_of.select(n, m, blocks.alias("k"), of_points.alias("a"), of_centres.alias("b")).collect():
+        assert r.a * r.b >= r.k and r.n / r.a * r.m / r.b <= 100 and r.m / r.b <= joins.TASK_ROWS
+    spots = spark.createDataFrame([(i % 50, 10.0, 10.0) for i in range(100)], "id long, latitude double, longitude double")
+    posts = spark.createDataFrame([(i % 30, 10.0, 10.0) for i in range(90)], "post long, latitude double, longitude double")
+    near = mapping.around_centres(spots, posts, 5.0)
+    assert sorted(r["count"] for r in near.groupBy("id", "centre.post").count().collect()) == [6] * 1500
